@@ -7,9 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("airlattice")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -18,8 +18,10 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set to a scratch folder only where the session has none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"/tmp/checkpoints/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", path)
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{os.getpid()}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path

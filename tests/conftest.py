@@ -11,10 +11,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from airlattice.session import local_session
 
-    session = local_session(cores=4, partitions=4, memory="4g")
+    session = local_session(cores=4, partitions=4, memory="4g", shared=tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir"))
     yield session
     session.stop()
 
