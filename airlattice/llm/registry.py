@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+import corpus_pipeline
+
+from . import decontam, jaccard, mixing, quality, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,14 +18,42 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score", "threshold")
+
+
+def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op5_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "quality.*")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_url_filter": op3_url_filter,
+        "op4_sampled_splitters": op4_sampled_splitters,
+        "op5_pivotal_mixing": op5_pivotal_mixing,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_quality_rules": op7_quality_rules,
+        "op9_decontamination": op9_decontamination,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -24,7 +24,8 @@ def text_of(col: str | Column) -> Column:
 
 def words(text: Column) -> Column:
     """All words of a non-null text; array<string>."""
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
 def hashes(words: Column) -> Column:
