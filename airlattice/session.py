@@ -29,8 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers that share this machine's files import the package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a scratch folder only where the session has none."""
+    """The folder that driver and executors share, ready for checkpoint(); a scratch folder only where the session names none."""
+    ship(spark)
     path = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{os.getpid()}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
