@@ -95,7 +95,8 @@ def pivot(size: np.ndarray, p: np.ndarray, seed: list[int], last: bool) -> np.nd
 
 def _level(level: int, last: bool):
     def rounded(group: pa.Table) -> pa.Table:
-        at = np.argsort(group["mix_key"].to_numpy(), kind="stable")
+        # Large documents meet first, so that what is left over at the end is small.
+        at = np.lexsort((group["mix_key"].to_numpy(), -group["size"].to_numpy()))
         group = group.take(pa.array(at))
         seed = [level, int(group["mix_seed"][0].as_py()), int(group["mix_group"][0].as_py())]
         p = pivot(group["size"].to_numpy(), group["mix_p"].to_numpy(), seed, last)

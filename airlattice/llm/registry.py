@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from airlattice.session import ship
 
-from . import decontam, jaccard, mixing, quality, sharding, urls
+from . import decontam, jaccard, mixing, quality, sharding, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(_read(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "score", "threshold")
@@ -47,6 +53,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_token_counts": op2_token_counts,
         "op3_url_filter": op3_url_filter,
         "op4_sampled_splitters": op4_sampled_splitters,
         "op5_pivotal_mixing": op5_pivotal_mixing,
