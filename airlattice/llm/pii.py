@@ -3,7 +3,7 @@
 The patterns give the base spans (email, ip, card, phone), which always stay. The field labels words O, B-kind or
 I-kind. It is trained on a small labelled table: the windows around digits, @ and + of at most ``TRAIN_DOCS`` documents
 of least hash (texts of up to ``TRAIN_CHARS`` characters), labelled by the base spans. Decoding is by Viterbi in numpy
-batches. Words without a digit, @ or + share one shape; where O beats every other label of a word by more than the
+batches. Words without a digit, @ or + share one shape; where O beats every other label of a word by more than its
 transitions can repay, O is certain there, and the chain falls into short segments that are decoded side by side. Decoded
 spans that don't touch a base span are added.
 
@@ -29,6 +29,8 @@ from .words import text_of
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_CHARS = 200, 20_000
 EPOCHS, RATE, DECAY = 100, 0.2, 1e-3
+#: Held against any label but O of a plain word: no kind has words without a digit, @ or +.
+PLAIN = 30.0
 LABELS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -126,11 +128,13 @@ class Field:
         self.scores: list[np.ndarray] = []
         self.words = Words(self)
         self.class_of(None)
-        self.bound = 2 * (self.move.max() - self.move.min()) + 1e-6
+        # What a label could gain over O by its two transitions, at most, with an edge on either side or not.
+        gain = np.maximum((move - move[:, :1]).max(axis=0), 0) + np.maximum((move - move[:1]).max(axis=1), 0)
+        self.gain = gain[1:] + 1e-9
         alone = self.scores[0][1]
         sides = [alone + a * self.scores[0][0] + b * self.scores[0][2] for a in (0, 1) for b in (0, 1)]
         #: A plain word between plain words, or at an edge, is O for certain.
-        self.plain = all(x[0] - x[1:].max() > self.bound for x in sides)
+        self.plain = all(self.sure(x[None])[0] for x in sides)
 
     def class_of(self, s: tuple | None) -> int:
         n = self.classes.get(s)
@@ -140,6 +144,10 @@ class Field:
             self.scores.append(self.emit[:, ids].sum(axis=1))
         return n
 
+    def sure(self, score: np.ndarray) -> np.ndarray:
+        """Where O is the label whatever its neighbours are."""
+        return score[:, 0] > (score[:, 1:] + self.gain).max(axis=1)
+
     def decode(self, classes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
         """Labels of the words of many texts laid end to end; breaks marks the first word of each text."""
         out = np.zeros(len(classes), np.int8)
@@ -154,7 +162,7 @@ class Field:
         score = table[classes[at], 1]
         score += np.where(edge[at, None], 0, table[classes[at - 1], 0])
         score += np.where(edge[at + 1, None], 0, table[classes[np.minimum(at + 1, len(classes) - 1)], 2])
-        sure = score[:, 0] - score[:, 1:].max(axis=1) > self.bound
+        sure = self.sure(score)
         open_ = at[~sure]
         if not len(open_):
             return out
@@ -261,6 +269,7 @@ def train(texts: list[str]) -> Field | None:
             mm += 0.1 * (g - mm)
             vv += 0.01 * (g * g - vv)
             w -= RATE * (mm / (1 - 0.9**epoch)) / (np.sqrt(vv / (1 - 0.99**epoch)) + 1e-8)
+    emit[1, 0, 1:] -= PLAIN
     return Field(features, emit, move)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from airlattice.session import ship
 
-from . import decontam, jaccard, mixing, quality, sharding, tokens, urls
+from . import decontam, jaccard, mixing, pii, quality, sharding, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,11 +46,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_token_counts": op2_token_counts,
@@ -59,7 +67,9 @@ def queries() -> dict[str, Query]:
         "op5_pivotal_mixing": op5_pivotal_mixing,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_quality_rules": op7_quality_rules,
+        "op8_personal_data": op8_personal_data,
         "op9_decontamination": op9_decontamination,
+        "op10_toxicity": op10_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
