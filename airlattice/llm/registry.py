@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from airlattice.session import ship
 
-from . import decontam, jaccard, mixing, pii, quality, sharding, tokens, toxicity, urls
+from . import decontam, jaccard, lm, mixing, pii, quality, sharding, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count(_read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_token_counts": op2_token_counts,
         "op3_url_filter": op3_url_filter,
         "op4_sampled_splitters": op4_sampled_splitters,
