@@ -1,6 +1,7 @@
 import os
 import sys
 import tempfile
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import pytest
 
