@@ -31,7 +31,7 @@ from airlattice.session import ship
 from .hashing import WordIds, texts
 
 BITS, SAMPLE = 18, 4_000
-EPOCHS, RATE, RIDGE = 150, 0.3, 1e-4
+EPOCHS, RATE, RIDGE = 150, 0.3, 1e-3
 #: Documents, and log odds, from which a feature marks toxicity.
 SEEN, MARKED = 3, 3.0
 PREFIX = 4
