@@ -10,8 +10,7 @@ from airlattice.session import shared_dir
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("quality.kept").select(*docs.columns)
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
