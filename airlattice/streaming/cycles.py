@@ -12,11 +12,12 @@ from airlattice.operators.cycles import SCHEMA, Rules, State, feed, flush, frame
 from airlattice.session import ship
 
 
-def detect_stream(samples: DataFrame, key: str, time: str, pressure: str, order: str, rules: Rules = Rules(), idle_ms: int = 120_000) -> DataFrame:
+def detect_stream(samples: DataFrame, key: str, time: str, pressure: str, order: str, rules: Rules = Rules(), idle_ms: int | None = None) -> DataFrame:
     """Cycles of a streaming DataFrame with (key, time in seconds, pressure), in append mode.
 
-    Rows of a micro-batch are put in order; a later batch is taken to be later in time. A series without rows for
-    ``idle_ms`` of processing time gives what it still awaits and loses its state.
+    Rows of a micro-batch are put in order; a later batch is taken to be later in time. With
+    ``idle_ms``, a series without rows for so long in processing time gives what it still awaits and loses its state; such a
+    query keeps looking at the clock and doesn't end by itself.
     """
     ship(samples.sparkSession)
 
@@ -29,11 +30,12 @@ def detect_stream(samples: DataFrame, key: str, time: str, pressure: str, order:
             pdf = pd.concat(list(chunks)).sort_values(["_t", "_order"], kind="stable")
             found = feed(state, pdf["_t"].tolist(), pdf["_p"].tolist(), rules)
             held.update((state.dump(),))
-            held.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                held.setTimeoutDuration(idle_ms)
         out = frame(found)
         out.insert(0, key, k[0])
         yield out
 
     kind = samples.schema[key].dataType.simpleString()
     d = samples.where(F.col(time).isNotNull() & F.col(pressure).isNotNull()).select(key, F.col(time).cast("double").alias("_t"), F.col(pressure).cast("double").alias("_p"), F.col(order).alias("_order"))
-    return d.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {SCHEMA}", "state string", "append", "ProcessingTimeTimeout")
+    return d.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {SCHEMA}", "state string", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
