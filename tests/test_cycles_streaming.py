@@ -81,7 +81,9 @@ def test_windows(spark):
 def test_late_rows_are_dropped(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-01 00:00:00", 1.0), ("2024-01-01 05:00:00", 1.0)], "t string, v double").withColumn("t", F.col("t").cast("timestamp"))
     df.coalesce(1).write.parquet(str(tmp_path / "in/a"))
-    df.where("hour(t) = 0").coalesce(1).write.parquet(str(tmp_path / "in/b"))
+    # The mark that a batch reaches drops rows from the batch after the next on.
+    df.where("hour(t) = 5").withColumn("t", F.expr("t + interval 30 minutes")).coalesce(1).write.parquet(str(tmp_path / "in/b"))
+    df.where("hour(t) = 0").coalesce(1).write.parquet(str(tmp_path / "in/c"))
     out = windows.tumbling(spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "t", "v", "1 hour", [], "10 minutes")
     q = out.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()

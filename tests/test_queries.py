@@ -19,3 +19,16 @@ def test_entry(spark):
 
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_cycles_of_the_synthetic_line(spark, sf):
+    rows = entry.queries()["cycle_detection"](spark, sf).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.kit, []).append(r)
+    # Falls of less than 0.2 bar are no cycles; each deeper kit has its three.
+    assert all(len(by.get(k, [])) == (3 if k >= 2 else 0) for k in range(25) if k != 1)
+    assert all(r.emergency == (r.kit >= 15) for r in rows if r.kit not in (14,))
+    f = entry.queries()["cycle_features"](spark, sf).collect()
+    assert len(f) == len(rows) and all(x.energy > 0 and x.to_low <= x.timing for x in f)
+    assert {r.kit: r.cycle for r in entry.queries()["reference_cycle"](spark, sf).collect()} == dict.fromkeys(by, 1)
