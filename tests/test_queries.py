@@ -32,3 +32,25 @@ def test_cycles_of_the_synthetic_line(spark, sf):
     f = entry.queries()["cycle_features"](spark, sf).collect()
     assert len(f) == len(rows) and all(x.energy > 0 and x.to_low <= x.timing for x in f)
     assert {r.kit: r.cycle for r in entry.queries()["reference_cycle"](spark, sf).collect()} == dict.fromkeys(by, 1)
+
+
+@pytest.mark.parametrize("name", ["pca_components", "kmeans_clusters", "gated_scores", "feature_importance"])
+def test_learning_queries(spark, sf, name):
+    rows = entry.queries()[name](spark, sf).collect()
+    assert rows
+    if name == "gated_scores":
+        assert len(rows) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+        assert all((r.score is not None) == r.in_scope for r in rows)
+    if name == "kmeans_clusters":
+        assert [r.cluster for r in rows] == [1, 2, 3] and rows[0].l_extendedprice <= rows[2].l_extendedprice
+    if name == "feature_importance":
+        assert abs(sum(r.importance for r in rows) - 1) < 1e-9
+
+
+def test_works_without_the_training_data_operators(monkeypatch):
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("airlattice.llm.") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "airlattice.llm", None)
+    assert "kit_diagnostics" in entry.queries() and not any(q.startswith("op1") for q in entry.queries())
