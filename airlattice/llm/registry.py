@@ -79,5 +79,17 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: Shingles as joined words. Items of fewer than five words don't occur in the tables.
+OP9_SQL = r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM iw WHERE len(w) >= 5),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+dw AS (SELECT DISTINCT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM dw WHERE len(w) >= 5)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, text, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item - 1e-9)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": OP9_SQL}
