@@ -31,9 +31,9 @@ LAW = "bytes"
 
 
 def with_position(docs: DataFrame) -> DataFrame:
-    """Adds size, text_crc32 and _position."""
+    """Adds size, text_crc32, _position and _hash; what follows needs no text."""
     text = text_of("text")
-    df = docs.withColumn("size", (F.octet_length(text) + 1).cast("long")).withColumn("text_crc32", F.crc32(text))
+    df = docs.withColumn("size", (F.octet_length(text) + 1).cast("long")).withColumn("text_crc32", F.crc32(text)).withColumn("_hash", F.xxhash64(text))
     low = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 33)
     return df.withColumn("_position", F.shiftleft("text_crc32", 31).bitwiseOR(low))
 
@@ -95,7 +95,7 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
         starts.append((r, b, n))
         b, n = b + sizes[r][0], n + sizes[r][1]
     start = F.broadcast(spark.createDataFrame(starts, "_r int, _bytes long, _rows long"))
-    order = Window.partitionBy("_r").orderBy("_position", F.xxhash64(text_of("text")), "doc_id")
+    order = Window.partitionBy("_r").orderBy("_position", "_hash", "doc_id")
     out = placed.withColumn("_r", range_of(edges)("_position")).join(start, "_r")
     out = out.withColumn("_before", F.col("_bytes") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     out = out.withColumn("_nth", F.col("_rows") + F.row_number().over(order) - 1)
