@@ -21,7 +21,7 @@ except ModuleNotFoundError:  # slower, and other hashes, but as good
 class WordIds(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
