@@ -13,9 +13,14 @@ What a shard doesn't know is the unigram probability of a word unseen after its
 shard as (document, word) and meet the shards' own context counts, which are the counts of words, in a second, small
 shuffle. Document sums are added up by document.
 
-Hot contexts: a word of more than 1 / (2 * shards) of the tokens is split by the hash of the word before it into
-contexts of their own, so no task has much more than its share unless one pair of words is that frequent. Heavy words are found
-exactly: a word that is hot overall is hot in some partition.
+Hot contexts: the events of a word of more than 1 / (2 * shards) of the tokens, and of the start, are dealt over several
+shards, so no task has much more than its share unless one pair of words is that frequent. The counts stay whole, so a
+score doesn't depend on the number of shards. At order 2, and for the start, the hash of the successor deals: a pair's
+count is whole in one shard, the context's total is its exact count of tokens, and its back-off weight, which needs the
+number of its kinds of successors over all shards, is added in the second shuffle. At order 3 the hash of the word before
+deals: what follows two words is whole in one shard, and pairs of a hot word and its successor are counted in the second
+shuffle, for the events that fall back to them. Heavy words are found exactly: a word that is hot overall is hot in some
+partition.
 
 Nulls: a null text is empty and still has its end token; a null doc_id counts as the empty text in the hold-out
 rule. Repeated rows are documents of their own. Without training documents every probability is that of the base.
@@ -139,44 +144,60 @@ class Trie:
         self.levels = {k: whole[p : p + n * d.itemsize].view(d) for k, (p, d, n) in places.items()}
         self.words = EliasFano(self.levels["words_low"], self.levels["words_high"], numbers["words"])
         self.seconds = EliasFano(self.levels["seconds_low"], self.levels["seconds_high"], numbers["seconds"])
+        self.summed = self.levels["summed"] > 0
         if "pairs" in numbers:
             self.pairs = EliasFano(self.levels["pairs_low"], self.levels["pairs_high"], numbers["pairs"])
             self.thirds = EliasFano(self.levels["thirds_low"], self.levels["thirds_high"], numbers["thirds"])
 
     @classmethod
-    def build(cls, v: np.ndarray, u: np.ndarray | None, w: np.ndarray, n_words: int, discount: float = DISCOUNT) -> Trie:
-        """From the training events of a shard, in the order of (v, u, w) or, without u, of (v, w); numbers below n_words."""
+    def build(cls, v: np.ndarray, u: np.ndarray | None, w: np.ndarray, n_words: int, discount: float = DISCOUNT, whole: int | None = None, totals: np.ndarray | None = None) -> Trie:
+        """From the training events of a shard, in the order of (v, u, w) or, without u, of (v, w); numbers below n_words.
+
+        Contexts from number ``whole`` on have events in other shards too; ``totals`` has, by number less ``whole``, the
+        total of those that are dealt by successor, and 0 for those that are dealt by the word before.
+        """
         d = np.int64(n_words)
+        whole = n_words if whole is None else whole
+        totals = np.zeros(n_words - whole, np.int64) if totals is None else totals
         levels, numbers = {}, {}
 
         def level(name: str, keys: np.ndarray, universe: int) -> None:
             levels[name + "_low"], levels[name + "_high"], numbers[name] = EliasFano.encode(keys, universe)
 
-        def probabilities(name: str, parents: np.ndarray, n_parents: int, counts: np.ndarray) -> None:
-            """Of successors with their parents' numbers: quantised log probabilities, and back-off weights of the parents."""
+        def probabilities(name: str, parents: np.ndarray, n_parents: int, counts: np.ndarray, of: np.ndarray) -> None:
+            """Of successors with their parents' numbers: quantised log probabilities, and back-off weights of the parents, whose contexts are ``of``."""
             total = np.bincount(parents, counts, minlength=n_parents)
             kinds = np.bincount(parents, minlength=n_parents)
+            dealt = np.flatnonzero(of >= whole)
+            known = totals[of[dealt] - whole]
+            total[dealt[known > 0]] = known[known > 0]
             levels[name + "_p"], levels[name + "_pbook"] = quantise(np.log10((counts - discount) / total[parents]))
             levels[name + "_b"], levels[name + "_bbook"] = quantise(np.log10(discount * kinds / total))
 
         contexts, n_v = runs(v)
         v = np.repeat(np.arange(len(contexts)), n_v)
+        levels["summed"] = np.zeros(len(contexts), np.uint8)
+        levels["summed"][contexts >= whole] = totals[contexts[contexts >= whole] - whole] > 0
         level("words", contexts.astype(np.int64), d)
         two, n_two = runs(v * d + w) if u is None else np.unique(v * d + w, return_counts=True)
         level("seconds", two, len(contexts) * d)
-        probabilities("seconds", two // d, len(contexts), n_two)
+        probabilities("seconds", two // d, len(contexts), n_two, contexts)
         if u is not None:
             pairs, of_event = np.unique(v * d + u, return_inverse=True)
             level("pairs", pairs, len(contexts) * d)
             three, n_three = np.unique(of_event * d + w, return_counts=True)
             level("thirds", three, len(pairs) * d)
-            probabilities("thirds", three // d, len(pairs), n_three)
-        numbers["d"] = d
+            probabilities("thirds", three // d, len(pairs), n_three, contexts[pairs // d])
+        numbers["d"], numbers["whole"] = d, whole
         return cls(levels, numbers)
 
     def score(self, v: np.ndarray, u: np.ndarray | None, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 probability of events in the order of (v, u, w), and where the unigram probability of w is still to be added."""
-        d, lv = np.int64(self.numbers["d"]), self.levels
+        """Log10 probability of events in the order of (v, u, w), and where the unigram probability of w is still to be added.
+
+        For contexts that aren't whole here, the probability of order 2 (at order 3) or its back-off weight is to be added as
+        well; of those that are dealt by successor (the start alone, at order 3), so is the back-off weight of order 3.
+        """
+        d, lv, whole = np.int64(self.numbers["d"]), self.levels, self.numbers["whole"]
         log = np.zeros(len(v))
         context = self.words.find(v)
         seen = context >= 0
@@ -188,14 +209,16 @@ class Trie:
             third = self.thirds.find(pair[has] * d + w[has])
             hit = third >= 0
             log[has[hit]] = lv["thirds_pbook"][lv["thirds_p"][third[hit]]]
-            log[has[~hit]] = lv["thirds_bbook"][lv["thirds_b"][pair[has[~hit]]]]
+            miss = has[~hit & ~self.summed[context[has]]]
+            log[miss] = lv["thirds_bbook"][lv["thirds_b"][pair[miss]]]
             rest[has[hit]] = False
-        back = np.flatnonzero(rest & seen)
+        back = np.flatnonzero(rest & seen & ((v < whole) | (u is None)))
         second = self.seconds.find(context[back] * d + w[back])
         hit = second >= 0
         log[back[hit]] += lv["seconds_pbook"][lv["seconds_p"][second[hit]]]
-        log[back[~hit]] += lv["seconds_bbook"][lv["seconds_b"][context[back[~hit]]]]
         rest[back[hit]] = False
+        back = back[~hit & (v[back] < whole)]
+        log[back] += lv["seconds_bbook"][lv["seconds_b"][context[back]]]
         return log, rest
 
 
@@ -223,13 +246,13 @@ def unsqueeze(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def ways_of(v: np.ndarray, u: np.ndarray, hot: np.ndarray, ways: np.ndarray) -> np.ndarray:
-    """0, or for hot words (sorted hashes and numbers of ways) 1 and one of its ways by the hash of the word before."""
+def ways_of(v: np.ndarray, by: np.ndarray, hot: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    """0, or for hot words (sorted hashes and numbers of ways) 1 and one of its ways by the hash of another word."""
     out = np.zeros(len(v), np.uint64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
         is_hot = np.flatnonzero(hot[at] == v)
-        out[is_hot] = np.uint64(1) + mix(u[is_hot]) % ways[at[is_hot]]
+        out[is_hot] = np.uint64(1) + mix(by[is_hot]) % ways[at[is_hot]]
     return out
 
 
@@ -250,10 +273,8 @@ def pack(hot: np.ndarray, ways: np.ndarray, shards: int, order_: int):
         place = np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)
         at = np.flatnonzero(place >= 2)
         v, u, w, doc = seq[at - 1], seq[at - 2], seq[at], doc[at]
-        # The first event's second context word is the document's own number, so that its hot start is split evenly.
         head = place[at] == 2
-        u = np.where(head, mix(np.uint64(START) + (doc + first).astype(np.uint64) % np.uint64(1 << 12)), u)
-        way = ways_of(v, u, hot, ways)
+        way = ways_of(v, w if order_ == 2 else np.where(head, w, u), hot, ways)
         shard = (mix(context_of(v, way)) % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -291,8 +312,8 @@ def pack(hot: np.ndarray, ways: np.ndarray, shards: int, order_: int):
     return run
 
 
-OUT = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("doc_id", pa.int64()), ("held_out", pa.bool_())])
-OUT_DDL = "kind byte, key long, word long, n long, known long, base double, score double, doc_id long, held_out boolean"
+OUT = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("context", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("doc_id", pa.int64()), ("held_out", pa.bool_())])
+OUT_DDL = "kind byte, key long, context long, word long, n long, known long, base double, score double, doc_id long, held_out boolean"
 
 
 def rows(kind_: int, size: int, **columns) -> pa.Table:
@@ -300,7 +321,12 @@ def rows(kind_: int, size: int, **columns) -> pa.Table:
 
 
 def score_shard(hot: np.ndarray, hot_counts: np.ndarray, order_: int):
-    """Scores a shard's packets. Gives rows of kind 0 (sums of a document), 1 (a document's word without a seen context) and 2 (count of a word)."""
+    """Scores a shard's packets.
+
+    Gives rows of kind 0 (sums of a document), 1 (a document's word without a seen context), 2 (count of a word), 3 (a
+    document's hot contexts whose back-off weight is to be added; at order 3 with their words, instead of kind 1) and 4
+    (number of kinds of successors of a hot context here; at order 3 the counts of its successors here).
+    """
 
     def run(group: pa.Table) -> pa.Table:
         packets = [unsqueeze(p.as_py()) for p in group["payload"]]
@@ -328,6 +354,9 @@ def score_shard(hot: np.ndarray, hot_counts: np.ndarray, order_: int):
         ways_, number = np.unique(v[split].astype(np.int64) * 2**20 + way[split], return_inverse=True)
         c[split] = len(words) + number
         d = len(words) + len(ways_)
+        total = hot_counts[np.searchsorted(hot, words[ways_ >> 20])] if len(ways_) else np.zeros(0, np.int64)
+        if u is not None:
+            total = np.where(words[ways_ >> 20] == START, total, 0)
         del way, split, number
         if u is None:
             order = np.argsort(c * np.int64(d) + w)
@@ -337,7 +366,7 @@ def score_shard(hot: np.ndarray, hot_counts: np.ndarray, order_: int):
         v, w, c = v[order], w[order], c[order]
         of, held = of[order], held_doc[of[order]]
         del order
-        trie = Trie.build(c[~held], u[~held] if u is not None else None, w[~held], d)
+        trie = Trie.build(c[~held], u[~held] if u is not None else None, w[~held], d, whole=len(words), totals=total)
         log, rest = np.zeros(len(v)), np.zeros(len(v), bool)
         for at in range(0, len(v), SCORED):
             some = slice(at, at + SCORED)
@@ -354,6 +383,23 @@ def score_shard(hot: np.ndarray, hot_counts: np.ndarray, order_: int):
         first = who >= 0
         doc_id = pa.array(ids[who], mask=~first | (null[who] == 1)) if len(home) else pa.nulls(len(docs), pa.int64())
         out = [rows(0, len(docs), key=docs, n=np.bincount(of, minlength=len(docs)), known=sums(count[v] > 0).astype(np.int64), base=sums(np.log10(count[v] + 1.0)), score=sums(log), doc_id=doc_id, held_out=held_doc)]
+        dealt = c >= len(words)
+        if u is None:
+            part_, n_part = np.unique(of[rest & dealt].astype(np.int64) * d + v[rest & dealt], return_counts=True)
+            out.append(rows(3, len(part_), key=docs[part_ // d], context=words[part_ % d].view(np.int64), n=n_part))
+            # A hot word's ways don't share a successor.
+            pairs, _ = runs(c[dealt & ~held] * np.int64(d) + w[dealt & ~held])
+            owner, kinds = np.unique(ways_[pairs // d - len(words)] >> 20, return_counts=True)
+            out.append(rows(4, len(owner), context=words[owner].view(np.int64), n=kinds))
+        else:
+            few = np.flatnonzero(rest & dealt)
+            met, pair = np.unique(v[few].astype(np.int64) * d + w[few], return_inverse=True)
+            part_, n_part = np.unique(of[few].astype(np.int64) * max(len(met), 1) + pair, return_counts=True)
+            at_ = met[part_ % max(len(met), 1)]
+            out.append(rows(3, len(part_), key=docs[part_ // max(len(met), 1)], context=words[at_ // d].view(np.int64), word=words[at_ % d].view(np.int64), n=n_part))
+            pairs, n_pairs = np.unique(v[dealt & ~held].astype(np.int64) * d + w[dealt & ~held], return_counts=True)
+            out.append(rows(4, len(pairs), context=words[pairs // d].view(np.int64), word=words[pairs % d].view(np.int64), n=n_pairs))
+            rest &= ~dealt
         left, n_left = np.unique(of[rest].astype(np.int64) * d + w[rest], return_counts=True)
         out.append(rows(1, len(left), key=docs[left // d], word=words[left % d].view(np.int64), n=n_left))
         own = np.unique(v[~held])
@@ -429,7 +475,21 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     distinct = vocabulary.count()
     train = out.where("kind = 0 and not held_out").agg(F.sum("n")).first()[0] or 0
     norm = F.log10(F.lit(float(train + distinct + 1)))
-    rest = out.where("kind = 1").select("key", "word", "n").join(vocabulary.select("word", F.col("n").alias("c")), "word", "left")
+    # Hot contexts: their back-off weights, and at order 3 their pairs, over all shards.
+    hot_totals = spark.createDataFrame([(int(h) - (int(h) >> 63 << 64), int(c)) for h, c in zip(hot, hot_counts, strict=True)], "context long, total long")
+    whole = out.where("kind = 4").select("context", "word", "n").groupBy("context", "word").agg(F.sum("n").alias("pair"))
+    kinds = whole.groupBy("context").agg((F.sum("pair") if order == 2 else F.count(F.lit(1))).alias("kinds"))
+    # At the start both words of the context of order 3 are the start: its weight is that of order 2 again.
+    twice = F.when(F.col("context") == START - (START >> 63 << 64), order - 1).otherwise(1)
+    weights = hot_totals.join(kinds, "context", "left").withColumn("weight", F.coalesce(twice * F.log10(DISCOUNT * F.col("kinds") / F.col("total")), F.lit(0.0)))
+    back = out.where("kind = 3").select("key", "context", "word", "n").join(F.broadcast(weights), "context")
+    unigrams = out.where("kind = 1").select("key", "word", "n")
+    if order == 3:
+        back = back.join(whole, ["context", "word"], "left")
+        unigrams = unigrams.unionAll(back.where("pair is null").select("key", "word", "n"))
+        back = back.withColumn("weight", F.coalesce(F.log10((F.col("pair") - DISCOUNT) / F.col("total")), "weight"))
+    rest = unigrams.join(vocabulary.select("word", F.col("n").alias("c")), "word", "left")
     rest = rest.select("key", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("n") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0) - norm)).alias("score"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"))
-    sums = out.where("kind = 0").select("key", "n", "known", "base", "score", "doc_id", "held_out").unionAll(rest).groupBy("key").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"))
+    back = back.select("key", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("n") * F.col("weight")).alias("score"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"))
+    sums = out.where("kind = 0").select("key", "n", "known", "base", "score", "doc_id", "held_out").unionAll(rest).unionAll(back).groupBy("key").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"))
     return sums.select("doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(train).cast("long").alias("train_tokens"), (F.col("base") - F.col("n") * norm).alias("base_score"), "score")

@@ -104,3 +104,44 @@ def test_edges(spark):
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
     assert lm.score(docs.where("false")).collect() == []
+
+
+def back_off(rows, order):
+    """Unquantised back-off scores of all documents, by dictionaries over the whole table."""
+    docs = []
+    for doc_id, text in rows:
+        docs.append((doc_id, zlib.crc32(str(doc_id).encode()) % 7 == 2, ["<s>", "<s>", *text.split(), "</s>"]))
+    count = [Counter() for _ in range(3)]
+    for _, held, t in docs:
+        for i in range(2, len(t) * (not held)):
+            for k in range(3):
+                count[k][tuple(t[i - k : i + 1])] += 1
+    total, kinds = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
+    for k in range(3):
+        for gram, n in count[k].items():
+            total[k][gram[:-1]] += n
+            kinds[k][gram[:-1]] += 1
+    size = total[0][()] + len(count[0]) + 1
+
+    def log(gram):
+        k, d = len(gram) - 1, lm.DISCOUNT
+        if not k:
+            return log10((count[0][gram] + 1) / size)
+        if gram in count[k]:
+            return log10((count[k][gram] - d) / total[k][gram[:-1]])
+        return log(gram[1:]) + (log10(d * kinds[k][gram[:-1]] / total[k][gram[:-1]]) if gram[:-1] in total[k] else 0)
+
+    return {d: (len(t) - 2, sum(log(tuple(t[i - order + 1 : i + 1])) for i in range(2, len(t)))) for d, _, t in docs}
+
+
+@pytest.mark.parametrize(("order", "shard_events"), [(2, 2_000_000), (2, 150), (3, 2_000_000), (3, 150)])
+def test_hot_contexts_keep_whole_counts(spark, monkeypatch, order, shard_events):
+    monkeypatch.setattr(lm, "SHARD_EVENTS", shard_events)
+    rng = np.random.default_rng(5)
+    rows = [(d, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.5, rng.integers(1, 25)), 300))) for d in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = back_off(rows, order)
+    got = {r.doc_id: r.score for r in lm.score(docs, order).collect()}
+    assert set(got) == set(want)
+    for d, (n, score) in want.items():
+        assert got[d] == pytest.approx(score, abs=2e-3 * n)
