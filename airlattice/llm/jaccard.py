@@ -3,17 +3,16 @@
 1. Every document becomes its set of five-word shingles; documents of equal sets are one node.
 2. MinHash signatures are cut into bands; band and row counts are chosen so that a pair at the threshold meets in
    some band with probability ``RECALL``. Nodes shuffle on band hashes.
-3. A bucket of up to ``ALL_PAIRS`` nodes proposes all its pairs. A larger one first proposes the pairs of its least node
-   with each other node. Then rounds follow: in each bucket that still holds several classes, nodes outside its largest
-   class are asked against all nodes of other classes. Who is asked is drawn by hash, alike in all buckets, some
-   ``FIRST_ASKED`` in the largest bucket at first and ``MORE_ASKED`` times as many in each round, up to all; as soon as what
-   is left comes to few pairs a document, all of it is asked at once. Nodes of
-   one class need no pair between them, so a group of near copies of any size costs a few pairs a member, and
-   yet no pair that could join two classes is left out.
+3. A bucket of up to ``ALL_PAIRS`` nodes proposes all its pairs, which are verified as rows of a join. The nodes of larger
+buckets are dealt into blocks of at most about ``BLOCK_NODES`` nodes and ``BLOCK_SHINGLES`` shingles, so that nodes that hang
+together by such buckets share blocks. Each pair of blocks that meets in a large bucket is one group: it has the nodes of
+those buckets once, forms all their pairs that meet in a large bucket and in no small one, and verifies them by matrix
+products. It gives each node's number of links and a forest of the links, so a group of near copies of any size costs a
+few rows a member and block, and no pair is left out.
 4. Pairs are verified on full sets, and classes are the connected components of the verified links.
 
 Result: one row a document with class_id (least doc_id of its class), class_size (documents) and n_links (verified
-links of its set to different sets; in buckets above ``ALL_PAIRS`` only those that step 3 asks for).
+links of its set to different sets).
 
 Nulls: a null text is empty; all empty texts are one node without links. A text of fewer than five words has one
 shingle. A null doc_id is kept and counts in its class; the class takes the least doc_id that isn't null.
@@ -37,8 +36,10 @@ from .hashing import WordIds, mix, shingles, texts
 from .words import text_of
 
 THRESHOLD, RECALL, ROWS = 0.8, 0.999, 6
-ALL_PAIRS, FIRST_ASKED, MORE_ASKED = 16, 8, 64
-#: Pairs a document up to which all that is left is asked in one round.
+ALL_PAIRS, BLOCK_NODES, BLOCK_SHINGLES = 16, 512, 1_000_000
+#: Shingles of a block that are multiplied at a time.
+SLICE = 4096
+#: Not read any more: large buckets have no rounds.
 LAST_ROUND = 4
 
 
@@ -107,11 +108,108 @@ def similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, linked) of pairs (a, b)."""
     left = sets.select(F.col("node").alias("a"), F.col("found").alias("found_a"))
     right = sets.select(F.col("node").alias("b"), F.col("found").alias("found_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (similarity(F.col("found_a"), F.col("found_b")) >= THRESHOLD - 1e-12).alias("linked"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (similarity(F.col("found_a"), F.col("found_b")) >= threshold - 1e-12).alias("linked"))
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``left`` with each of ``right``."""
+    out = np.zeros((len(left), len(right)))
+    row_l, row_r = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right))
+    flat_l, flat_r = np.concatenate(left), np.concatenate(right)
+    order_l, order_r = np.argsort(flat_l, kind="stable"), np.argsort(flat_r, kind="stable")
+    flat_l, row_l, flat_r, row_r = flat_l[order_l], row_l[order_l], flat_r[order_r], row_r[order_r]
+    both = np.intersect1d(flat_l, flat_r)
+    for at in range(0, len(both), SLICE):
+        some, dense = both[at : at + SLICE], []
+        for flat, row, n in ((flat_l, row_l, len(left)), (flat_r, row_r, len(right))):
+            lo, hi = np.searchsorted(flat, some[0]), np.searchsorted(flat, some[-1], side="right")
+            place = np.minimum(np.searchsorted(some, flat[lo:hi]), len(some) - 1)
+            hit = some[place] == flat[lo:hi]
+            x = np.zeros((n, len(some)), np.float32)
+            x[row[lo:hi][hit], place[hit]] = 1
+            dense.append(x)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Indices of edges that join n nodes as all edges (a, b) do."""
+    parent, kept = list(range(n)), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+            if len(kept) == n - 1:
+                break
+    return kept
+
+
+def block_links(threshold: float):
+    """(a, b, n_links) of a pair of blocks: links of node ``a``, and without n_links an edge of the forest."""
+
+    def run(group: pa.Table) -> pa.Table:
+        node, block = group["node"].to_numpy(), group["block"].to_numpy()
+        first, second = group["first"][0].as_py(), group["second"][0].as_py()
+        found = [x.values.to_numpy() for x in group["found"]]
+        keys = np.stack([x.values.to_numpy() for x in group["bands"]])
+        small = [set(x.as_py() or ()) for x in group["small"]]
+        rare = np.array([[int(k) in s for k in row] for row, s in zip(keys, small, strict=True)]).reshape(keys.shape)
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        meet, apart = np.zeros((len(left), len(right)), bool), np.zeros((len(left), len(right)), bool)
+        for j in range(keys.shape[1]):
+            same = keys[left, j][:, None] == keys[right, j][None, :]
+            meet |= same
+            apart |= same & rare[left, j][:, None]
+        meet &= ~apart
+        if first == second:
+            meet = np.triu(meet, 1)
+        used_l, used_r = np.flatnonzero(meet.any(axis=1)), np.flatnonzero(meet.any(axis=0))
+        if not len(used_l):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+        left, right, meet = left[used_l], right[used_r], meet[np.ix_(used_l, used_r)]
+        shared = shared_counts([found[i] for i in left], [found[i] for i in right])
+        size = np.array([len(x) for x in found])
+        linked = meet & (shared / (size[left][:, None] + size[right][None, :] - shared) >= threshold - 1e-12)
+        x, y = np.nonzero(linked)
+        kept = forest(len(node), left[x], right[y])
+        degree = np.bincount(left, linked.sum(axis=1), len(node)) + np.bincount(right, linked.sum(axis=0), len(node))
+        some = np.flatnonzero(degree)
+        none = lambda n, kind: pa.nulls(n, kind)
+        return pa.table({
+            "a": pa.array(np.r_[node[some], node[left[x[kept]]]], pa.int64()),
+            "b": pa.concat_arrays([none(len(some), pa.int64()), pa.array(node[right[y[kept]]], pa.int64())]),
+            "n_links": pa.concat_arrays([pa.array(degree[some].astype(np.int64)), none(len(kept), pa.int64())]),
+        })
+
+    return run
+
+
+def large_links(large: DataFrame, small: DataFrame, one: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Rows of ``block_links`` for the buckets of ``large`` (band, node, leader); ``small`` (band, node) has the other buckets."""
+    star = large.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    hang = components(star)  # every node of a large bucket is in it
+    sized = hang.join(sets.select("node", F.size("found").alias("n_found")), "node")
+    per = sized.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n_found") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    dealt = sized.join(per, "label").select("node", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))).alias("block")).checkpoint()
+    placed = large.select("band", "node").join(dealt, "node").checkpoint()
+    seen = placed.select("band", "block").distinct()
+    met = placed.join(seen.withColumnRenamed("block", "other"), "band")
+    groups = met.select(F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "block").distinct()
+    rare = small.join(dealt.select("node"), "node").groupBy("node").agg(F.collect_list("band").alias("small"))
+    full = sets.join(dealt.select("node"), "node").join(one.select("node", "bands"), "node").join(rare, "node", "left")
+    return groups.join(full, "node").groupBy("first", "second").applyInArrow(block_links(threshold), "a long, b long, n_links long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -142,39 +240,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     met = keys.join(buckets, "band").checkpoint()
     small = met.where(F.col("n") <= ALL_PAIRS)
     few = small.select("band", F.col("node").alias("a")).join(small.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
-    star = met.where((F.col("n") > ALL_PAIRS) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    pairs = few.unionAll(star).distinct().checkpoint()
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(met.where(F.col("n") > ALL_PAIRS).select("node")).distinct()
+    pairs = few.distinct().checkpoint()
+    large = met.where(F.col("n") > ALL_PAIRS)
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(large.select("node")).distinct()
     sets = sets_of(docs, one.join(wanted, "node")).checkpoint()
-    first = verify(pairs, sets).checkpoint()
-    links = first.where("linked").select("a", "b")
-    labels = components(links)
-    large = met.where(F.col("n") > ALL_PAIRS).select("band", "node")
-    most = met.agg(F.max("n")).first()[0] or 0
-    tried, rate, n_docs = pairs, FIRST_ASKED / max(most, FIRST_ASKED), all_.count()
-    while most > ALL_PAIRS:
-        now = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).checkpoint()
-        sizes = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").checkpoint()
-        left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0]
-        if not left:
-            break
-        if left <= LAST_ROUND * n_docs:
-            rate = 1.0
-        open_ = now.join(main.select("band", "main"), "band")
-        drawn = F.shiftrightunsigned(F.xxhash64("node", F.lit("ask")), 11) / float(1 << 53) < rate
-        ask = open_.where((F.col("label") != F.col("main")) & drawn).select("band", F.col("node").alias("x"), F.col("label").alias("label_x"))
-        more = ask.join(open_.select("band", F.col("node").alias("y"), F.col("label").alias("label_y")), "band").where("label_x != label_y")
-        more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti").checkpoint()
-        new = verify(more, sets).where("linked").select("a", "b").checkpoint()
-        tried, links = tried.unionAll(more), links.unionAll(new)
-        if not new.isEmpty():
-            labels = components(links)
-        if rate >= 1:
-            break
-        rate = min(1.0, rate * MORE_ASKED)
-    links = links.checkpoint()
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    links = verify(pairs, sets, threshold).where("linked").select("a", "b").checkpoint()
+    blocks = large_links(large, small, one, sets, threshold).checkpoint()
+    labels = components(links.unionAll(blocks.where("b is not null").select("a", "b")))
+    ends = [links.select(F.col(x).alias("node"), F.lit(1).cast("long").alias("n")) for x in ("a", "b")]
+    counted = blocks.where("b is null").select(F.col("a").alias("node"), F.col("n_links").alias("n"))
+    degree = ends[0].unionAll(ends[1]).unionAll(counted).groupBy("node").agg(F.sum("n").alias("n_links"))
     marks = labels.join(degree, "node")
     docs_ = all_.select("doc_id", "text_hash", "node").join(marks, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per = docs_.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))

@@ -61,6 +61,34 @@ def test_large_group_is_one_class(spark, monkeypatch, last):
     assert {d: x[:2] for d, x in got.items()} == {d: x[:2] for d, x in want.items()}
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_large_group_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", block, raising=False)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for d in range(90):
+        w = list(words)
+        for _ in range(rng.randint(1, 3) if d < 60 else rng.randint(4, 12)):
+            w[rng.randrange(400)] = f"x{d}_{rng.random()}"
+        rows.append((d, " ".join(w)))
+    got, want = found(spark, rows), brute(rows)
+    assert {d: x[:2] for d, x in got.items()} == {d: x[:2] for d, x in want.items()}
+    # Pairs that lie at the threshold may meet in no band.
+    sums = [sum(x[2] for x in y.values()) for y in (got, want)]
+    assert all(got[d][2] <= want[d][2] for d in got) and sums[0] >= 0.999 * sums[1]
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(jaccard, "SLICE", 7)
+    rng = random.Random(5)
+    import numpy as np
+
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 40))), np.int64) for _ in range(20)]
+    want = [[len(set(a) & set(b)) for b in sets[8:]] for a in sets[:8]]
+    assert jaccard.shared_counts(sets[:8], sets[8:]).tolist() == want
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d e f", "z"), (1, "a b c  d e f", "y"), (1, "a b c  d e f", "y"), (None, "a b c d e f", None), (7, "other text entirely", "x"), (None, "lonely words of no id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
