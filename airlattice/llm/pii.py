@@ -5,7 +5,7 @@ I-kind. It is trained on a small labelled table: the windows around digits, @ an
 of least hash (texts of up to ``TRAIN_CHARS`` characters), labelled by the base spans. Decoding is by Viterbi in numpy
 batches. Words without a digit, @ or + share one shape; where O beats every other label of a word by more than its
 transitions can repay, O is certain there, and the chain falls into short segments that are decoded side by side. Decoded
-spans that don't touch a base span are added.
+spans that don't touch a base span are added if they hold an @ or a digit (e-mail) or a digit (other kinds).
 
 Nulls and empty texts have no spans. Spans are in code points, end exclusive. Repeated rows are treated alike. A table
 in which nothing is found trains no model and adds no span. Whole texts are scanned, of any length.
@@ -40,7 +40,7 @@ LOCAL_SYMBOLS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-DIGIT, MARK = re.compile(r"[0-9]"), re.compile(r"[0-9@+]")
+DIGIT, MAIL, MARK = re.compile(r"[0-9]"), re.compile(r"[0-9@]"), re.compile(r"[0-9@+]")
 
 
 def luhn(digits: str) -> bool:
@@ -274,7 +274,7 @@ def train(texts: list[str]) -> Field | None:
 
 
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Decoded spans that touch no base span, without punctuation at their ends."""
+    """Decoded spans that touch no base span, without punctuation at their ends; e-mails hold an @ or a digit, other kinds a digit."""
     at, out, j = [m.span() for m in WORD.finditer(text)], [], 0
     for i in np.flatnonzero(labels):
         if i < j:
@@ -287,7 +287,7 @@ def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]])
             e -= 1
         while s < e and text[s] in "([{\"'":
             s += 1
-        if s < e and DIGIT.search(text[s:e]) and not any(b < e and s < f for _, b, f in base):
+        if s < e and (MAIL if KINDS[kind] == "email" else DIGIT).search(text[s:e]) and not any(b < e and s < f for _, b, f in base):
             out.append((KINDS[kind], s, e))
     return out
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from airlattice.llm import pii, toxicity
 
@@ -76,6 +77,16 @@ def test_nothing_to_learn(spark):
     assert [(r.n_added, r.spans) for r in pii.find(docs).collect()] == [(0, ""), (0, "")]
 
 
+@pytest.mark.parametrize("near", ["josé@example.com", "zoë@example.org", "jane@localhost"])
+def test_field_adds_emails_without_digits(spark, near):
+    names = ["ann", "bob", "carla", "dieter", "eve"]
+    rows = [(i, f"please write to {names[i % 5]}@example.com today about the order") for i in range(60)]
+    rows += [(100, f"please write to {near} today about the order"), (101, "please write to them today about the order")]
+    got = {r.doc_id: (r.n_email, r.n_added, r.spans) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == (0, 1, f"email:16:{16 + len(near)}")
+    assert got[101] == (0, 0, "") and all(got[d][:2] == (1, 0) for d in range(60))
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
