@@ -1,37 +1,41 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds spans.
 
 The patterns give the base spans (email, ip, card, phone), which always stay. The field labels words O, B-kind or
-I-kind. It is trained on a small labelled table: the windows around digits, @ and + of at most ``TRAIN_DOCS`` documents
-of least hash (texts of up to ``TRAIN_CHARS`` characters), labelled by the base spans. Decoding is by Viterbi in numpy
-batches. Words without a digit, @ or + share one shape; where O beats every other label of a word by more than its
-transitions can repay, O is certain there, and the chain falls into short segments that are decoded side by side. Decoded
-spans that don't touch a base span are added if they hold an @ or a digit (e-mail) or a digit (other kinds).
-
-Nulls and empty texts have no spans. Spans are in code points, end exclusive. Repeated rows are treated alike. A table
-in which nothing is found trains no model and adds no span. Whole texts are scanned, of any length.
+I-kind, with one kind more (secret: keys, tokens, passwords). It is trained on the small labelled table of
+``pii_examples``, so a model doesn't depend on the corpus. Its features are the shapes of a word and of the two words on
+either side, and the identity of the words that the table has. Decoding is by Viterbi in numpy batches. A word with a
+digit, @, + or a bracketed "at" or "dot" is marked; words that are neither marked nor beside a marked one are O. Where O
+beats every other label of a word by more than its transitions can repay, O is certain, and the chain falls into short
+segments that are decoded side by side. Decoded spans that don't touch a base span are added if they have their kind's own
+form: a card number must pass its check digit, an address its ranges, a phone number has 7 to 15 digits.
+
+Nulls and empty texts have no spans. Spans are in code points, end exclusive. Repeated rows are treated alike. Whole texts
+are scanned, of any length. An empty table gives no rows; input columns are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from airlattice.session import ship
 
-from .words import text_of
+from .pii_examples import examples
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, TRAIN_CHARS = 200, 20_000
+#: Kinds of the field: those of the patterns, and one that only the field finds.
+FIELD_KINDS = (*KINDS, "secret")
 EPOCHS, RATE, DECAY = 100, 0.2, 1e-3
-#: Held against any label but O of a plain word: no kind has words without a digit, @ or +.
-PLAIN = 30.0
-LABELS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
+LABELS = 1 + 2 * len(FIELD_KINDS)  # O, then B and I of each kind
+#: Words on either side whose features a word's score has.
+REACH = 2
+PLACES = 2 * REACH + 1
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,7 +44,9 @@ LOCAL_SYMBOLS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-DIGIT, MAIL, MARK = re.compile(r"[0-9]"), re.compile(r"[0-9@]"), re.compile(r"[0-9@+]")
+DIGIT, MARK = re.compile(r"[0-9]"), re.compile(r"[0-9@+]|[\[({](?:at|dot)[\])}]", re.IGNORECASE)
+BRACKETED = re.compile(rb"[\[({](?:at|dot)[\])}]", re.IGNORECASE)
+EDGES = "\"'`.,;:!?()[]{}<>#$%&*="
 
 
 def luhn(digits: str) -> bool:
@@ -89,18 +95,33 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 # --- word shapes -----------------------------------------------------------------------------------------------
 
 
+def marked(word: bytes) -> bool:
+    return any(48 <= c <= 57 for c in word) or b"@" in word or b"+" in word or BRACKETED.search(word) is not None
+
+
 def shape(word: bytes) -> tuple[str, ...] | None:
-    """Features of a word; None for words without a digit, @ or +, which are all alike."""
-    digits = sum(48 <= c <= 57 for c in word)
-    if not digits and b"@" not in word and b"+" not in word:
+    """Features of a marked word; None for others."""
+    if not marked(word):
         return None
+    text = word.decode("utf-8", "replace")
+    core = text.strip(EDGES)
+    digits = "".join(c for c in core if c in "0123456789")
     runs: list[str] = []
-    for c in word:
-        k = "d" if 48 <= c <= 57 else "x" if 97 <= c <= 122 or c >= 128 else "X" if 65 <= c <= 90 else chr(c)
+    for c in core:
+        k = "d" if c in "0123456789" else "x" if c.islower() or ord(c) >= 128 else "X" if c.isupper() else c
         if not runs or runs[-1] != k:
             runs.append(k)
-    size = "0" if not digits else str(digits) if digits < 5 else "5+" if digits < 9 else "9+" if digits < 12 else "12+" if digits < 20 else "20+"
-    return "shape:" + "".join(runs[:24]), "digits:" + size, "dots:%d" % min(word.count(b"."), 4), "ends:" + runs[0] + runs[-1], "at:%d" % (b"@" in word)
+    n = len(digits)
+    size = str(n) if n < 5 else "5+" if n < 7 else "7+" if n < 9 else "9+" if n < 12 else "12+" if n < 20 else "20+"
+    letters = sum(c.isalpha() for c in core)
+    kind = "hex" if len(core) >= 16 and letters and not core.strip("0123456789abcdefABCDEF") else "mix" if len(core) >= 16 and letters and n and core.replace("_", "").isalnum() else "num" if n == len(core) else "other"
+    out = ["shape:" + "".join(runs[:12]), "digits:" + size, "dots:%d" % min(core.count("."), 4), "colons:%d" % min(core.count(":"), 3), "at:%d" % ("@" in core or BRACKETED.search(word) is not None), "begin:" + text[0] if not text[0].isalnum() else "begin:a", "long:%d" % min(len(core) // 8, 5), "kind:" + kind]
+    groups = re.findall("[0-9]+", core)
+    if 2 <= len(groups) <= 5:
+        out.append("groups:" + "-".join(str(min(len(g), 9)) for g in groups))
+    if 12 <= n <= 19:
+        out.append("check:%d" % luhn(digits))
+    return tuple(out)
 
 
 class Words(dict):
@@ -115,26 +136,34 @@ class Words(dict):
     def __missing__(self, w: bytes) -> int:
         if len(self) >= 500_000:
             self.clear()
-        self[w] = n = self.field.class_of(shape(w))
+        self[w] = n = self.field.class_of(self.field.features_of(w))
         return n
 
 
+def cue(word: bytes) -> str:
+    return word.decode("utf-8", "replace").lower().strip(EDGES.replace("=", "").replace(":", "")) or "-"
+
+
 class Field:
     """Weights of a linear-chain conditional random field over the shapes of a word and its neighbours."""
 
     def __init__(self, features: dict[str, int], emit: np.ndarray, move: np.ndarray):
-        self.features, self.emit, self.move = features, emit, move  # emit: [3 places, features, labels]; feature 0 is the plain word
+        self.features, self.emit, self.move = features, emit, move  # emit: [places, features, labels]; feature 0 is a plain word
         self.classes: dict[tuple | None, int] = {}
         self.scores: list[np.ndarray] = []
+        self.marked: list[bool] = []
         self.words = Words(self)
         self.class_of(None)
         # What a label could gain over O by its two transitions, at most, with an edge on either side or not.
         gain = np.maximum((move - move[:, :1]).max(axis=0), 0) + np.maximum((move - move[:1]).max(axis=1), 0)
         self.gain = gain[1:] + 1e-9
-        alone = self.scores[0][1]
-        sides = [alone + a * self.scores[0][0] + b * self.scores[0][2] for a in (0, 1) for b in (0, 1)]
-        #: A plain word between plain words, or at an edge, is O for certain.
-        self.plain = all(self.sure(x[None])[0] for x in sides)
+
+    def features_of(self, w: bytes) -> tuple[str, ...] | None:
+        """Those of a marked word; of another word its identity, if the labelled table has it."""
+        found = shape(w)
+        if found is None and (name := "word:" + cue(w)) in self.features:
+            return (name,)
+        return found
 
     def class_of(self, s: tuple | None) -> int:
         n = self.classes.get(s)
@@ -142,6 +171,7 @@ class Field:
             ids = [0] if s is None else [self.features[f] for f in s if f in self.features]
             self.classes[s] = n = len(self.scores)
             self.scores.append(self.emit[:, ids].sum(axis=1))
+            self.marked.append(s is not None and not s[0].startswith("word:"))
         return n
 
     def sure(self, score: np.ndarray) -> np.ndarray:
@@ -150,22 +180,27 @@ class Field:
 
     def decode(self, classes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
         """Labels of the words of many texts laid end to end; breaks marks the first word of each text."""
-        out = np.zeros(len(classes), np.int8)
-        near = classes != 0 if self.plain else np.ones(len(classes), bool)
-        near[1:] |= classes[:-1] != 0
-        near[:-1] |= classes[1:] != 0
+        n = len(classes)
+        out = np.zeros(n, np.int8)
+        hot = np.array(self.marked)[classes]
+        text = np.cumsum(breaks)
+        near = hot.copy()
+        near[1:] |= hot[:-1] & (text[1:] == text[:-1])
+        near[:-1] |= hot[1:] & (text[1:] == text[:-1])
         at = np.flatnonzero(near)
         if not len(at):
             return out
-        table = np.stack(self.scores)  # [classes, 3, labels]
-        edge = np.r_[breaks, True]
-        score = table[classes[at], 1]
-        score += np.where(edge[at, None], 0, table[classes[at - 1], 0])
-        score += np.where(edge[at + 1, None], 0, table[classes[np.minimum(at + 1, len(classes) - 1)], 2])
-        sure = self.sure(score)
-        open_ = at[~sure]
+        table = np.stack(self.scores)  # [classes, places, labels]
+        score = np.zeros((len(at), LABELS))
+        for p in range(PLACES):
+            other = at + p - REACH
+            there = (other >= 0) & (other < n)
+            there[there] = text[other[there]] == text[at[there]]
+            score[there] += table[classes[other[there]], p]
+        open_ = at[~self.sure(score)]
         if not len(open_):
             return out
+        edge = np.r_[breaks, True]
         place = np.searchsorted(at, open_)  # rows of score; those of a segment are neighbours
         first = np.r_[True, (np.diff(open_) > 1) | breaks[open_[1:]]]
         start, length = place[first], np.diff(np.r_[np.flatnonzero(first), len(open_)])
@@ -199,134 +234,154 @@ def word_labels(words: list[tuple[int, int]], spans: list[tuple[str, int, int]])
         while i < len(spans) and spans[i][2] <= s:
             i += 1
         if i < len(spans) and spans[i][1] < e:
-            k = 1 + 2 * KINDS.index(spans[i][0])
+            k = 1 + 2 * FIELD_KINDS.index(spans[i][0])
             out.append(k if spans[i][1] >= s else k + 1)
         else:
             out.append(0)
     return out
 
 
-def train(texts: list[str]) -> Field | None:
-    """Maximum likelihood with a ridge, by full-batch Adam over the windows around words that aren't plain."""
+def train(table: list[tuple[str, list[tuple[str, int, int]]]]) -> Field:
+    """Maximum likelihood with a ridge, by full-batch Adam over the sentences of a labelled table."""
+    features = {"": 0}
     windows: list[tuple[list, list]] = []
-    for text in texts:
+    for text, spans in table:
         at = [m.span() for m in WORD.finditer(text)]
-        shapes = [shape(text[s:e].encode()) for s, e in at]
-        labels = word_labels(at, base_spans(text))
-        i = 0
-        while i < len(at):
-            if shapes[i] is None:
-                i += 1
-                continue
-            j = i
-            while j + 1 < len(at) and any(x is not None for x in shapes[j + 1 : j + 4]):
-                j += 1
-            lo, hi = max(0, i - 3), min(len(at), j + 4)
-            for k in range(lo, hi, 40):
-                windows.append((shapes[k : min(k + 40, hi)], labels[k : min(k + 40, hi)]))
-            i = j + 1
-    if not any(any(y) for _, y in windows):
-        return None
-    features = {"": 0}
-    for xs, _ in windows:
-        for s in xs:
-            for f in s or ():
-                features.setdefault(f, len(features))
+        words = [text[s:e].encode() for s, e in at]
+        shapes = [shape(w) or ("word:" + cue(w),) for w in words]
+        windows.append((shapes, word_labels(at, spans)))
+    seen = Counter(f for xs, _ in windows for s in xs for f in s)
+    for f, n in seen.items():
+        if n > 1 or not f.startswith("word:"):
+            features.setdefault(f, len(features))
     n, t, f = len(windows), max(len(x) for x, _ in windows), len(features)
-    x = np.zeros((n, t + 2, f))
-    gold, mask = np.zeros((n, t), int), np.zeros((n, t), bool)
+    x = np.zeros((n, t + 2 * REACH, f), np.float32)
+    gold, mask, near = np.zeros((n, t), int), np.zeros((n, t), bool), np.zeros((n, t + 2), bool)
     for i, (xs, ys) in enumerate(windows):
         for j, s in enumerate(xs):
-            x[i, j + 1, [0] if s is None else [features[g] for g in s]] = 1
+            # Every third sentence knows its plain words as such only: most words of a corpus are not in the table.
+            known = [features[g] for g in s if g in features and not (i % 3 == 0 and g.startswith("word:"))]
+            x[i, j + REACH, known or [0]] = 1
+            near[i, j : j + 3] |= not s[0].startswith("word:")
         gold[i, : len(ys)], mask[i, : len(ys)] = ys, True
-    places = [np.ascontiguousarray(x[:, p : p + t].reshape(n * t, f)) for p in range(3)]
-    emit, move = np.zeros((3, f, LABELS)), np.zeros((LABELS, LABELS))
+    # As in decoding, a word that is neither marked nor beside a marked one is O, whatever the features say.
+    near = near[:, 1:-1] & mask
+    gold *= near
+    at = np.nonzero(near)
+    places = [np.ascontiguousarray(x[at[0], at[1] + p]) for p in range(PLACES)]
+    del x
+    emit, move = np.zeros((PLACES, f, LABELS)), np.zeros((LABELS, LABELS))
     m = [np.zeros_like(emit), np.zeros_like(move)]
     v = [np.zeros_like(emit), np.zeros_like(move)]
     one = np.eye(LABELS)[gold] * mask[:, :, None]
-    pairs = mask[:, 1:]
-    lse = lambda x, axis: np.log(np.exp(x - (top := x.max(axis=axis, keepdims=True))).sum(axis=axis)) + top.squeeze(axis)
+    gold_pairs = np.einsum("ija,ijb->ab", one[:, :-1] * mask[:, 1:, None], one[:, 1:])
     for epoch in range(1, EPOCHS + 1):
-        score = sum(places[p] @ emit[p] for p in range(3)).reshape(n, t, LABELS)
-        alpha, beta = np.zeros((n, t, LABELS)), np.zeros((n, t, LABELS))
-        alpha[:, 0] = score[:, 0]
+        local = sum(places[p] @ emit[p].astype(np.float32) for p in range(PLACES)).astype(float)
+        odds = np.zeros((n, t, LABELS))
+        odds[:, :, 0] = 1
+        odds[at] = np.exp(local - local.max(axis=1, keepdims=True))
+        step = np.exp(move)
+        # Forward and backward in probabilities, scaled at every word.
+        fore, back, scale = np.ones((n, t, LABELS)), np.ones((n, t, LABELS)), np.ones((n, t, 1))
+        fore[:, 0] = odds[:, 0] / odds[:, 0].sum(axis=1, keepdims=True)
         for j in range(1, t):
-            nxt = lse(alpha[:, j - 1, :, None] + move, 1) + score[:, j]
-            alpha[:, j] = np.where(mask[:, j, None], nxt, alpha[:, j - 1])
+            nxt = (fore[:, j - 1] @ step) * odds[:, j]
+            scale[:, j] = np.where(mask[:, j, None], nxt.sum(axis=1, keepdims=True), 1)
+            fore[:, j] = np.where(mask[:, j, None], nxt / scale[:, j], fore[:, j - 1])
         for j in range(t - 2, -1, -1):
-            nxt = lse(move + (score[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
-            beta[:, j] = np.where(mask[:, j + 1, None], nxt, 0)
-        z = lse(alpha[:, -1], 1)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        wrong = (p - one) / n
-        grad = np.stack([x.T @ wrong.reshape(n * t, LABELS) for x in places])
-        edge = np.zeros_like(move)
-        for j in range(t - 1):
-            q = np.exp(alpha[:, j, :, None] + move + (score[:, j + 1] + beta[:, j + 1])[:, None, :] - z[:, None, None]) * pairs[:, j, None, None]
-            edge += q.sum(axis=0)
-        edge = (edge - np.einsum("ija,ijb->ab", one[:, :-1] * pairs[:, :, None], one[:, 1:])) / n
+            back[:, j] = np.where(mask[:, j + 1, None], (odds[:, j + 1] * back[:, j + 1] / scale[:, j + 1]) @ step.T, 1)
+        p = fore * back
+        p /= p.sum(axis=2, keepdims=True)
+        wrong = ((p - one)[at] / n).astype(np.float32)
+        grad = np.stack([y.T @ wrong for y in places]).astype(float)
+        ahead = odds[:, 1:] * back[:, 1:] / scale[:, 1:] * mask[:, 1:, None]
+        edge = (step * np.einsum("ija,ijb->ab", fore[:, :-1], ahead, optimize=True) - gold_pairs) / n
         for w, g, mm, vv in ((emit, grad + DECAY * emit, m[0], v[0]), (move, edge + DECAY * move, m[1], v[1])):
             mm += 0.1 * (g - mm)
             vv += 0.01 * (g * g - vv)
             w -= RATE * (mm / (1 - 0.9**epoch)) / (np.sqrt(vv / (1 - 0.99**epoch)) + 1e-8)
-    emit[1, 0, 1:] -= PLAIN
     return Field(features, emit, move)
 
 
+def has_form(kind: str, text: str) -> bool:
+    """Whether a decoded span has its kind's own form."""
+    digits = "".join(c for c in text if c in "0123456789")
+    if kind == "email":
+        return "@" in text.strip("@") or BRACKETED.search(text.encode("utf-8", "replace")) is not None
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 7 <= len(digits) <= 15 and not any(c.isalpha() for c in text)
+    if kind == "ip":
+        parts = re.split(r"\.|\[\.\]|\(\.\)", text)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts) or re.fullmatch(r"[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{0,4}){2,7}", text) is not None
+    return len(text) >= 7 and any(c.isalpha() for c in text) and bool(digits)
+
+
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Decoded spans that touch no base span, without punctuation at their ends; e-mails hold an @ or a digit, other kinds a digit."""
+    """Decoded spans that touch no base span and have their kind's form, without punctuation at their ends."""
     at, out, j = [m.span() for m in WORD.finditer(text)], [], 0
     for i in np.flatnonzero(labels):
         if i < j:
             continue
-        kind, j = (labels[i] - 1) // 2, i + 1
-        while j < len(labels) and labels[j] == 2 * kind + 2:
+        k, j = (labels[i] - 1) // 2, i + 1
+        while j < len(labels) and labels[j] == 2 * k + 2:
             j += 1
-        s, e = at[i][0], at[j - 1][1]
-        while e > s and text[e - 1] in ".,;:!?)]}\"'":
+        kind, s, e = FIELD_KINDS[k], at[i][0], at[j - 1][1]
+        after, before = (EDGES, EDGES.replace("(", "") if kind == "phone" else EDGES)
+        while e > s and text[e - 1] in (after if kind != "secret" else "\"'`.,;:)]}<>#$%&*="):
             e -= 1
-        while s < e and text[s] in "([{\"'":
+        if kind == "secret" and e - s > 2 and text[e - 2 : e] == "!!":
+            e -= 2
+            e -= text[e - 1] in "\"'"
+        while s < e and text[s] in before:
             s += 1
-        if s < e and (MAIL if KINDS[kind] == "email" else DIGIT).search(text[s:e]) and not any(b < e and s < f for _, b, f in base):
-            out.append((KINDS[kind], s, e))
+        if s < e and has_form(kind, text[s:e]) and not any(b < e and s < f for _, b, f in base):
+            out.append((kind, s, e))
     return out
 
 
-def sample(docs: DataFrame, limit: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[str]:
-    """Texts of the labelled table: at most ``limit``, of least hash, that hold something to label."""
-    t = text_of("text")
-    some = docs.where(t.rlike(r"@[A-Za-z0-9-]+\.|[0-9]{3}") & (F.length(t) <= chars)).select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    return [r.text for r in some.orderBy("h", "text").limit(limit).collect()]
+_field: list[Field] = []
+
+
+def field() -> Field:
+    """The field trained on the labelled table; the same on every call."""
+    if not _field:
+        _field.append(train(examples()))
+    return _field[0]
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, n_added, and all spans, of every document."""
+    """doc_id, counts of base spans by kind, base_sha256, n_added, n_spans (base and added), and all spans, of every document."""
     ship(docs.sparkSession)
-    field = train(sample(docs))
+    model = field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             base = [base_spans(x) for x in texts]
             all_ = list(base)
-            if field is not None:
-                flat, sizes = [], []
-                for x in texts:
-                    # Without a digit, @ or + all words are plain, and all labels O.
-                    words = x.encode("utf-8", "replace").split() if not field.plain or MARK.search(x) else ()
-                    flat += map(field.words.__getitem__, words)
-                    sizes.append(len(words))
+            # Without a marked word all labels are O.
+            some = [i for i, x in enumerate(texts) if MARK.search(x)]
+            flat, sizes = [], []
+            for i in some:
+                words = texts[i].encode("utf-8", "replace").split()
+                flat += map(model.words.__getitem__, words)
+                sizes.append(len(words))
+            if flat:
                 edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
                 breaks = np.zeros(edges[-1], bool)
                 breaks[edges[:-1][np.array(sizes) > 0]] = True
-                labels = field.decode(np.array(flat, np.int32), breaks)
-                for i in np.unique(np.searchsorted(edges, np.flatnonzero(labels), side="right") - 1):
-                    more = added_spans(texts[i], labels[edges[i] : edges[i + 1]], base[i])
-                    all_[i] = sorted(base[i] + more, key=lambda s: (s[1], KINDS.index(s[0])))
+                labels = model.decode(np.array(flat, np.int32), breaks)
+                for j in np.unique(np.searchsorted(edges, np.flatnonzero(labels), side="right") - 1):
+                    i = some[j]
+                    more = added_spans(texts[i], labels[edges[j] : edges[j + 1]], base[i])
+                    all_[i] = sorted(base[i] + more, key=lambda s: (s[1], FIELD_KINDS.index(s[0])))
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base])
             extra = pa.array([len(a) - len(b) for a, b in zip(all_, base, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, extra, pa.array(map(joined, all_), pa.string())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "n_added", "spans"])
+            total = pa.array(list(map(len, all_)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, extra, total, pa.array(map(joined, all_), pa.string())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "n_added", "n_spans", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, n_added long, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, n_added long, n_spans long, spans string")

@@ -1,11 +1,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from airlattice.llm import pii, toxicity
+from airlattice.llm import pii, pii_examples, toxicity
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
@@ -45,7 +46,7 @@ def test_table_and_viterbi(spark, sf):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
         assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
         assert set(pii.joined(base).split(",")) - {""} <= set(r.spans.split(","))
-    field = pii.train(pii.sample(docs))
+    field = pii.field()
     words = [(t or "").encode().split() for _, t in rows]
     classes = np.array([field.words[w] for x in words for w in x], np.int32)
     size = np.array([len(x) for x in words])
@@ -53,14 +54,19 @@ def test_table_and_viterbi(spark, sf):
     breaks = np.zeros(len(classes), bool)
     breaks[edge[:-1][size > 0]] = True
     labels = field.decode(classes, breaks)
-    assert field.plain and (labels > 0).any()
+    assert (labels > 0).any()
     for i, n in enumerate(size):
         if not 0 < n < 2000:
             continue
         c, table = classes[edge[i] : edge[i + 1]], np.stack(field.scores)
-        score = table[c, 1].copy()
-        score[1:] += table[c[:-1], 0]
-        score[:-1] += table[c[1:], 2]
+        hot = np.array(field.marked)[c]
+        score = np.zeros((n, pii.LABELS))
+        for j in range(n):
+            for p in range(pii.PLACES):
+                if 0 <= j + p - pii.REACH < n:
+                    score[j] += table[c[j + p - pii.REACH], p]
+            if not hot[max(0, j - 1) : j + 2].any():
+                score[j, 1:] = -1e9  # neither marked nor beside a marked word
         best, back = score[0], []
         for t in range(1, n):
             step = best[:, None] + field.move
@@ -72,6 +78,40 @@ def test_table_and_viterbi(spark, sf):
         assert (labels[edge[i] : edge[i + 1]] == path[::-1]).all()
 
 
+def added(text):
+    field, base, words = pii.field(), pii.base_spans(text), text.encode("utf-8", "replace").split()
+    classes = np.array([field.words[w] for w in words], np.int32)
+    return base, pii.added_spans(text, field.decode(classes, np.arange(len(words)) == 0), base)
+
+
+def test_field_on_held_out_sentences():
+    right, gold, wrong = Counter(), Counter(), Counter()
+    for text, spans in pii_examples.examples(400, seed=91):
+        base, more = added(text)
+        want = [s for s in spans if not any(b < s[2] and s[1] < e for _, b, e in base)]
+        gold.update(s[0] for s in want)
+        right.update(s[0] for s in want if s in more)
+        wrong.update(s[0] for s in more if s not in want)
+    found = right.total() + wrong.total()
+    print({k: (right[k], gold[k], wrong[k]) for k in pii.FIELD_KINDS})
+    assert right.total() >= 0.9 * found and all(right[k] >= 0.8 * gold[k] and gold[k] > 5 for k in pii.FIELD_KINDS)
+
+
+@pytest.mark.parametrize("text", ["the number 9807915762804490 is on the box", "version 3.10.2 of 2024-03-17", "commit 7 of order 100-4567-22", "at 12:30 on page 118 with @ann", ""])
+def test_field_leaves_look_alikes(text):
+    assert added(text) == ([], [])
+
+
+def test_planted_spans(spark):
+    planted = ["call (555) 123-4567 now", "host 10[.]2[.]3[.]4 is down", "write to jane[at]example.com today", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" in the file', "pay with card 4111.1111.1111.1111 please"]
+    want = ["phone:5:19", "ip:5:19", "email:9:28", "secret:9:49", "card:14:33"]
+    docs = spark.createDataFrame(list(enumerate(planted)) * 3 + [(9, "words " * 200_000 + planted[0])], "doc_id long, text string")
+    got = [(r.doc_id, r.n_added, r.n_spans, r.spans) for r in pii.find(docs).collect()]
+    assert sorted(got)[:-1] == sorted((i, 1, 1, w) for i, w in enumerate(want) for _ in range(3))
+    assert sorted(got)[-1] == (9, 1, 1, "phone:1200005:1200019")
+    assert pii.find(docs.where("false")).collect() == []
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "plain words only"), (2, None)], "doc_id long, text string")
     assert [(r.n_added, r.spans) for r in pii.find(docs).collect()] == [(0, ""), (0, "")]
