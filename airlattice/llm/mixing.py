@@ -12,8 +12,10 @@ its one unfinished document up, and ``FAN`` groups meet at the next level, until
 source merely has more groups. Groups are dealt by hash and the random numbers are seeded by group, so reruns agree.
 
 Nulls: a null text has no words, a null source is a source of its own, last in order; a null ``doc_id`` is a
-value. Repeated rows are rounded each by itself. An empty table gives no rows. A document without words is
-taken 0 words. Input columns named like an output column are replaced.
+value. Repeated rows are rounded each by itself: they are counted first and numbered from their counts, so they are
+spread over the groups as any other documents, however many there are. An empty table gives no rows. A document without
+words is taken 0 words. Input columns named like an output column are replaced; ``mix`` needs columns that can be hashed
+(no maps).
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ CAP = 3
 GROUP, FAN = 512, 64
 #: Sources up to which the table of targets is sent to every task (some 40 bytes each).
 FEW_SOURCES = 100_000
+#: Equal rows that one step numbers or copies at a time.
+BLOCK = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -105,11 +109,21 @@ def _level(level: int, last: bool):
     return rounded
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with mix_key changed to differ among equal rows: those are counted where they lie, then dealt out by number in blocks."""
+    names = rows.columns
+    n = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("mix_n"))
+    last = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), x))
+    blocks = n.select(*names, "mix_n", last(F.floor((F.col("mix_n") - 1) / BLOCK)).alias("mix_block"))
+    each = blocks.select(*names, "mix_block", last(F.least(F.lit(BLOCK - 1), F.col("mix_n") - F.col("mix_block") * BLOCK - 1)).alias("mix_nth"))
+    return each.select(*[c for c in names if c != "mix_key"], F.xxhash64("mix_key", "mix_block", "mix_nth").alias("mix_key"), F.col("mix_key").alias("mix_row"))
+
+
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """Rows (with source, size and mix_key, a hash) with source_size, target and copies."""
+    """Rows (with source, size and mix_key, a hash) with source_size, target, copies and mix_row (the given mix_key)."""
     spark = rows.sparkSession
     shared_dir(spark)
-    rows = rows.checkpoint()  # the texts are read once
+    rows = numbered(rows).checkpoint()  # the texts are read once
     goal = targets(rows, weights, cap).checkpoint()
     stats = goal.agg(F.count(F.lit(1)).alias("n"), F.max("n_docs").alias("most")).first()
     side = F.broadcast(goal) if stats.n <= FEW_SOURCES else goal
@@ -154,12 +168,14 @@ def taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CA
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say, with the columns of ``docs``.
 
-    Rows are matched with their copies by hash and by an ordinal among equal hashes.
+    Equal rows are one row with the sum of their copies. Rows of many copies are dealt out in blocks before they are written.
     """
-    order = Window.partitionBy("mix_key").orderBy("mix_key")
-    plan_ = plan(keyed(docs), weights, cap).select("mix_key", "copies")
-    plan_ = plan_.withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_key").orderBy("copies")))
-    key = F.xxhash64("doc_id", text_of("text"), "source")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), key.alias("mix_key")).withColumn("mix_nth", F.row_number().over(order))
-    met = own.join(plan_, ["mix_key", "mix_nth"]).where("copies > 0")
-    return met.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("mix_copy")).select("mix_row.*")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.struct(*names).alias("mix_doc"), F.xxhash64(*names).alias("mix_row"), "source", word_count(text_of("text")).alias("size"))
+    due = plan(own.select("source", "size", F.col("mix_row").alias("mix_key")), weights, cap).groupBy("mix_row").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    met = own.select("mix_doc", "mix_row").dropDuplicates(["mix_row"]).join(due, "mix_row")
+    copy = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("mix_copy")
+    few = met.where(F.col("copies") <= BLOCK).select("mix_doc", copy(F.col("copies")))
+    blocks = met.where(F.col("copies") > BLOCK).select("mix_doc", "mix_row", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / BLOCK))).alias("mix_block"))
+    many = blocks.repartition("mix_row", "mix_block").select("mix_doc", copy(F.least(F.lit(BLOCK).cast("long"), F.col("copies") - F.col("mix_block") * BLOCK)))
+    return few.unionAll(many).select("mix_doc.*")
