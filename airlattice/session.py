@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,17 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers that share this machine's files import the package from where the driver has it."""
+    """Sends the package to the workers, once a session: a cluster's executors have no view of the driver's files."""
+    context = spark.sparkContext
+    if any(os.path.basename(x) == "airlattice.zip" for x in context._python_includes):
+        return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    path = os.path.join(tempfile.mkdtemp(prefix="airlattice-"), "airlattice.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "airlattice")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    out.write(file, os.path.relpath(file, root))
+    context.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ready for checkpoint(); a scratch folder only where the session names none."""
+    """The folder that driver and executors share, ready for checkpoint(). Only a local session may leave it unset: it has one machine."""
     ship(spark)
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{os.getpid()}"
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
