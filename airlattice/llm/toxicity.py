@@ -1,23 +1,24 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
-Grades are ordered: 0 clean, 1 mild, 2 severe. One weight vector serves every threshold: the probability of a grade
+Grades are ordered: 0 clean, 1 toxic, 2 toxic in a document that is also labelled as of low quality. They come from
+``labels`` alone. One weight vector serves every threshold: the probability of a grade
 above k is logistic(score - cut_k) with cut_0 < cut_1, and the expected severity is the sum of these probabilities.
 Each distinct word of a text gives two hashed features: the word, lower-cased and without punctuation at its ends, and
 its first four bytes. The score is the sum of their weights over the distinct words, so length alone adds nothing.
 
-The model is fitted on a bounded sample of labelled documents (``SAMPLE`` of least hash of each kind). ``labels`` says only
-toxic or not, so grades of toxic documents are taken from their text: features that the sample links with toxicity
-(smoothed log odds over distinct texts) are found first, and a toxic document with more of them than the median is
-severe. Those features are also the ones that get weights: rarer or less telling ones would only be learnt by heart.
+The model is fitted on a bounded sample of labelled documents (``SAMPLE`` of least hash of each kind). A feature gets a
+weight if the documents that hold it differ in their share of toxic ones from the sample's by more than chance: the
+Chernoff bound on such a share, over as many features as the sample has, is below one. The weights, of either sign, and
+the cuts are those of the greatest likelihood with a ridge.
 
 Every document is scored over its whole text. Nulls and empty texts have the severity of a text without features.
-A null ``doc_id`` meets no label. A document that is labelled twice takes its higher label. Without labels of both
-kinds every severity is 0. Repeated rows are scored alike.
+A null ``doc_id`` meets no label. A document that is labelled twice takes its higher label of toxicity and its lower one
+of quality; labels without a quality give no grade 2. A doc_id that several documents share brings one of them to the
+sample. Without labels of both kinds every severity is 0. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from math import fsum, log
 
@@ -32,11 +33,11 @@ from .hashing import WordIds, texts
 
 BITS, SAMPLE = 18, 4_000
 EPOCHS, RATE, RIDGE = 150, 0.3, 1e-3
-#: Documents, and log odds, from which a feature marks toxicity.
-SEEN, MARKED = 3, 3.0
+#: The second cut lies at most so far above the first.
+FURTHEST = 8.0
 PREFIX = 4
-#: Expected severity from which a document counts as toxic.
-FLAG = 0.25
+#: Expected severities from which a document counts as toxic, and as of grade 2.
+FLAG, SEVERE = 0.2, 1.5
 PUNCTUATION = b".,;:!?()[]{}\"'*#$%&|<>-_~`^=+/\\"
 
 
@@ -53,46 +54,34 @@ class Features(dict):
         self[word] = pair = (self.ids[core] >> (64 - BITS), self.ids[core[:PREFIX] + b"~"] >> (64 - BITS)) if core else None
         return pair
 
-    def of(self, text: bytes) -> Counter:
-        return Counter(f for w in set(text.split()) if (pair := self[w]) for f in pair)
+    def of(self, text: bytes) -> set[int]:
+        return {int(f) for w in set(text.split()) if (pair := self[w]) for f in pair}
 
 
 class Weights(dict):
-    """The weight of a word, remembered up to a bound."""
+    """The weighted features of a word, remembered up to a bound; most words have none."""
 
     def __init__(self, dense: np.ndarray):
         self.dense, self.features = dense, Features()
 
-    def __missing__(self, word: bytes) -> float:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= 1_000_000:
             self.clear()
         pair = self.features.__missing__(word)
         self.features.clear()
-        self[word] = x = float(self.dense[pair[0]] + self.dense[pair[1]]) if pair else 0.0
-        return x
+        self[word] = own = tuple(int(f) for f in pair if self.dense[f]) if pair else ()
+        return own
+
+    def of(self, text: bytes) -> float:
+        """Sum of the weights of a text's distinct features; fsum doesn't depend on their order."""
+        found = {f for own in map(self.__getitem__, set(text.split())) if own for f in own}
+        return fsum(self.dense[f] for f in found)
 
 
 def logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def marks(rows: list[tuple[Counter, int]]) -> set[int]:
-    """Features that the sample links with toxicity."""
-    seen = [Counter(), Counter()]
-    for found, toxic in rows:
-        seen[toxic].update(found.keys())
-    n = [sum(t == k for _, t in rows) for k in (0, 1)]
-    odds = lambda f: log((seen[1][f] + 0.5) / (n[1] + 1)) - log((seen[0][f] + 0.5) / (n[0] + 1))
-    return {f for f, m in seen[1].items() if m >= SEEN and odds(f) > MARKED}
-
-
-def grades(rows: list[tuple[Counter, int]], marked: set[int]) -> np.ndarray:
-    """0 for clean documents; 1 or 2 for toxic ones, by their number of marked features against the median."""
-    hits = np.array([sum(c for f, c in found.items() if f in marked) for found, _ in rows])
-    toxic = np.array([t for _, t in rows])
-    return np.where(toxic == 1, 1 + (hits > np.median(hits[toxic == 1])), 0)
-
-
 class Ordinal:
     """Weights shared by both thresholds, and the cuts."""
 
@@ -103,62 +92,80 @@ class Ordinal:
         return logistic(np.asarray(score)[:, None] - self.cuts).sum(axis=1)
 
 
-def fit(rows: list[tuple[Counter, int]]) -> Ordinal | None:
-    """Maximum likelihood with a ridge, by full-batch Adam."""
-    if len({t for _, t in rows}) < 2:
-        return None
-    marked = marks(rows)
-    y = grades(rows, marked)
-    rows = [(Counter({f: c for f, c in found.items() if f in marked}), t) for found, t in rows]
-    features = sorted(marked)
-    place = {f: i for i, f in enumerate(features)}
-    doc = np.concatenate([np.full(len(found), i) for i, (found, _) in enumerate(rows)]).astype(int)
-    col = np.array([place[f] for found, _ in rows for f in found], int)
-    val = np.array([c for found, _ in rows for c in found.values()], float)
-    weight = np.full(len(rows), 1 / len(rows))
-    w, cuts = np.zeros(len(features)), np.array([0.0, 1.0])
+def gradients(w: np.ndarray, cuts: np.ndarray, doc: np.ndarray, col: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the mean negative log likelihood, by weights and by cuts, and its value; feature ``col`` is in document ``doc``."""
+    n, at = len(y), np.arange(len(y))
+    score = np.bincount(doc, w[col], minlength=n)
+    above = np.column_stack([np.ones(n), logistic(score[:, None] - cuts), np.zeros(n)])
+    p = np.maximum(above[at, y] - above[at, y + 1], 1e-12)
+    slope = above * (1 - above)  # of each cumulative probability by the score
+    hi, lo = slope[at, y], slope[at, y + 1]
+    d = -(hi - lo) / p / n
+    # Cut k bounds grade k from above and grade k + 1 from below.
+    gc = np.array([np.sum(((y == k + 1) * hi - (y == k) * lo) / p) / n for k in (0, 1)])
+    return np.bincount(col, d[doc], minlength=len(w)), gc, float(-np.log(p).mean())
+
+
+def telling(held: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Features whose documents (``held``, of them ``toxic``) are toxic more or less often than by chance at ``share``."""
+    q = toxic / held
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = held * (np.where(q > 0, q * np.log(q / share), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0))
+    return np.flatnonzero(far > log(len(held)))
+
+
+def descend(doc: np.ndarray, col: np.ndarray, y: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and cuts by full-batch Adam."""
+    w, cuts = np.zeros(n_features), np.array([0.0, 1.0])
     m, v = [np.zeros_like(w), np.zeros(2)], [np.zeros_like(w), np.zeros(2)]
     for epoch in range(1, EPOCHS + 1):
-        score = np.bincount(doc, val * w[col], minlength=len(rows))
-        above = np.column_stack([np.ones(len(rows)), logistic(score[:, None] - cuts), np.zeros(len(rows))])
-        p = np.maximum(above[np.arange(len(rows)), y] - above[np.arange(len(rows)), y + 1], 1e-12)
-        slope = above * (1 - above)  # of each cumulative probability by the score
-        hi, lo = slope[np.arange(len(rows)), y], slope[np.arange(len(rows)), y + 1]
-        d = -weight * (hi - lo) / p
-        gw = np.bincount(col, val * d[doc], minlength=len(features)) + RIDGE * w
-        # Cut k bounds grade k from above and grade k + 1 from below.
-        gc = np.array([np.sum(weight * ((y == k + 1) * hi - (y == k) * lo) / p) for k in (0, 1)])
-        for x, g, mm, vv in ((w, gw, m[0], v[0]), (cuts, gc, m[1], v[1])):
-            mm += 0.1 * (g - mm)
-            vv += 0.01 * (g * g - vv)
-            x -= RATE / (1 + epoch / 20) * (mm / (1 - 0.9**epoch)) / (np.sqrt(vv / (1 - 0.99**epoch)) + 1e-9)
-        cuts[1] = max(cuts[1], cuts[0] + 1e-3)
+        gw, gc, _ = gradients(w, cuts, doc, col, y)
+        for i, (x, g) in enumerate(((w, gw + RIDGE * w), (cuts, gc))):
+            m[i] += 0.1 * (g - m[i])
+            v[i] += 0.01 * (g * g - v[i])
+            x -= RATE / (1 + epoch / 20) * (m[i] / (1 - 0.9**epoch)) / (np.sqrt(v[i] / (1 - 0.99**epoch)) + 1e-9)
+        cuts[1] = min(max(cuts[1], cuts[0] + 1e-3), cuts[0] + FURTHEST)
+    return w, cuts
+
+
+def fit(rows: list[tuple[frozenset, int]]) -> Ordinal | None:
+    """From sets of features and grades."""
+    y = np.array([g for _, g in rows], int)
+    if not (y == 0).any() or not (y > 0).any():
+        return None
+    doc = np.repeat(np.arange(len(rows)), [len(found) for found, _ in rows])
+    features, col = np.unique(np.array([f for found, _ in rows for f in found], int), return_inverse=True)
     dense = np.zeros(1 << BITS)
-    dense[np.array(features, int)] = w
+    chosen = telling(np.bincount(col), np.bincount(col, y[doc] > 0), (y > 0).mean()) if len(col) else np.zeros(0, int)
+    place = np.full(len(features), -1)
+    place[chosen] = np.arange(len(chosen))
+    kept = place[col] >= 0
+    w, cuts = descend(doc[kept], place[col[kept]], y, len(chosen))
+    dense[features[chosen]] = w
     return Ordinal(dense, cuts)
 
 
-def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[tuple[Counter, int]]:
-    """Features and labels of at most ``limit`` labelled documents of each kind, those of least hash."""
-    one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
-    pick = lambda y: one.where(F.col("y") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(limit)
-    known = docs.select("doc_id", "text").join(F.broadcast(pick(1).unionAll(pick(0))), F.col("doc_id") == F.col("label_id"))
+def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[tuple[frozenset, int]]:
+    """Features and grades of at most ``limit`` labelled documents of each kind, those of least hash; one document a label."""
+    low = F.coalesce(F.min("quality") == 0, F.lit(False)) if "quality" in labels.columns else F.lit(False)
+    toxic = F.max("toxic") > 0
+    one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.when(toxic & low, 2).when(toxic, 1).otherwise(0).alias("y"))
+    pick = lambda known: one.where(known).orderBy(F.xxhash64("label_id"), "label_id").limit(limit)
+    known = docs.select("doc_id", "text").join(F.broadcast(pick("y > 0").unionAll(pick("y = 0"))), F.col("doc_id") == F.col("label_id"))
+    known = known.groupBy("label_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            found = [features.of(t) for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([list(f.keys()) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32())), batch.column("y")], ["doc_id", "f", "n", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(features.of(t)) for t in texts(batch, "text")], pa.list_(pa.int32())), batch.column("y")], ["f", "y"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = known.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, f array<int>, n array<int>, y int").toArrow()
+    rows = known.select("text", "y").mapInArrow(run, "f array<int>, y int").toArrow()
     # Copies of a text would each count as evidence; the order of rows must not show in the sums.
-    texts_ = {(tuple(sorted(zip(f, n, strict=True))), y) for f, n, y in zip(rows["f"].to_pylist(), rows["n"].to_pylist(), rows["y"].to_pylist(), strict=True)}
-    return [(Counter(dict(f)), y) for f, y in sorted(texts_)]
+    return sorted({(frozenset(f), y) for f, y in zip(rows["f"].to_pylist(), rows["y"].to_pylist(), strict=True)}, key=lambda r: (sorted(r[0]), r[1]))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, severity (expected grade, 0 to 2), grade (most probable cut passed) and toxic of every document."""
+    """doc_id, severity (expected grade, 0 to 2), grade (0 below FLAG, 2 from SEVERE on) and toxic of every document."""
     ship(docs.sparkSession)
     model = fit(sample(docs, labels))
 
@@ -168,10 +175,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if weights is None:
                 severity = np.zeros(batch.num_rows)
             else:
-                # fsum doesn't depend on the order of a set.
-                severity = model.severity([fsum(map(weights.__getitem__, set(t.split()))) for t in texts(batch, "text")])
+                severity = model.severity([weights.of(t) for t in texts(batch, "text")])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(severity, 9))], ["doc_id", "severity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, severity double")
-    return out.withColumn("grade", F.floor(F.col("severity") + 0.5).cast("int")).withColumn("toxic", F.col("severity") >= FLAG)
+    toxic = F.col("severity") >= FLAG
+    return out.withColumn("grade", F.when(F.col("severity") >= SEVERE, 2).when(toxic, 1).otherwise(0)).withColumn("toxic", toxic)

@@ -149,3 +149,61 @@ def test_toxicity(spark):
     assert all(0 <= r.severity <= 2 for r in out.values()) and not out[1000].toxic and out[1001].toxic
     assert not any(r.toxic for r in toxicity.score(docs, known.where("toxic = 0")).collect())
     assert toxicity.score(docs.where("false"), known).collect() == []
+
+
+def test_fit_and_scores_by_brute_force(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for d in range(400):
+        w = [f"w{rng.randint(0, 60)}" for _ in range(30)]
+        grade = (d % 4 == 0) + (d % 8 == 0)
+        w += rng.sample(["vile,", "Nasty", "rotten!", "awful"], rng.randint(1, 2) if grade == 1 else 4 if grade == 2 else 0)
+        rng.shuffle(w)
+        rows.append((d, " ".join(w)))
+        labels.append((d, int(grade > 0), int(grade < 2)))
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    sample = toxicity.sample(docs, known)
+    assert Counter(g for _, g in sample) == {0: 300, 1: 50, 2: 50}  # repeated rows come once
+    model = toxicity.fit(sample)
+
+    def features(text):
+        cores = {w.lower().strip(toxicity.PUNCTUATION.decode()) for w in text.split()} - {""}
+        ids = toxicity.WordIds()
+        return {ids[x] >> (64 - toxicity.BITS) for c in cores for x in (c.encode(), c.encode()[:4] + b"~")}
+
+    assert sorted((sorted(f), g) for f, g in sample) == sorted((sorted(features(t)), int(1 - q + x)) for (_, t), (_, x, q) in zip(rows, labels))
+
+    def loss(weights, cuts):
+        total = 0.0
+        for f, g in sample:
+            s = sum(weights[x] for x in f)
+            above = [1.0, *(1 / (1 + np.exp(c - s)) for c in cuts), 0.0]
+            total -= np.log(above[g] - above[g + 1])
+        return total / len(sample) + toxicity.RIDGE / 2 * (weights**2).sum()
+
+    # At the fitted point every direction is uphill or flat: no step by finite differences gains much.
+    best = loss(model.weights, model.cuts)
+    used = np.flatnonzero(model.weights)
+    assert 4 <= len(used) <= 30 and best < 0.35
+    for f in used:
+        for step in (-0.05, 0.05):
+            other = model.weights.copy()
+            other[f] += step
+            assert loss(other, model.cuts) > best - 2e-4
+    for k in (0, 1):
+        for step in (-0.05, 0.05):
+            cuts = model.cuts.copy()
+            cuts[k] += step
+            assert loss(model.weights, cuts) > best - 2e-4
+    out = {r.doc_id: r for r in toxicity.score(docs, known).collect()}
+    for d, t in rows:
+        s = sum(model.weights[x] for x in features(t))
+        assert abs(out[d].severity - sum(1 / (1 + np.exp(c - s)) for c in model.cuts)) < 1e-8
+    mean = [np.mean([out[d].severity for d, x, q in labels if x + (1 - q) == g]) for g in (0, 1, 2)]
+    assert mean[0] < 0.2 < mean[1] < mean[2]
+
+
+def test_telling_features():
+    held, toxic = np.array([100, 100, 3, 40, 200]), np.array([10, 60, 3, 0, 20])
+    assert toxicity.telling(held, toxic, 0.1).tolist() == [1, 2, 3]
