@@ -32,7 +32,7 @@ from airlattice.session import ship
 from .hashing import WordIds, texts
 
 BITS, SAMPLE = 18, 4_000
-EPOCHS, RATE, RIDGE = 150, 0.3, 1e-3
+EPOCHS, RATE, RIDGE = 400, 0.3, 1e-3
 #: The second cut lies at most so far above the first.
 FURTHEST = 8.0
 PREFIX = 4
@@ -123,7 +123,7 @@ def descend(doc: np.ndarray, col: np.ndarray, y: np.ndarray, n_features: int) ->
         for i, (x, g) in enumerate(((w, gw + RIDGE * w), (cuts, gc))):
             m[i] += 0.1 * (g - m[i])
             v[i] += 0.01 * (g * g - v[i])
-            x -= RATE / (1 + epoch / 20) * (m[i] / (1 - 0.9**epoch)) / (np.sqrt(v[i] / (1 - 0.99**epoch)) + 1e-9)
+            x -= RATE / (1 + epoch / 60) * (m[i] / (1 - 0.9**epoch)) / (np.sqrt(v[i] / (1 - 0.99**epoch)) + 1e-9)
         cuts[1] = min(max(cuts[1], cuts[0] + 1e-3), cuts[0] + FURTHEST)
     return w, cuts
 
