@@ -83,3 +83,34 @@ def decimate(df: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
 
     nth = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
     return df.withColumn("_nth", nth).where(F.col("_nth") % k == 0).drop("_nth")
+
+
+def without_labels(df: DataFrame, labels: list[str]) -> DataFrame:
+    """Without columns that would tell a model the answer."""
+    return df.drop(*[c for c in df.columns if c in labels])
+
+
+def no_flag(flags: list[Column]) -> Column:
+    """Whether no flag is up; an unknown flag is not up."""
+    up = F.lit(False)
+    for f in flags:
+        up = up | F.coalesce(f, F.lit(False))
+    return ~up
+
+
+def named_like(df: DataFrame, parts: list[str]) -> list[str]:
+    """Columns whose names hold one of the parts, in the table's order."""
+    return [c for c in df.columns if any(p.lower() in c.lower() for p in parts)]
+
+
+def truthy(x: Column, words: list[str]) -> Column:
+    """Whether a text is one of the words for yes; null is no."""
+    return F.coalesce(F.lower(F.trim(x)).isin(*words, "true", "1", "yes"), F.lit(False))
+
+
+def role_rank(role: Column, order: list[str]) -> Column:
+    """Place of a role in the given order; others come last."""
+    out = F.lit(len(order))
+    for i, name in reversed(list(enumerate(order))):
+        out = F.when(role == name, i).otherwise(out)
+    return out

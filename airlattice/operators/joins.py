@@ -41,11 +41,27 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column],
     return both.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_rank")
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, block: int = 256, spread: int = 8) -> DataFrame:
+def union_common(parts: list[DataFrame], origin: str) -> DataFrame:
+    """Union on the columns that all parts have, in the order of the first, with the number of the part."""
+    common = [c for c in parts[0].columns if all(c in p.columns for p in parts[1:])]
+    out = None
+    for i, p in enumerate(parts):
+        own = p.select(*common, F.lit(i).alias(origin))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def differences(left: DataFrame, right: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """Of the keys that both tables have: how many, how many whose values differ beyond the tolerance, and the greatest difference."""
+    d = left.withColumnRenamed(value, "_x").join(right.withColumnRenamed(value, "_y"), keys).withColumn("_d", F.abs(F.col("_x") - F.col("_y")))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_d") > tolerance).cast("int")).alias("n_beyond"), F.max("_d").alias("most"))
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, block: int = 256, part_rows: int = 20_000) -> DataFrame:
     """The k nearest vectors of each query vector by squared Euclidean distance, itself excluded: (query_id, id, distance, nth).
 
     A stated set of queries meets all vectors in blocks: the queries are split into blocks of about ``block`` rows and the
-    vectors into ``spread`` parts; each task computes one block against one part, keeping k of each query.
+    vectors into parts of about ``part_rows``; each task computes one block against one part, keeping k of each query.
     """
     import heapq
 
@@ -53,13 +69,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_: str, vector:
     import pyarrow as pa
 
     n = max(1, -(-queries.count() // block))
+    spread = max(1, -(-vectors.count() // part_rows))
     q = queries.select(F.col(id_).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_), F.lit(n)).alias("b"), F.lit(True).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
     v = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"), F.lit(False).alias("is_query"), F.pmod(F.xxhash64(id_), F.lit(spread)).cast("int").alias("part"))
 
     def run(group: pa.Table) -> pa.Table:
         ask = np.array(group["is_query"])
         ids = group["id"].to_numpy()
-        x = np.array(group["v"].to_pylist(), dtype=np.float64)
+        v = group["v"].combine_chunks()
+        x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
         a, b = x[ask], x[~ask]
         out: list[tuple] = []
         if len(a) and len(b):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airlattice.session import shared_dir
+
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) of all pairs of columns, in one aggregate."""
@@ -13,17 +15,69 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}~{b}`").alias("corr")) for a, b in pairs])).alias("x")).select("x.*")
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds running sums over the whole table in the given order (column -> name).
+
+    Rows are dealt into ranges of the order and kept, each range sums its own rows, and the totals of the ranges before
+    it are added: only the table of ranges is ordered in one task. ``order`` should be unique, or equal rows share ranges in any order.
+    """
+    shared_dir(df.sparkSession)
+    placed = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for c, n in sums.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges
+    offsets = totals.select(F.col("_range"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums.values()])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(offsets), "_range")  # as many rows as shuffle partitions
+    return out.select(*df.columns, *[(F.sum(c).over(inside) + F.col(f"_o_{n}")).alias(n) for c, n in sums.items()])
+
+
 def average_rank(df: DataFrame, x: str, name: str) -> DataFrame:
     """Adds the rank of x, the mean of the ranks that equal values share. Ranks come from running counts over distinct values."""
     values = df.groupBy(F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.select("_v", (below + (F.col("_n") + 1) / 2).alias(name))
+    ranked = running_sums(values, [F.col("_v")], {"_n": "_upto"}).select("_v", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranked, F.col(x) == F.col("_v")).drop("_v")
 
 
+def quantiles(df: DataFrame, key: str, x: str, at: dict[str, float], cuts: int = 64) -> DataFrame:
+    """(key, one column a quantile): exact quantiles with linear interpolation of every group, for groups of any size.
+
+    An approximate sketch cuts each group's values into ``cuts`` ranges; counts by range, combined before they are shuffled,
+    tell which ranges hold the wanted ranks, and only values of those are ordered, as distinct values with their counts. Nulls
+    and NaN don't count. Keys are compared null-safely; a group without values has nulls.
+    """
+    v = F.col(x).cast("double")
+    rows = df.select(F.col(key).alias("_k"), F.when(~F.isnan(v), v).alias("_v"))
+    groups = rows.groupBy("_k").agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 4 * cuts).alias("_cuts"))
+    shared_dir(df.sparkSession)
+    groups = groups.checkpoint()
+    with_cuts = rows.join(groups.withColumnRenamed("_k", "_g"), F.col("_k").eqNullSafe(F.col("_g"))).where("_v IS NOT NULL")
+    placed = with_cuts.select("_k", "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_r"))
+    counts = placed.groupBy("_k", "_r").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)  # over at most ``cuts`` rows a group
+    ranges = counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_from", F.col("_upto") - F.col("_c"))
+    ranks = [(name, side) for name in at for side in (0, 1)]
+    place = lambda name, n: F.lit(at[name]) * (n - 1)
+    rank = lambda name, side, n: (F.floor(place(name, n)) if side == 0 else F.ceil(place(name, n)))
+    keyed = ranges.join(groups.select(F.col("_k").alias("_g"), "_n"), F.col("_k").eqNullSafe(F.col("_g"))).drop("_g")
+    wanted = F.lit(False)
+    for name, side in ranks:
+        r = rank(name, side, F.col("_n"))
+        wanted = wanted | ((r >= F.col("_from")) & (r < F.col("_upto")))
+    some = keyed.where(wanted).select(F.col("_k").alias("_g"), F.col("_r").alias("_s"), "_from", "_n")
+    near = placed.join(some, F.col("_k").eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("_s")))
+    distinct = near.groupBy("_k", "_r", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_from").alias("_from"), F.first("_n").alias("_n"))
+    inside = Window.partitionBy("_k", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    last = distinct.withColumn("_last", F.col("_from") + F.sum("_c").over(inside)).withColumn("_first", F.col("_last") - F.col("_c"))
+    found = [F.max(F.when((rank(n, s, F.col("_n")) >= F.col("_first")) & (rank(n, s, F.col("_n")) < F.col("_last")), F.col("_v"))).alias(f"_{n}_{s}") for n, s in ranks]
+    out = last.groupBy(F.col("_k").alias("_g"), "_n").agg(*found)
+    part = {n: place(n, F.col("_n")) - F.floor(place(n, F.col("_n"))) for n in at}
+    values = out.select("_g", *[(F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * part[n]).alias(n) for n in at])
+    return groups.select("_k").join(values, F.col("_k").eqNullSafe(F.col("_g")), "left").select(F.col("_k").alias(key), *at)
+
+
 def within_iqr(df: DataFrame, key: str, x: str, k: float = 1.5) -> DataFrame:
     """Adds within: x is at most k interquartile ranges beyond its group's quartiles."""
-    q = df.groupBy(F.col(key).alias("_k")).agg(F.percentile(x, 0.25).alias("_a"), F.percentile(x, 0.75).alias("_b"))
+    q = quantiles(df, key, x, {"_a": 0.25, "_b": 0.75}).withColumnRenamed(key, "_k")
     d = df.join(q, F.col(key).eqNullSafe(F.col("_k")))
     span = (F.col("_b") - F.col("_a")) * k
     return d.withColumn("within", F.col(x).between(F.col("_a") - span, F.col("_b") + span)).drop("_k", "_a", "_b")
@@ -31,9 +85,9 @@ def within_iqr(df: DataFrame, key: str, x: str, k: float = 1.5) -> DataFrame:
 
 def mad_outliers(df: DataFrame, key: str, x: str, limit: float = 3.5) -> DataFrame:
     """Rows whose modified z-score by the median absolute deviation exceeds ``limit``."""
-    m = df.groupBy(F.col(key).alias("_k")).agg(F.median(x).alias("_m"))
+    m = quantiles(df, key, x, {"_m": 0.5}).withColumnRenamed(key, "_k")
     d = df.join(m, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_d", F.abs(F.col(x) - F.col("_m"))).drop("_k")
-    s = d.groupBy(F.col(key).alias("_k")).agg(F.median("_d").alias("_s"))
+    s = quantiles(d, key, "_d", {"_s": 0.5}).withColumnRenamed(key, "_k")
     return d.join(s, F.col(key).eqNullSafe(F.col("_k"))).where(0.6745 * F.col("_d") > limit * F.col("_s")).drop("_k", "_m", "_d", "_s")
 
 
@@ -64,9 +118,9 @@ def confusion(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
 def curve(df: DataFrame, score: str, y: str) -> DataFrame:
     """True and false positives at every distinct score as threshold. Rows are pre-aggregated by score; the window runs over distinct scores."""
     g = df.groupBy(score).agg(F.sum(F.col(y).cast("int")).alias("p"), F.sum((~F.col(y)).cast("int")).alias("n"))
-    order = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return g.select(score, "p", "n", F.sum("p").over(order).alias("tp"), F.sum("n").over(order).alias("fp"), F.sum("p").over(whole).alias("positives"), F.sum("n").over(whole).alias("negatives"))
+    whole = g.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.lit(1).alias("_one"))
+    d = running_sums(g, [F.desc(score)], {"p": "tp", "n": "fp"}).withColumn("_one", F.lit(1))
+    return d.join(F.broadcast(whole), "_one").select(score, "p", "n", "tp", "fp", "positives", "negatives")
 
 
 def auc(df: DataFrame, score: str, y: str) -> DataFrame:
@@ -88,3 +142,32 @@ def minmax(df: DataFrame, x: str, low: float, high: float, name: str) -> DataFra
     m = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.lit(1).alias("_one"))
     d = df.withColumn("_one", F.lit(1)).join(F.broadcast(m), "_one")
     return d.withColumn(name, low + F.try_divide(F.col(x) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (high - low)).drop("_one", "_lo", "_hi")
+
+
+def precision_curve(df: DataFrame, score: str, y: str) -> DataFrame:
+    """(score, precision, recall) at every distinct score as threshold, and the part of the average precision that it brings."""
+    c = curve(df, score, y)
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    return c.select(score, precision.alias("precision"), F.try_divide("tp", "positives").alias("recall"), (precision * F.try_divide("p", "positives")).alias("gain"))
+
+
+def axes(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """By group: rows, the angle of the first principal axis of two measures in degrees, and its share of the variance."""
+    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.var_samp(x).alias("a"), F.var_samp(y).alias("d"), F.covar_samp(x, y).alias("b"))
+    half, root = (F.col("a") + F.col("d")) / 2, F.sqrt(F.pow((F.col("a") - F.col("d")) / 2, 2) + F.pow("b", 2))
+    return g.select(key, "n", F.degrees(F.atan2(2 * F.col("b"), F.col("a") - F.col("d")) / 2).alias("angle"), F.try_divide(half + root, 2 * half).alias("share"))
+
+
+def macro_metrics(df: DataFrame, actual: str, predicted: str, classes: list[str]) -> DataFrame:
+    """Macro-averaged precision, recall, F1 and balanced accuracy over the classes, from one aggregate."""
+    n = lambda c: F.sum(c.cast("int"))
+    cols = []
+    for i, k in enumerate(classes):
+        a, p = F.col(actual) == k, F.col(predicted) == k
+        cols += [n(a & p).alias(f"tp{i}"), n(~a & p).alias(f"fp{i}"), n(a & ~p).alias(f"fn{i}")]
+    one = df.agg(*cols)
+    zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    col = lambda name, i: F.col(f"{name}{i}").cast("double")
+    mean = lambda f: sum((f(i) for i in range(len(classes))), F.lit(0.0)) / len(classes)
+    recall = mean(lambda i: zero(col("tp", i), col("tp", i) + col("fn", i)))
+    return one.select(mean(lambda i: zero(col("tp", i), col("tp", i) + col("fp", i))).alias("precision"), recall.alias("recall"), mean(lambda i: zero(2 * col("tp", i), 2 * col("tp", i) + col("fp", i) + col("fn", i))).alias("f1"), recall.alias("balanced_accuracy"))

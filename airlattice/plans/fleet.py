@@ -88,7 +88,8 @@ def pair_stats(spark, sf_dir):
 
 @query("quantile_summary", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) AS p5, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY l_returnflag")
 def quantile_summary(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[r6(F.percentile("l_extendedprice", q)).alias(f"p{round(100 * q)}") for q in (0.05, 0.5, 0.95)])
+    q = statistics.quantiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    return q.select("l_returnflag", *[r6(c).alias(c) for c in ("p5", "p50", "p95")])
 
 
 @query(
@@ -139,7 +140,9 @@ def iqr_filter(spark, sf_dir):
 )
 def normal_threshold(spark, sf_dir):
     p = "p_retailprice"
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(r6(F.avg(p) - 1.645 * F.stddev_samp(p)).alias("low"), r6(F.percentile(p, 0.95)).alias("p95"))
+    d = table(spark, sf_dir, "part")
+    low = d.groupBy("p_brand").agg(r6(F.avg(p) - 1.645 * F.stddev_samp(p)).alias("low"))
+    return low.join(statistics.quantiles(d, "p_brand", p, {"p95": 0.95}), "p_brand").select("p_brand", "low", r6("p95").alias("p95"))
 
 
 @query(
@@ -272,10 +275,11 @@ def argmax_row(spark, sf_dir):
 
 @query("weighted_rank", "WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS a, row_number() OVER (ORDER BY s_nationkey DESC, s_suppkey) AS b FROM supplier) SELECT s_suppkey, round(0.4 * a + 0.6 * b, 6) AS score FROM r ORDER BY score, s_suppkey LIMIT 20")
 def weighted_rank(spark, sf_dir):
-    """A report on suppliers: ranks by two measures, weighed. The windows order a dimension table."""
-    a = F.row_number().over(Window.orderBy(F.desc_nulls_last("s_acctbal"), "s_suppkey"))
-    b = F.row_number().over(Window.orderBy(F.desc_nulls_last("s_nationkey"), "s_suppkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", r6(0.4 * a + 0.6 * b).alias("score")).orderBy("score", "s_suppkey").limit(20)
+    """A report on suppliers: ranks by two measures, weighed. Ranks are running counts over ranges."""
+    d = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey", F.lit(1).alias("one"))
+    for name, x in (("a", "s_acctbal"), ("b", "s_nationkey")):
+        d = statistics.running_sums(d, [F.desc_nulls_last(x), F.col("s_suppkey")], {"one": name})
+    return d.select("s_suppkey", r6(0.4 * F.col("a") + 0.6 * F.col("b")).alias("score")).orderBy("score", "s_suppkey").limit(20)
 
 
 @query("type_resolution", "SELECT l_suppkey, CASE WHEN count(DISTINCT l_returnflag) = 0 THEN 'Unknown' ELSE string_agg(DISTINCT l_returnflag, '+' ORDER BY l_returnflag) END AS types FROM lineitem GROUP BY l_suppkey")
@@ -286,8 +290,9 @@ def type_resolution(spark, sf_dir):
 
 @query("nested_medians", "SELECT p_brand, round(median(CASE WHEN p_size > 25 THEN p_retailprice END), 6) AS a, round(median(CASE WHEN p_size <= 25 THEN p_retailprice END), 6) AS b, round(abs(median(CASE WHEN p_size > 25 THEN p_retailprice END) - median(CASE WHEN p_size <= 25 THEN p_retailprice END)), 6) AS separation FROM part GROUP BY p_brand")
 def nested_medians(spark, sf_dir):
-    a, b = (F.median(F.when(c, F.col("p_retailprice"))) for c in (F.col("p_size") > 25, F.col("p_size") <= 25))
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(r6(a).alias("a"), r6(b).alias("b"), r6(F.abs(a - b)).alias("separation"))
+    d = table(spark, sf_dir, "part")
+    a, b = (statistics.quantiles(d.select("p_brand", F.when(c, F.col("p_retailprice")).alias("x")), "p_brand", "x", {name: 0.5}) for name, c in (("a", F.col("p_size") > 25), ("b", F.col("p_size") <= 25)))
+    return a.join(b, "p_brand").select("p_brand", r6("a").alias("a"), r6("b").alias("b"), r6(F.abs(F.col("a") - F.col("b"))).alias("separation"))
 
 
 @query(
@@ -355,8 +360,12 @@ def mercator(spark, sf_dir):
 
 @query("stratified_folds", "SELECT c_custkey, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR))) - 1) % 5 AS fold FROM customer")
 def stratified_folds(spark, sf_dir):
-    nth = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.md5(F.col("c_custkey").cast("string"))))
-    return table(spark, sf_dir, "customer").select("c_custkey", ((nth - 1) % 5).cast("long").alias("fold"))
+    """Each class is dealt to the folds in the order of a hash: counts of hash ranges first, then places within a range."""
+    d = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.md5(F.col("c_custkey").cast("string")).alias("h")).withColumn("range", F.substring("h", 1, 2))
+    before = Window.partitionBy("c_mktsegment").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over 256 ranges
+    starts = d.groupBy("c_mktsegment", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    nth = F.row_number().over(Window.partitionBy("c_mktsegment", "range").orderBy("h"))
+    return d.join(F.broadcast(starts), ["c_mktsegment", "range"]).select("c_custkey", ((F.col("start") + nth - 1) % 5).cast("long").alias("fold"))
 
 
 @query("multi_agg", "SELECT l_partkey, round(sum(l_quantity), 2) AS l_quantity_sum, round(avg(l_quantity), 6) AS l_quantity_mean, round(stddev_samp(l_quantity), 6) AS l_quantity_std, min(l_quantity) AS l_quantity_min, max(l_quantity) AS l_quantity_max FROM lineitem GROUP BY l_partkey")
