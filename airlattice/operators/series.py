@@ -141,3 +141,17 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+def roles(medians: DataFrame, kit: str, sensor: str, mid: str, pipe: float = 4.6, cylinder: float = 0.2) -> DataFrame:
+    """Adds guess and role to a table of sensors with the median pressure of their steady time.
+
+    The guess is by threshold; the repair gives each kit one pipe sensor (the highest) and takes half of the rest, the lowest
+    first, for cylinders. Ties go by sensor. Windows run over the sensors of a kit.
+    """
+    n = Window.partitionBy(kit)
+    top = F.row_number().over(n.orderBy(F.desc(mid), sensor))
+    d = medians.withColumn("guess", F.when(F.col(mid) > pipe, "MBP").when(F.col(mid) < cylinder, "BC").otherwise("WV")).withColumn("_top", top).withColumn("_n", F.count(F.lit(1)).over(n))
+    low = F.row_number().over(n.orderBy((F.col("_top") == 1).cast("int"), mid, sensor))
+    role = F.when(F.col("_top") == 1, "MBP").when(F.col("_low") <= F.floor((F.col("_n") - 1) / 2), "BC").otherwise("WV")
+    return d.withColumn("_low", low).withColumn("role", role).drop("_top", "_n", "_low")

@@ -265,21 +265,6 @@ def steady_blocks(spark, sf_dir):
     return d.withColumn("r", best).where("r = 1").select("user_id", "n", "start")
 
 
-@query(
-    "sensor_roles",
-    """WITH m AS (SELECT user_id, median(value) AS mid FROM events GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY mid DESC, user_id) AS top, row_number() OVER (ORDER BY mid, user_id) AS low, count(*) OVER () AS n FROM m)
-    SELECT user_id, round(mid, 6) AS mid, CASE WHEN top = 1 THEN 'MBP' WHEN low <= (n - 1) // 2 THEN 'BC' ELSE 'WV' END AS role FROM r""",
-)
-def sensor_roles(spark, sf_dir):
-    """One pipe sensor (the highest median); of the rest the lower half are cylinders, the others load sensors. Windows run over sensors, not samples."""
-    m = events(spark, sf_dir).groupBy("user_id").agg(F.median("value").alias("mid"))
-    whole = Window.orderBy(F.desc("mid"), "user_id")
-    d = m.withColumn("top", F.row_number().over(whole)).withColumn("n", F.count(F.lit(1)).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    low = F.row_number().over(Window.orderBy("mid", "user_id"))
-    role = F.when(F.col("top") == 1, "MBP").when(F.col("low") <= F.floor((F.col("n") - 1) / 2), "BC").otherwise("WV")
-    return d.withColumn("low", low).select("user_id", r6("mid").alias("mid"), role.alias("role"))
-
-
 @query("json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_extract(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
