@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlattice.operators import cycles, joins
+from airlattice.operators import cleaning, cycles, joins, phases, series
 from airlattice.session import table
 
 from .catalog import query
@@ -55,3 +55,95 @@ def reference_cycle(spark, sf_dir):
     c = cycles.detect(pipe(spark, sf_dir), ["kit"], "t", "pressure", "seq").where("not over")
     c = c.withColumn("score", 100 - 10 * F.col("emergency").cast("int"))
     return c.groupBy("kit").agg(F.max_by(F.struct("cycle", "score"), F.struct(F.col("score"), -F.col("cycle"))).alias("b")).select("kit", "b.cycle", "b.score")
+
+
+def brake_line(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pipe, cylinder, load and GPS series of the synthetic line, and its phases.
+
+    A kit has two cylinders that follow the pipe's fall by half a second, the second at a third of the pressure, a load sensor
+    at 40 Hz and a GPS fix a second.
+    """
+    p = pipe(spark, sf_dir)
+    over = Window.partitionBy("kit").orderBy("seq")
+    rows = p.withColumn("g", series.gradient("pressure", over, 40)).withColumn("g", F.avg("g").over(over.rowsBetween(-19, 0)))
+    drop = 5.0 - F.coalesce(F.lag("pressure", 20).over(over), F.lit(5.0))
+    cyl = p.withColumn("drop", drop).select("kit", "seq", "t", F.explode(F.array(F.struct(F.lit("a").alias("sensor"), (F.col("drop") * 1.6).alias("p")), F.struct(F.lit("b").alias("sensor"), (F.col("drop") * 0.5).alias("p")))).alias("x")).select("kit", "seq", "t", "x.*")
+    each = Window.partitionBy("kit", "sensor").orderBy("seq")
+    cyl = cyl.withColumn("p10", series.lowpass("p", each, 10, 40)).withColumn("g", series.gradient("p", each, 40)).withColumn("g", F.avg("g").over(each.rowsBetween(-19, 0)))
+    load = p.select("kit", F.lit("w").alias("sensor"), "t", (2.0 + F.col("kit") / 20).alias("p"))
+    gps = p.where("seq % 40 = 0").select("kit", "t", (45 + F.col("kit") / 100).alias("lat"), (9 + F.col("t") / 1000).alias("lon"), (F.lit(80.0) - F.col("t") / 10).alias("speed"))
+    found = cycles.detect(p, ["kit"], "t", "pressure", "seq").withColumnRenamed("cycle", "phase").withColumnRenamed("init_pressure", "init")
+    return rows.select("kit", "t", F.col("pressure").alias("p"), "g"), cyl, load, gps, found
+
+
+@query("cylinder_phases")
+def cylinder_phases(spark, sf_dir):
+    """How each cylinder starts and brakes, by phase."""
+    _, cyl, _, _, found = brake_line(spark, sf_dir)
+    return phases.cylinder_flags(phases.cylinder_rows(cyl, found, ["kit"]), found, ["kit"])
+
+
+@query("load_phases")
+def load_phases(spark, sf_dir):
+    _, _, load, _, found = brake_line(spark, sf_dir)
+    return phases.load_slices(load, found, ["kit"])
+
+
+@query("gps_phases")
+def gps_phases(spark, sf_dir):
+    _, cyl, _, gps, found = brake_line(spark, sf_dir)
+    return phases.gps_slices(gps, found, phases.cylinder_flags(phases.cylinder_rows(cyl, found, ["kit"]), found, ["kit"]), ["kit"])
+
+
+@query("pipe_subphases")
+def pipe_subphases(spark, sf_dir):
+    rows, _, _, _, found = brake_line(spark, sf_dir)
+    return phases.pipe_subphases(phases._within(rows, found, ["kit"], 0).select("kit", "phase", "t", "p", "g"), ["kit"])
+
+
+@query("cylinder_subphases")
+def cylinder_subphases(spark, sf_dir):
+    _, cyl, _, _, found = brake_line(spark, sf_dir)
+    rows = phases.cylinder_rows(cyl, found, ["kit"])
+    flags = phases.cylinder_flags(rows, found, ["kit"]).join(found.select("kit", "phase", "emergency"), ["kit", "phase"])
+    return phases.cylinder_subphases(rows, flags, ["kit"])
+
+
+@query("feature_table")
+def feature_table(spark, sf_dir):
+    """One row a phase and cylinder: parts of pipe and cylinder, load, position and derived columns, whitelisted and ordered by time."""
+    k = ["kit", "phase"]
+    side = lambda d, prefix, keys: d.select(*keys, *[F.col(c).alias(prefix + c) for c in d.columns if c not in (*keys, "error")])
+    found = brake_line(spark, sf_dir)[4].select(*k, "start", "init", "over", "emergency")
+    load = load_phases(spark, sf_dir).select(*k, F.col("mean_pressure").alias("load"))
+    cyl = side(cylinder_subphases(spark, sf_dir), "cyl_", [*k, "sensor"])
+    d = found.join(cyl, k).join(side(pipe_subphases(spark, sf_dir), "pipe_", k), k).join(load, k, "left").join(gps_phases(spark, sf_dir).select(*k, "lat_last", "lon_last", "speed_mean"), k, "left")
+    d = d.withColumns(phases.derived())
+    keep = {"kit": "int", "phase": "long", "sensor": "string", "start": "double", "init": "double", "emergency": "boolean", "load": "double", "lat_last": "double", "lon_last": "double", "speed_mean": "double", "cyl_mode": "string", "cyl_non_standard": "boolean"}
+    keep |= dict.fromkeys([c for c in d.columns if c not in keep and c not in ("over",)], "double")
+    return cleaning.project(d, keep).orderBy(F.asc_nulls_last("start"), "kit", "sensor")
+
+
+#: Stand-ins for the parts of a phase, so that the derived columns have SQL to compare with.
+STAND_INS = {"pipe_brake_timing": "l_quantity * 5", "pipe_release_timing": "l_discount", "cyl_brake_timing": "l_tax", "cyl_release_timing": "l_quantity", "pipe_brake_power": "l_tax", "cyl_brake_power": "l_quantity", "pipe_release_power": "l_discount", "cyl_release_power": "l_quantity / 2", "pipe_brake_energy": "l_discount * 3", "cyl_brake_energy": "l_tax * 2", "pipe_release_energy": "l_quantity", "cyl_release_energy": "l_discount", "pipe_total_power": "l_tax", "cyl_total_power": "l_quantity", "pipe_total_energy": "l_discount", "cyl_total_energy": "l_tax", "pipe_max_pressure": "l_quantity", "cyl_max_pressure": "l_discount", "pipe_mean": "l_tax", "cyl_mean": "l_discount", "pipe_std": "l_discount", "cyl_std": "l_tax", "pipe_buildup_last": "l_quantity", "cyl_buildup_last": "l_tax", "pipe_release_first": "l_discount", "cyl_release_first": "l_tax", "load": "l_discount"}
+
+
+@query(
+    "derived_columns",
+    f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, {", ".join(f"{e} AS {c}" for c, e in STAND_INS.items())} FROM lineitem),
+    r AS (SELECT *, cyl_brake_power / nullif(pipe_brake_power, 0) AS bp, cyl_release_power / nullif(pipe_release_power, 0) AS rp, cyl_brake_energy / nullif(pipe_brake_energy, 0) AS be, cyl_release_energy / nullif(pipe_release_energy, 0) AS re FROM s),
+    e AS (SELECT *, CASE WHEN bp IS NULL AND rp IS NULL THEN NULL ELSE coalesce(bp, 0) + coalesce(rp, 0) END AS tp, CASE WHEN be IS NULL AND re IS NULL THEN NULL ELSE coalesce(be, 0) + coalesce(re, 0) END AS te FROM r)
+    SELECT l_orderkey, l_linenumber, l_partkey, CAST(pipe_brake_timing < 0.001 OR pipe_release_timing < 0.001 AS INTEGER) AS pipe_classification_error, CAST(pipe_brake_timing > 200 OR pipe_release_timing > 200 AS INTEGER) AS pipe_timing_error,
+    CAST(cyl_brake_timing < 0.001 OR cyl_release_timing < 0.001 AS INTEGER) AS cylinder_classification_error, CAST(cyl_brake_timing > 200 OR cyl_release_timing > 200 AS INTEGER) AS cylinder_timing_error,
+    round(bp, 6) AS brake_power_efficiency, round(rp, 6) AS release_power_efficiency, round(tp, 6) AS total_power_efficiency, round(cyl_total_power / nullif(pipe_total_power, 0), 6) AS power_ratio,
+    round(cyl_brake_power - pipe_brake_power, 6) AS brake_power_delay, round(cyl_release_power - pipe_release_power, 6) AS release_power_delay, round(cyl_brake_power - pipe_brake_power + (cyl_release_power - pipe_release_power), 6) AS total_power_delay,
+    round(be, 6) AS brake_energy_efficiency, round(re, 6) AS release_energy_efficiency, round(te, 6) AS total_energy_efficiency, round(cyl_total_energy / nullif(pipe_total_energy, 0), 6) AS energy_ratio,
+    round(cyl_brake_energy - pipe_brake_energy, 6) AS brake_energy_delay, round(cyl_release_energy - pipe_release_energy, 6) AS release_energy_delay, round(cyl_brake_energy - pipe_brake_energy + (cyl_release_energy - pipe_release_energy), 6) AS total_energy_delay,
+    round(tp * (cyl_max_pressure / nullif(pipe_max_pressure, 0)), 6) AS normalized_power, round(tp * (cyl_max_pressure / nullif(pipe_max_pressure, 0)) / nullif(load, 0), 6) AS weighted_power,
+    round(cyl_mean - pipe_mean, 6) AS mean_delay, round(cyl_std - pipe_std, 6) AS std_delay, round(cyl_buildup_last - pipe_buildup_last, 6) AS buildup_end_delay, round(cyl_release_first - pipe_release_first, 6) AS release_start_delay FROM e""",
+)
+def derived_columns(spark, sf_dir):
+    """The derived columns over lines that stand in for phases."""
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[F.expr(e).cast("double").alias(c) for c, e in STAND_INS.items()])
+    columns = {n: c if n.endswith("error") else r6(c) for n, c in phases.derived().items()}
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", *[c.alias(n) for n, c in columns.items()])
