@@ -1,6 +1,8 @@
 """An upsert table of Parquet snapshots: each merge writes a whole new version beside the last, readers take the newest.
 
-A version appears only when its job has committed, so a failed merge leaves the table as it was and can be repeated.
+A version appears only when its job has committed, so a failed merge leaves the table as it was and can be repeated. The next
+version is the newest and one, whoever writes; what was merged is remembered by a batch name beside the version, so a batch
+that comes again changes nothing and a stream with a new checkpoint can't fall behind. One writer at a time.
 """
 
 from __future__ import annotations
@@ -11,30 +13,63 @@ from pyspark.sql import functions as F
 
 from airlattice.operators import joins
 
+#: Versions that are kept; a reader of an older one must have finished.
+KEEP = 3
 
-def read(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest version, or None where there is none yet."""
+
+def _all(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        all_ = spark.read.parquet(path)
+        return spark.read.option("basePath", path).parquet(f"{path}/version=*")
     except AnalysisException as missing:
         if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
-    newest = all_.agg(F.max("version")).first()[0]
-    return None if newest is None else all_.where(F.col("version") == newest).drop("version")
 
 
-def merge(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[Column], version: int, prefer_new: bool = True) -> None:
-    """Merges ``new`` into the table as ``version``; repeating a version replaces it."""
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(version, batch) of the versions that are there, oldest first; at most ``KEEP`` and those of an interrupted merge."""
+    d = _all(spark, path)
+    return [] if d is None else sorted((r.version, str(r.batch)) for r in d.select("version", "batch").distinct().collect())
+
+
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version, or None where there is none yet."""
+    found = versions(spark, path)
+    return _all(spark, path).where(F.col("version") == found[-1][0]).drop("version", "batch") if found else None
+
+
+def merge(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[Column], batch: int | str, prefer_new: bool = True) -> None:
+    """Merges ``new`` into the table as its next version; a batch that one of the kept versions has merged is left out.
+
+    An empty merge into an empty table writes nothing. Rows of ``new`` with equal keys are one, the first by ``order``.
+    """
+    found, name = versions(spark, path), f"batch-{batch}"
+    if name in {b for _, b in found}:
+        return
     old = read(spark, path)
     both = joins.upsert(old, new, keys, order, prefer_new) if old is not None else joins.upsert(new.limit(0), new, keys, order)
-    both.write.mode("overwrite").parquet(f"{path}/version={version:09d}")
+    number = found[-1][0] + 1 if found else 0
+    both.write.mode("overwrite").parquet(f"{path}/version={number:09d}/batch={name}")
+    for version, _ in found[: max(0, len(found) + 1 - KEEP)]:
+        _delete(spark, f"{path}/version={version:09d}")
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Deletes the table with all its versions."""
+    _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def merge_stream(stream: DataFrame, path: str, keys: list[str], order: list[Column], checkpoint: str):
-    """A streaming query that merges each micro-batch; available data only."""
+def merge_stream(stream: DataFrame, path: str, keys: list[str], order: list[Column], checkpoint: str, prepare=None):
+    """A streaming query that merges each micro-batch, after ``prepare`` (such as scoring) where given; available data only."""
 
     def batch(df: DataFrame, number: int) -> None:
-        merge(df.sparkSession, path, df, keys, order, number)
+        spark = df.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint.replace("/", "_")
+        merge(spark, path, prepare(df) if prepare else df, keys, order, f"{query}-{number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
