@@ -25,8 +25,8 @@ from .words import text_of
 
 #: Bytes of a range, least and most ranges, and sampled keys a range: the sample is MOST_RANGES * PER_RANGE longs at most.
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES, PER_RANGE = 64 << 20, 64, 4096, 32
-#: A range of so many times the mean is overfull; rounds of cutting.
-OVERFULL, ROUNDS = 1.5, 4
+#: A range of so many times the mean is overfull. It is cut again until it isn't, or until no new splitter falls into it.
+OVERFULL = 1.5
 LAW = "bytes"
 
 
@@ -65,15 +65,10 @@ def splitters(keys: DataFrame, total: int) -> tuple[list[int], dict]:
     sample = draw(keys, n * PER_RANGE / max(total, 1))
     edges = sorted({sample[i] for i in range(PER_RANGE, len(sample), PER_RANGE)})
     sizes = measure(keys, edges)
-    for _ in range(ROUNDS):
-        full = [(lo, hi, b) for b, _, lo, hi in sizes.values() if b > OVERFULL * total / n and hi > lo]
-        if not full:
-            break
+    while True:
+        full = [r for r, (b, _, lo, hi) in sizes.items() if b > OVERFULL * total / n and hi > lo]
         # About 8 splitters for each mean size within the overfull ranges, all drawn in one pass.
-        inside = F.lit(False)
-        for lo, hi, _ in sorted(full, key=lambda x: -x[2])[:64]:
-            inside = inside | F.col("_position").between(lo, hi)
-        more = sorted({*edges, *draw(keys.where(inside), 8 * n / total)})
+        more = sorted({*edges, *draw(keys.where(range_of(edges)("_position").isin(full)), 8 * n / total)}) if full else edges
         if more == edges:
             break
         edges = more
