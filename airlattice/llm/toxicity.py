@@ -128,13 +128,13 @@ def descend(doc: np.ndarray, col: np.ndarray, y: np.ndarray, n_features: int) ->
     return w, cuts
 
 
-def fit(rows: list[tuple[frozenset, int]]) -> Ordinal | None:
-    """From sets of features and grades."""
+def fit(rows: list[tuple[np.ndarray, int]]) -> Ordinal | None:
+    """From features (distinct, as numbers) and grades."""
     y = np.array([g for _, g in rows], int)
     if not (y == 0).any() or not (y > 0).any():
         return None
     doc = np.repeat(np.arange(len(rows)), [len(found) for found, _ in rows])
-    features, col = np.unique(np.array([f for found, _ in rows for f in found], int), return_inverse=True)
+    features, col = np.unique(np.concatenate([found for found, _ in rows]), return_inverse=True)
     dense = np.zeros(1 << BITS)
     chosen = telling(np.bincount(col), np.bincount(col, y[doc] > 0), (y > 0).mean()) if len(col) else np.zeros(0, int)
     place = np.full(len(features), -1)
@@ -145,7 +145,7 @@ def fit(rows: list[tuple[frozenset, int]]) -> Ordinal | None:
     return Ordinal(dense, cuts)
 
 
-def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[tuple[frozenset, int]]:
+def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[tuple[np.ndarray, int]]:
     """Features and grades of at most ``limit`` labelled documents of each kind, those of least hash; one document a label."""
     low = F.coalesce(F.min("quality") == 0, F.lit(False)) if "quality" in labels.columns else F.lit(False)
     toxic = F.max("toxic") > 0
@@ -161,7 +161,11 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[tupl
 
     rows = known.select("text", "y").mapInArrow(run, "f array<int>, y int").toArrow()
     # Copies of a text would each count as evidence; the order of rows must not show in the sums.
-    return sorted({(frozenset(f), y) for f, y in zip(rows["f"].to_pylist(), rows["y"].to_pylist(), strict=True)}, key=lambda r: (sorted(r[0]), r[1]))
+    found: set[tuple[bytes, int]] = set()
+    for chunk in rows.to_batches():
+        flat, at = chunk["f"].flatten().to_numpy(), np.concatenate([[0], np.cumsum(chunk["f"].value_lengths().to_numpy())])
+        found.update((flat[a:b].tobytes(), y) for a, b, y in zip(at[:-1], at[1:], chunk["y"].to_pylist(), strict=True))
+    return [(np.frombuffer(f, np.int32), y) for f, y in sorted(found)]
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
