@@ -6,7 +6,8 @@ documents, builds its shard of the model from the counts, and scores all its eve
 contexts read backwards: context v with its successors w, and at order 3 below it the words u before v, each with its
 own successors. Each level is one
 monotone Elias-Fano sequence (context index times the number of words, plus the word), so that a successor is found
-by a search relative to its context; pointers are monotone as well. Probabilities (absolute discounting with
+by a search relative to its context. There is no separate sequence of pointers: a context's range begins where
+its first key would stand. The low bits stay as packed; the high bits are counted into an index when a shard is opened. Probabilities (absolute discounting with
 back-off) are quantised to 256 values a level. All levels of a shard lie in one memory-mapped file.
 
 What a shard doesn't know is the unigram probability of a word unseen after its context: such events leave the

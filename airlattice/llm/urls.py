@@ -2,7 +2,8 @@
 
 Explicit rules judge the URLs they fit. Those URLs are also the examples that two variable-order Markov
 models over characters learn from: half of them (by checksum) train the models, the other half calibrates the
-threshold. Every other URL is judged by its log-likelihood difference per character.
+threshold: the cut of the log-likelihood difference per character at which the shares of wrongly blocked and of wrongly
+allowed URLs add up to the least. Every other URL is judged by that cut.
 
 A context of up to two characters is used where its class has seen it ``MIN_CONTEXT`` times, else a shorter
 one; Witten-Bell interpolation smooths each order with the next. URLs are folded to an alphabet of 36 symbols,
@@ -30,6 +31,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABET = "^$*0./_%~-" + LOWER
 MIN_CONTEXT = 5
 MICRO = 1_000_000
+#: Scores are counted in steps of this many millionths for the threshold, and so far from 0 at most.
+STEP, FURTHEST = 2_000, 20_000_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -89,21 +92,48 @@ def markov(counts: Counter) -> list[float]:
     return [log(smooth(2, g, two[g % (k * k)])) for g in range(k**3)]
 
 
-def fit(seen: DataFrame) -> tuple[list[int], float]:
-    """(log ratios in millionths by trigram, threshold), from rows with _grams, _half (0 trains, 1 calibrates) and _label."""
-    known = seen.where("_label is not null")
+def fit(seen: DataFrame) -> list[int]:
+    """Log ratios in millionths by trigram, from rows with _grams, _half (0 trains, 1 calibrates) and _label."""
     rows = (
-        known.select("_half", "_label", F.explode_outer("_grams").alias("g")).groupBy("_half", "_label", "g").agg(F.count(F.lit(1)).alias("n")).collect()
-    )  # len(ALPHABET) ** 3 rows for each half and label at most
-    counts = {(h, v): Counter() for h in (0, 1) for v in ("allow", "block")}
+        seen.where("_label is not null and _half = 0").select("_label", F.explode_outer("_grams").alias("g")).groupBy("_label", "g").agg(F.count(F.lit(1)).alias("n")).collect()
+    )  # len(ALPHABET) ** 3 rows for each label at most
+    counts = {v: Counter() for v in ("allow", "block")}
     for r in rows:
-        counts[r._half, r._label][r.g] += r.n
-    if not counts[0, "allow"] or not counts[0, "block"]:
-        return [0] * len(ALPHABET) ** 3, 0
-    good, bad = markov(counts[0, "allow"]), markov(counts[0, "block"])
-    ratios = [round(MICRO * (a - b)) for a, b in zip(good, bad, strict=True)]
-    means = [sum(ratios[g] * n for g, n in c.items()) / c.total() for c in (counts[1, "allow"], counts[1, "block"]) if c]
-    return ratios, round(sum(means) / 2) if len(means) == 2 else 0
+        counts[r._label][r.g] += r.n
+    if not counts["allow"] or not counts["block"]:
+        return [0] * len(ALPHABET) ** 3
+    good, bad = markov(counts["allow"]), markov(counts["block"])
+    return [round(MICRO * (a - b)) for a, b in zip(good, bad, strict=True)]
+
+
+def with_llr(df: DataFrame, ratios: list[int]) -> DataFrame:
+    """Adds _llr (sum of the ratios) and _n (symbols)."""
+    table = df.sparkSession.createDataFrame([(ratios,)], "model array<int>").scalar()
+    total = F.aggregate("_grams", F.lit(0).cast("long"), lambda acc, g: acc + F.get("_model", g))
+    return df.withColumn("_model", table).withColumn("_llr", total).withColumn("_n", F.size("_grams")).drop("_model")
+
+
+def cut(good: dict[int, int], bad: dict[int, int]) -> int:
+    """Least step to allow, from counts of allowed and blocked URLs by step: the middle of the steps of least added error shares; 0 without both."""
+    if not good or not bad:
+        return 0
+    n_good, n_bad, steps = sum(good.values()), sum(bad.values()), sorted({*good, *bad})
+    lost, passed, loss = 0, n_bad, []
+    for s in [*steps, steps[-1] + 1]:  # allow from s on
+        loss.append((lost / n_good + passed / n_bad, s))
+        lost, passed = lost + good.get(s, 0), passed - bad.get(s, 0)
+    least = min(x for x, _ in loss)
+    at = [i for i, (x, _) in enumerate(loss) if x == least]
+    first = loss[at[0]][1]
+    before = loss[at[0] - 1][1] if at[0] else first
+    return (before + first) // 2 + (first > before)
+
+
+def threshold(seen: DataFrame, ratios: list[int]) -> int:
+    """Least mean ratio of a symbol, in millionths, that is allowed; counted over the calibration half by steps, so that any number of URLs gives few rows."""
+    step = F.greatest(F.lit(-FURTHEST), F.least(F.lit(FURTHEST), F.floor(F.col("_llr") / F.col("_n")))) / STEP
+    rows = with_llr(seen.where("_label is not null and _half = 1"), ratios).groupBy("_label", F.floor(step).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return STEP * cut({r.s: r.n for r in rows if r._label == "allow"}, {r.s: r.n for r in rows if r._label == "block"})
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -114,9 +144,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules, 0)).withColumn("_label", rule_of(F.col("host"), F.col("path"), rules, 1))
     base = base.withColumn("_codes", codes(F.col("host"), F.col("path"))).withColumn("_grams", trigrams(F.col("_codes")))
     base = base.withColumn("_half", (F.crc32(F.concat("host", "path")) % 2).cast("int"))
-    ratios, least = fit(base)
-    table = pages.sparkSession.createDataFrame([(ratios,)], "model array<int>").scalar()
-    total = F.aggregate("_grams", F.lit(0).cast("long"), lambda acc, g: acc + F.get("_model", g))
-    out = base.withColumn("_model", table).withColumn("_llr", total).withColumn("_n", F.size("_grams"))
+    ratios = fit(base)
+    least = threshold(base, ratios)
+    out = with_llr(base, ratios)
     verdict = F.coalesce(F.col("_label"), F.when((F.length("host") + F.length("path") == 0) | (F.col("_llr") >= least * F.col("_n")), "allow").otherwise("block"))
     return out.select("_row.*", "host", "path", "rule", verdict.alias("verdict"), (F.col("_llr") / F.col("_n") / MICRO).alias("score"), F.lit(least / MICRO).alias("threshold"))

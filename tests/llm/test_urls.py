@@ -70,3 +70,28 @@ def test_scores_match_brute_force(spark, sf):
 
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_verdicts_of_the_calibrated_cut(spark, sf):
+    import zlib
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    out = urls.judge(pages).collect()
+    known = [(r.score * urls.MICRO, rule(r.host, r.path)[1]) for r in out if rule(r.host, r.path)[1] and zlib.crc32((r.host + r.path).encode()) % 2]
+    assert known
+
+    def loss(least):
+        good, bad = ([s for s, v in known if v == kind] for kind in ("allow", "block"))
+        return sum(s < least for s in good) / len(good) + sum(s >= least for s in bad) / len(bad)
+
+    least = out[0].threshold * urls.MICRO
+    assert loss(least) <= min(loss(urls.STEP * (s // urls.STEP)) for s, _ in known) + 1e-9
+    for r in out:
+        if rule(r.host, r.path)[1] is None and r.host + r.path:
+            assert r.verdict == ("allow" if r.score * urls.MICRO >= least - 1e-6 else "block")
+
+
+def test_cut():
+    assert urls.cut({}, {1: 2}) == 0
+    assert urls.cut({10: 4, 12: 1}, {2: 3}) == 6 + 1
+    assert urls.cut({10: 9, 1: 1}, {2: 3, 1: 1}) in (6, 7)
