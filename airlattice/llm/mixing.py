@@ -168,11 +168,20 @@ def taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CA
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say, with the columns of ``docs``.
 
-    Equal rows are one row with the sum of their copies. Rows of many copies are dealt out in blocks before they are written.
+    Rows are numbered among those of equal doc_id, text and source, as the plan numbers them; rows that are equal in all
+    columns are one row with the sum of their copies. Rows of many copies are dealt out in blocks before they are written.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select(F.struct(*names).alias("mix_doc"), F.xxhash64(*names).alias("mix_row"), "source", word_count(text_of("text")).alias("size"))
-    due = plan(own.select("source", "size", F.col("mix_row").alias("mix_key")), weights, cap).groupBy("mix_row").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    key = F.xxhash64("doc_id", text_of("text"), "source").alias("mix_key")
+    own = docs.select(F.struct(*names).alias("mix_doc"), F.xxhash64(*names).alias("mix_row"), key)
+    alike = own.groupBy("mix_key", "mix_row").agg(F.count(F.lit(1)).alias("mix_n"))
+    upto = F.sum("mix_n").over(Window.partitionBy("mix_key").orderBy("mix_row").rowsBetween(Window.unboundedPreceding, 0))
+    spans = alike.select("mix_key", "mix_row", (upto - F.col("mix_n")).alias("mix_a"), (upto - 1).alias("mix_b"))
+    blocks = spans.select("*", F.explode(F.sequence(F.floor(F.col("mix_a") / BLOCK), F.floor(F.col("mix_b") / BLOCK))).alias("mix_block"))
+    base = F.col("mix_block") * BLOCK
+    nth = F.explode(F.sequence(F.greatest("mix_a", base) - base, F.least(F.col("mix_b"), base + BLOCK - 1) - base)).alias("mix_nth")
+    each = blocks.select("mix_key", "mix_row", "mix_block", nth).select("mix_row", F.xxhash64("mix_key", "mix_block", "mix_nth").alias("mix_key"))
+    due = each.join(plan(keyed(docs), weights, cap).select("mix_key", "copies"), "mix_key").groupBy("mix_row").agg(F.sum("copies").alias("copies")).where("copies > 0")
     met = own.select("mix_doc", "mix_row").dropDuplicates(["mix_row"]).join(due, "mix_row")
     copy = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("mix_copy")
     few = met.where(F.col("copies") <= BLOCK).select("mix_doc", copy(F.col("copies")))

@@ -72,3 +72,19 @@ def test_shards(spark, sf):
     assert set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= 2 * most
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.assign(docs.where("false")).collect() == []
+
+
+def test_repeated_rows_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 700)
+    docs = spark.range(100_000).selectExpr("cast(1 as long) as doc_id", "'five words of a copy' as text", "'a' as source", "id % 3 as other").unionAll(spark.range(50).selectExpr("id", "'other words'", "'b'", "id"))
+    rows = mixing.numbered(mixing.keyed(docs))
+    groups = rows.where("source = 'a'").selectExpr(f"pmod(mix_key, {100_000 // mixing.GROUP}) as g").groupBy("g").count().agg({"count": "max"}).first()[0]
+    assert rows.count() == 100_050 and groups <= 2000
+    out = mixing.plan(mixing.keyed(docs)).selectExpr("source", "target", "copies * size AS taken").groupBy("source", "target").agg({"taken": "sum"}).collect()
+    assert all(abs(r.target - r["sum(taken)"]) <= 5 for r in out) and len(out) == 2
+    mixed = mixing.mix(docs)
+    want = {r.source: r["sum(taken)"] for r in out}
+    got = {r.source: r["count"] for r in mixed.groupBy("source").count().collect()}
+    assert got == {"a": want["a"] // 5, "b": want["b"] // 2} and mixed.columns == docs.columns
+    by = [r["count"] for r in mixed.where("source = 'a'").groupBy("other").count().collect()]
+    assert len(by) == 3 and max(by) - min(by) < 0.05 * sum(by)
