@@ -4,11 +4,12 @@ Every token of every document is an event: a word after its context, the word be
 that (order 3). Events are packed by the hash of the context and shuffled once. So one task has all events of its contexts: it counts those of training
 documents, builds its shard of the model from the counts, and scores all its events with it. A shard is a trie over
 contexts read backwards: context v with its successors w, and at order 3 below it the words u before v, each with its
-own successors. Each level is one
-monotone Elias-Fano sequence (context index times the number of words, plus the word), so that a successor is found
-by a search relative to its context. There is no separate sequence of pointers: a context's range begins where
-its first key would stand. The low bits stay as packed; the high bits are counted into an index when a shard is opened. Probabilities (absolute discounting with
-back-off) are quantised to 256 values a level. All levels of a shard lie in one memory-mapped file.
+own successors. Each level has two monotone Elias-Fano sequences: pointers to where the children of each node of the
+level above begin, and the children's words, which rise within a node and are stored on top of the last value before it.
+A child is found by a successor search between two pointers, relative to that value. Bits stay packed: low bits at their
+exact width, high bits in unary with counts for each 64 of them, so an element takes some four bits more than its low
+ones. Probabilities (absolute discounting with back-off) are quantised to 256 values a level. All levels of a shard lie
+in one memory-mapped file, which the task removes when its shard is scored.
 
 What a shard doesn't know is the unigram probability of a word unseen after its context: such events leave the
 shard as (document, word) and meet the shards' own context counts, which are the counts of words, in a second, small
@@ -50,8 +51,8 @@ DISCOUNT = 0.75
 SHARD_EVENTS, BLOCK_TOKENS, COUNTED, SCORED = 2_000_000, 1_500_000, 400_000, 500_000
 #: Bytes of text that a token takes, about: only the number of shards and what counts as hot depend on it.
 TOKEN_BYTES = 6
-#: Order of the model: 3 sends a third more bytes and searches three levels instead of one.
-ORDER = 2
+#: Order of the model.
+ORDER = 3
 # No word holds a space, so these two are no word's hash but by chance.
 START, END = (WordIds()[x] for x in (b" start", b" end"))
 
@@ -60,53 +61,131 @@ START, END = (WordIds()[x] for x in (b" start", b" end"))
 
 
 class EliasFano:
-    """A strictly rising sequence: low bits as they are, high bits in unary; n and the number of low bits are kept."""
+    """A rising sequence in packed bits: the low bits of each element, its high bits in unary, and counts that lead into those.
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, bits: int):
-        self.low, self.bits, self.n = low, bits, len(low)
-        ends = np.flatnonzero(np.unpackbits(high, bitorder="little") == 0) if len(high) else np.zeros(0, np.int64)
-        # Zero number h ends the run of elements with high part h.
-        self.until = ends - np.arange(len(ends))
+    Bits lie in 64-bit words. ``ones`` and ``zeros`` hold, for each word of the unary part, how many bits of their kind
+    come before it: a select searches them, then halves the word.
+    """
 
-    @staticmethod
-    def encode(values: np.ndarray, universe: int) -> tuple[np.ndarray, np.ndarray, int]:
-        n = max(len(values), 1)
-        bits = min((8, 16, 32), key=lambda b: abs(b - np.log2(max(universe / n, 2))))
-        low = (values & ((1 << bits) - 1)).astype({8: np.uint8, 16: np.uint16, 32: np.uint32}[bits])
-        high = (values >> bits).astype(np.int64)
-        top = int(universe >> bits) + 1
-        unary = np.zeros(len(values) + top, np.uint8)
-        unary[high + np.arange(len(values))] = 1
-        return low, np.packbits(unary, bitorder="little"), bits
-
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first element that isn't less than x."""
-        h = (x >> self.bits).astype(np.int64)
-        at = np.where(h > 0, self.until[np.maximum(h - 1, 0)], 0)
-        end = self.until[h]
-        low = (x & ((1 << self.bits) - 1)).astype(self.low.dtype)
-        live = np.flatnonzero(at < end)
+    PARTS = ("low", "high", "ones", "zeros")
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray, n: int, bits: int):
+        self.low, self.high, self.ones, self.zeros, self.n, self.bits = low, high, ones, zeros, n, bits
+
+    @classmethod
+    def encode(cls, values: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[int, int]]:
+        """Parts of a sequence of non-negative numbers, and its length and number of low bits."""
+        n = len(values)
+        most = int(values[-1]) if n else 0
+        bits = max((most // max(n, 1)).bit_length() - 1, 0)
+        low = np.zeros(-(-n * bits // 8) + 16, np.uint8)
+        for at in range(0, n if bits else 0, 1 << 16):  # a multiple of 8 elements ends with a byte
+            some = values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            body = np.packbits(np.unpackbits(some, axis=1, bitorder="little")[:, :bits], bitorder="little")
+            low[at * bits // 8 :][: len(body)] = body
+        unary = np.zeros(-(-(n + (most >> bits) + 1) // 64) * 64, np.uint8)
+        unary[(values >> bits) + np.arange(n)] = 1
+        high = np.packbits(unary, bitorder="little").view(np.uint64)
+        ones = np.r_[0, np.cumsum(np.bitwise_count(high), dtype=np.int64)][:-1]
+        zeros = 64 * np.arange(len(high)) - ones
+        low = low[: len(low) // 8 * 8].view(np.uint64)
+        return {"low": low, "high": high, "ones": ones.astype(np.uint32), "zeros": zeros.astype(np.uint32)}, (n, bits)
+
+    def _select(self, i: np.ndarray, one: bool) -> np.ndarray:
+        """Place of the one, or zero, that has ``i`` of its kind before it."""
+        counts = self.ones if one else self.zeros
+        at = np.searchsorted(counts, i.astype(np.uint32), side="right") - 1
+        word = self.high[at] if one else ~self.high[at]
+        left = (i - counts[at]).astype(np.uint8)
+        place = at << 6
+        for width in (32, 16, 8, 4, 2, 1):
+            half = word & np.uint64((1 << width) - 1)
+            n = np.bitwise_count(half)
+            up = left >= n
+            word = np.where(up, word >> np.uint64(width), half)
+            left -= n * up
+            place += width * up
+        return place
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        at = i * self.bits
+        shift = (at & 63).astype(np.uint64)
+        at >>= 6
+        # A shift by 64 isn't defined: it is done in two steps.
+        both = (self.low[at] >> shift) | ((self.low[at + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        return both & np.uint64((1 << self.bits) - 1)
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """Elements by number."""
+        return ((self._select(i, True) - i) << self.bits) | self._low(i).astype(np.int64)
+
+    def successor(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the first element from ``begin`` on, before ``end``, that isn't less than x, else ``end``; and whether it is x."""
+        top = 64 * len(self.high) - self.n - 1  # the last zero
+        h = x >> self.bits
+        over = h > top
+        h = np.minimum(h, top)
+        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - h + 1, 0)
+        at = np.clip(np.where(over, end, start), begin, end)
+        stop = np.clip(self._select(h, False) - h, at, end)
+        want = (x & ((1 << self.bits) - 1)).astype(np.uint64)
+        live = np.flatnonzero(at < stop)
         # Halve the run of each element's high part; runs are long where a context has many successors.
-        lo, hi, want = at[live], end[live], low[live]
+        lo, hi, low = at[live], stop[live], want[live]
         while len(live):
             mid = (lo + hi) >> 1
-            less = self.low[mid] < want
+            less = self._low(mid) < low
             lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
             more = lo < hi
             at[live[~more]] = lo[~more]
-            live, lo, hi, want = live[more], lo[more], hi[more], want[more]
-        return at
+            live, lo, hi, low = live[more], lo[more], hi[more], low[more]
+        same = np.zeros(len(x), bool)
+        inside = np.flatnonzero(at < stop)
+        same[inside] = self._low(at[inside]) == want[inside]
+        return at, same
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of x, or -1."""
-        at = self.successor(x)
-        h = (x >> self.bits).astype(np.int64)
-        inside = at < self.until[h]
-        same = np.zeros(len(x), bool)
-        same[inside] = self.low[at[inside]] == (x[inside] & ((1 << self.bits) - 1)).astype(self.low.dtype)
+        """Number of x, or -1."""
+        at, same = self.successor(x, np.zeros(len(x), np.int64), np.full(len(x), self.n))
         return np.where(same, at, -1)
 
 
+class Level:
+    """Children of the nodes of the level above: pointers to where each parent's children begin, and the children's words.
+
+    Both are Elias-Fano sequences. Words rise within a parent only, so each parent's are stored on top of the last
+    value before them; a child is found by a successor search between two pointers, relative to that value.
+    """
+
+    def __init__(self, pointers: EliasFano, words: EliasFano):
+        self.pointers, self.words = pointers, words
+
+    @staticmethod
+    def sequences(parents: np.ndarray, words: np.ndarray, n_parents: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pointers and raised words of children in the order of (parent, word); every parent has some."""
+        begin = np.searchsorted(parents, np.arange(n_parents + 1))
+        last = words[begin[1:] - 1].astype(np.int64) + 1
+        return begin, (np.cumsum(last) - last)[parents] + words + 1
+
+    def find(self, parent: np.ndarray, of: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Numbers of children, or -1: ``parent`` has the parents asked for, ``of`` the place there of each word's parent."""
+        if not len(word):
+            return np.zeros(0, np.int64)
+        begin, end = self.pointers.access(parent), self.pointers.access(parent + 1)
+        base = np.where(begin > 0, self.words.access(np.maximum(begin - 1, 0)), 0)
+        at, same = self.words.successor(base[of] + word + 1, begin[of], end[of])
+        return np.where(same, at, -1)
+
+
+def heads(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows begin, and the run of each row."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of a sorted array, and how often each occurs."""
     starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
@@ -129,7 +208,7 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Trie:
     """One shard of the model, in a memory-mapped file that is gone when it is closed."""
 
-    def __init__(self, levels: dict[str, np.ndarray], numbers: dict[str, int]):
+    def __init__(self, levels: dict[str, np.ndarray], numbers: dict):
         self.numbers = numbers
         self.file = tempfile.TemporaryFile()
         places, at = {}, 0
@@ -143,12 +222,10 @@ class Trie:
         self.bytes = at
         whole = np.memmap(self.file, np.uint8, "r") if at else np.zeros(0, np.uint8)
         self.levels = {k: whole[p : p + n * d.itemsize].view(d) for k, (p, d, n) in places.items()}
-        self.words = EliasFano(self.levels["words_low"], self.levels["words_high"], numbers["words"])
-        self.seconds = EliasFano(self.levels["seconds_low"], self.levels["seconds_high"], numbers["seconds"])
+        opened = lambda name: EliasFano(*(self.levels[f"{name}_{x}"] for x in EliasFano.PARTS), *numbers[name])
+        self.words = opened("words")
+        self.below = {x: Level(opened(x + "_pointers"), opened(x)) for x in ("seconds", "pairs", "thirds") if x in numbers}
         self.summed = self.levels["summed"] > 0
-        if "pairs" in numbers:
-            self.pairs = EliasFano(self.levels["pairs_low"], self.levels["pairs_high"], numbers["pairs"])
-            self.thirds = EliasFano(self.levels["thirds_low"], self.levels["thirds_high"], numbers["thirds"])
 
     @classmethod
     def build(cls, v: np.ndarray, u: np.ndarray | None, w: np.ndarray, n_words: int, discount: float = DISCOUNT, whole: int | None = None, totals: np.ndarray | None = None) -> Trie:
@@ -162,8 +239,14 @@ class Trie:
         totals = np.zeros(n_words - whole, np.int64) if totals is None else totals
         levels, numbers = {}, {}
 
-        def level(name: str, keys: np.ndarray, universe: int) -> None:
-            levels[name + "_low"], levels[name + "_high"], numbers[name] = EliasFano.encode(keys, universe)
+        def sequence(name: str, values: np.ndarray) -> None:
+            parts, numbers[name] = EliasFano.encode(values)
+            levels.update({f"{name}_{x}": a for x, a in parts.items()})
+
+        def level(name: str, parents: np.ndarray, words: np.ndarray, n_parents: int) -> None:
+            pointers, raised = Level.sequences(parents, words, n_parents)
+            sequence(name + "_pointers", pointers)
+            sequence(name, raised)
 
         def probabilities(name: str, parents: np.ndarray, n_parents: int, counts: np.ndarray, of: np.ndarray) -> None:
             """Of successors with their parents' numbers: quantised log probabilities, and back-off weights of the parents, whose contexts are ``of``."""
@@ -179,17 +262,21 @@ class Trie:
         v = np.repeat(np.arange(len(contexts)), n_v)
         levels["summed"] = np.zeros(len(contexts), np.uint8)
         levels["summed"][contexts >= whole] = totals[contexts[contexts >= whole] - whole] > 0
-        level("words", contexts.astype(np.int64), d)
+        sequence("words", contexts.astype(np.int64))
         two, n_two = runs(v * d + w) if u is None else np.unique(v * d + w, return_counts=True)
-        level("seconds", two, len(contexts) * d)
+        level("seconds", two // d, two % d, len(contexts))
         probabilities("seconds", two // d, len(contexts), n_two, contexts)
+        del two, n_two
         if u is not None:
-            pairs, of_event = np.unique(v * d + u, return_inverse=True)
-            level("pairs", pairs, len(contexts) * d)
-            three, n_three = np.unique(of_event * d + w, return_counts=True)
-            level("thirds", three, len(pairs) * d)
-            probabilities("thirds", three // d, len(pairs), n_three, contexts[pairs // d])
-        numbers["d"], numbers["whole"] = d, whole
+            # Events come in the order of (v, u, w), so that runs are all there is to count.
+            at, of = heads(v, u)
+            level("pairs", v[at], u[at], len(contexts))
+            of_pair = v[at]
+            at, _ = heads(of, w)
+            n_three = np.diff(np.r_[at, len(w)])
+            level("thirds", of[at], w[at], len(of_pair))
+            probabilities("thirds", of[at], len(of_pair), n_three, contexts[of_pair])
+        numbers["whole"] = whole
         return cls(levels, numbers)
 
     def score(self, v: np.ndarray, u: np.ndarray | None, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,23 +285,30 @@ class Trie:
         For contexts that aren't whole here, the probability of order 2 (at order 3) or its back-off weight is to be added as
         well; of those that are dealt by successor (the start alone, at order 3), so is the back-off weight of order 3.
         """
-        d, lv, whole = np.int64(self.numbers["d"]), self.levels, self.numbers["whole"]
-        log = np.zeros(len(v))
-        context = self.words.find(v)
-        seen = context >= 0
-        rest = np.ones(len(v), bool)
+        lv, whole = self.levels, self.numbers["whole"]
+        log, rest = np.zeros(len(v)), np.ones(len(v), bool)
+        at, of = heads(v)
+        context = self.words.find(v[at].astype(np.int64))[of]
+        seen = np.flatnonzero(context >= 0)
+
+        def search(name: str, some: np.ndarray, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+            """Children ``words`` of ``parents`` for the events ``some``; each parent is opened, and each child searched, once a run."""
+            at, of = heads(parents[some], words[some])
+            few, of_few = heads(parents[some][at])
+            return self.below[name].find(parents[some][at[few]], of_few, words[some][at].astype(np.int64))[of]
+
         if u is not None:
             pair = np.full(len(v), -1)
-            pair[seen] = self.pairs.find(context[seen] * d + u[seen])
+            pair[seen] = search("pairs", seen, context, u)
             has = np.flatnonzero(pair >= 0)
-            third = self.thirds.find(pair[has] * d + w[has])
+            third = search("thirds", has, pair, w)
             hit = third >= 0
             log[has[hit]] = lv["thirds_pbook"][lv["thirds_p"][third[hit]]]
             miss = has[~hit & ~self.summed[context[has]]]
             log[miss] = lv["thirds_bbook"][lv["thirds_b"][pair[miss]]]
             rest[has[hit]] = False
-        back = np.flatnonzero(rest & seen & ((v < whole) | (u is None)))
-        second = self.seconds.find(context[back] * d + w[back])
+        back = np.flatnonzero(rest & (context >= 0) & ((v < whole) | (u is None)))
+        second = search("seconds", back, context, w)
         hit = second >= 0
         log[back[hit]] += lv["seconds_pbook"][lv["seconds_p"][second[hit]]]
         rest[back[hit]] = False

@@ -24,17 +24,36 @@ def brute(rows):
     return out
 
 
+def opened(values):
+    parts, (n, bits) = lm.EliasFano.encode(values)
+    return lm.EliasFano(*(parts[x] for x in lm.EliasFano.PARTS), n, bits), sum(a.nbytes for a in parts.values())
+
+
 def test_levels():
     rng = np.random.default_rng(1)
-    for universe, n in ((10, 10), (1000, 3), (10**12, 5000), (70000, 0), (1 << 40, 1)):
+    for universe, n in ((10, 10), (1000, 3), (10**12, 5000), (70000, 0), (1 << 40, 1), (70000, 40000), (10**9, 200000)):
         values = np.unique(rng.integers(0, universe, n))
-        low, high, bits = lm.EliasFano.encode(values, universe)
-        ef = lm.EliasFano(low, high, bits)
+        ef, size = opened(values)
+        assert (ef.access(np.arange(len(values))) == values).all()
         asked = np.concatenate([values, rng.integers(0, universe, 500)]) if n else rng.integers(0, universe, 500)
         at = np.searchsorted(values, asked)
-        assert (ef.successor(asked) == at).all()
+        assert (ef.successor(asked, np.zeros(len(asked), int), np.full(len(asked), len(values)))[0] == at).all()
         there = np.isin(asked, values)
         assert (ef.find(asked) == np.where(there, at, -1)).all()
+        if len(values) > 1000:  # low bits, two or three of unary, as much again for the counts
+            assert size * 8 / len(values) < ef.bits + 7
+
+
+def test_children_by_pointers():
+    rng = np.random.default_rng(4)
+    keys = np.unique(np.concatenate([np.arange(50) * 1000, rng.integers(0, 50000, 3000), 7000 + np.arange(1000)]))
+    parents, words = keys // 1000, keys % 1000
+    pointers, raised = lm.Level.sequences(parents, words, 50)
+    assert (np.diff(pointers) > 0).all() and (np.diff(raised) > 0).all()
+    level = lm.Level(opened(pointers)[0], opened(raised)[0])
+    asked = np.arange(50000)
+    want = np.where(np.isin(asked, keys), np.searchsorted(keys, asked), -1)
+    assert (level.find(np.arange(50), asked // 1000, asked % 1000) == want).all()
 
 
 def test_two_levels():
