@@ -21,10 +21,12 @@ except ModuleNotFoundError:  # slower, and other hashes, but as good
 class WordIds(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 400_000
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
+        if len(self) >= self.limit:
             self.clear()
         self[word] = value = _digest(word)
         return value

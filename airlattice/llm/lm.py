@@ -49,6 +49,8 @@ FOLDS, HELD = 7, 2
 DISCOUNT = 0.75
 #: Events of a shard on average; tokens that a task packs at a time; words that a task counts, and events it scores, at a time.
 SHARD_EVENTS, BLOCK_TOKENS, COUNTED, SCORED = 2_000_000, 1_500_000, 400_000, 500_000
+#: Words whose hashes a task that packs remembers; bytes of packets that it sends at a time.
+REMEMBERED, SENT = 100_000, 4_000_000
 #: Bytes of text that a token takes, about: only the number of shards and what counts as hot depend on it.
 TOKEN_BYTES = 6
 #: Order of the model.
@@ -341,6 +343,19 @@ def unsqueeze(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def steps(words: np.ndarray) -> list[np.ndarray]:
+    """Rising hashes as the high 16 bits of their steps, which are mostly 0, and the other 48 bits, packed."""
+    step = np.diff(words, prepend=np.uint64(0))
+    low = step.view(np.uint8).reshape(-1, 8)[:, :6].ravel()
+    return [(step >> np.uint64(48)).astype(np.uint16), np.r_[low, np.zeros(-len(low) % 8, np.uint8)].view(np.uint64)]
+
+
+def unstep(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    step = np.zeros((len(high), 8), np.uint8)
+    step[:, :6] = low.view(np.uint8)[: 6 * len(high)].reshape(-1, 6)
+    return np.cumsum(step.view(np.uint64)[:, 0] + (high.astype(np.uint64) << np.uint64(48)), dtype=np.uint64)
+
+
 def ways_of(v: np.ndarray, by: np.ndarray, hot: np.ndarray, ways: np.ndarray) -> np.ndarray:
     """0, or for hot words (sorted hashes and numbers of ways) 1 and one of its ways by the hash of another word."""
     out = np.zeros(len(v), np.uint64)
@@ -361,36 +376,49 @@ def context_of(v: np.ndarray, way: np.ndarray) -> np.ndarray:
 def pack(hot: np.ndarray, ways: np.ndarray, shards: int, order_: int):
     """Packets (shard, payload) of a partition's documents (doc_id, held, text)."""
 
-    def packets(block: int, docs: list[tuple], seqs: list[np.ndarray], first: int) -> pa.RecordBatch:
+    def packets(block: int, docs: list[tuple], seqs: list[np.ndarray], first: int) -> Iterator[pa.RecordBatch]:
         n = np.array([len(s) for s in seqs])
         seq = np.concatenate(seqs)  # two starts, the words, an end, of each document
-        doc = np.repeat(np.arange(len(docs)), n)
+        seqs.clear()
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), n)
         place = np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)
         at = np.flatnonzero(place >= 2)
-        v, u, w, doc = seq[at - 1], seq[at - 2], seq[at], doc[at]
-        head = place[at] == 2
-        way = ways_of(v, w if order_ == 2 else np.where(head, w, u), hot, ways)
+        head, doc = place[at] == 2, doc[at]
+        del place
+        v = seq[at - 1]
+        way = ways_of(v, seq[at] if order_ == 2 else seq[np.where(head, at, at - 2)], hot, ways)
         shard = (mix(context_of(v, way)) % np.uint64(shards)).astype(np.int32)
+        way = way.astype(np.int32)
+        del v
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        del shard
         ids = np.array([d[0] if d[0] is not None else 0 for d in docs], np.int64)
         null = np.array([d[0] is None for d in docs], np.uint8)
         held = np.array([d[1] for d in docs], np.uint8)
-        out_shard, payload = [], []
+        out_shard, payload, size = [], [], 0
         for s in range(shards):
             own = order[edges[s] : edges[s + 1]]
             if not len(own):
                 continue
-            words, inverse = np.unique(np.concatenate([x[own] for x in ((v, w, u) if order_ == 3 else (v, w))]), return_inverse=True)
+            words, inverse = np.unique(np.concatenate([seq[at[own] - back] for back in ((1, 0, 2) if order_ == 3 else (1, 0))]), return_inverse=True)
             k = len(own)
             home = doc[own][head[own]]
             met, d = np.unique(doc[own], return_inverse=True)
-            payload.append(squeeze(np.array([block, first]), words, inverse[:k], inverse[k : 2 * k], inverse[2 * k :], way[own].astype(np.int64), np.diff(d, prepend=0), met, held[met], home, ids[home].view(np.uint64), null[home]))
+            payload.append(squeeze(np.array([block, first]), *steps(words), inverse[:k], inverse[k : 2 * k], inverse[2 * k :], way[own], np.diff(d, prepend=0), met, held[met], home, ids[home].view(np.uint64), null[home]))
             out_shard.append(s)
-        return pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int32()), pa.array(payload, pa.large_binary())], ["shard", "payload"])
+            size += len(payload[-1])
+            if size >= SENT:
+                yield sent(out_shard, payload)
+                out_shard, payload, size = [], [], 0
+        if payload:
+            yield sent(out_shard, payload)
+
+    def sent(shard: list[int], payload: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(payload, pa.large_binary())], ["shard", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, block = WordIds(), TaskContext.get().partitionId()
+        words, block = WordIds(REMEMBERED), TaskContext.get().partitionId()
         docs, seqs, first, size = [], [], 0, 0
         lead, tail = np.array([START, START], np.uint64), np.array([END], np.uint64)
         for batch in batches:
@@ -399,10 +427,10 @@ def pack(hot: np.ndarray, ways: np.ndarray, shards: int, order_: int):
                 seqs.append(np.concatenate([lead, words.of(text.lower().split()), tail]))
                 size += len(seqs[-1])
                 if size >= BLOCK_TOKENS:
-                    yield packets(block, docs, seqs, first)
+                    yield from packets(block, docs, seqs, first)
                     first, size, docs, seqs = first + len(docs), 0, [], []
         if docs:
-            yield packets(block, docs, seqs, first)
+            yield from packets(block, docs, seqs, first)
 
     return run
 
@@ -425,6 +453,8 @@ def score_shard(hot: np.ndarray, hot_counts: np.ndarray, order_: int):
 
     def run(group: pa.Table) -> pa.Table:
         packets = [unsqueeze(p.as_py()) for p in group["payload"]]
+        for p in packets:
+            p[1:3] = [unstep(*p[1:3])]
         words = np.unique(np.concatenate([p[1] for p in packets]))
         local = [np.searchsorted(words, p[1]).astype(np.int32) for p in packets]
         part = lambda i: np.concatenate([at[p[i]] for at, p in zip(local, packets, strict=True)])
