@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -18,6 +19,16 @@ except ModuleNotFoundError:  # slower, and other hashes, but as good
         return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker that has done one task waits for the next with what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _trim:  # glibc
+        _trim(0)
+
+
 class WordIds(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from airlattice.session import shared_dir
 
-from .hashing import WordIds, mix, texts
+from .hashing import WordIds, mix, release, texts
 
 FOLDS, HELD = 7, 2
 DISCOUNT = 0.75
@@ -431,6 +431,8 @@ def pack(hot: np.ndarray, ways: np.ndarray, shards: int, order_: int):
                     first, size, docs, seqs = first + len(docs), 0, [], []
         if docs:
             yield from packets(block, docs, seqs, first)
+        del words, docs, seqs
+        release()
 
     return run
 
@@ -451,7 +453,7 @@ def score_shard(hot: np.ndarray, hot_counts: np.ndarray, order_: int):
     (number of kinds of successors of a hot context here; at order 3 the counts of its successors here).
     """
 
-    def run(group: pa.Table) -> pa.Table:
+    def scored(group: pa.Table) -> pa.Table:
         packets = [unsqueeze(p.as_py()) for p in group["payload"]]
         for p in packets:
             p[1:3] = [unstep(*p[1:3])]
@@ -532,6 +534,11 @@ def score_shard(hot: np.ndarray, hot_counts: np.ndarray, order_: int):
         out.append(rows(2, len(own), word=name[own].view(np.int64), n=count[own]))
         return pa.concat_tables(out)
 
+    def run(group: pa.Table) -> pa.Table:
+        out = scored(group)
+        release()
+        return out
+
     return run
 
 
@@ -540,7 +547,7 @@ def heavy(docs: DataFrame, shards: int, tokens: int) -> dict[int, int]:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words that are hot among the tokens of some stretch of a partition: no other can be hot overall."""
-        ids, found, count, n = WordIds(), set(), Counter(), 0
+        ids, found, count, n = WordIds(REMEMBERED), set(), Counter(), 0
 
         def close() -> None:
             found.update(ids[w] for w, c in count.items() if 2 * shards * c >= n)
@@ -555,13 +562,15 @@ def heavy(docs: DataFrame, shards: int, tokens: int) -> dict[int, int]:
                     close()
                     n = 0
         close()
+        ids.clear()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(np.array(sorted(found), np.uint64).view(np.int64), pa.int64())], ["word"])
 
     candidates = np.array([r.word for r in docs.select("text").mapInArrow(local, "word long").distinct().collect()], np.int64).view(np.uint64)
     wanted = set(candidates.tolist())
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, count, total = WordIds(), Counter(), Counter()
+        ids, count, total = WordIds(REMEMBERED), Counter(), Counter()
         for batch in batches:
             for text in texts(batch, "text"):
                 count.update(text.lower().split())
@@ -569,6 +578,9 @@ def heavy(docs: DataFrame, shards: int, tokens: int) -> dict[int, int]:
                     total.update({ids[w]: c for w, c in count.items() if ids[w] in wanted})
                     count.clear()
         total.update({ids[w]: c for w, c in count.items() if ids[w] in wanted})
+        ids.clear()
+        count.clear()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), np.uint64).view(np.int64), pa.int64()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
     rows_ = docs.where("not held_out").select("text").mapInArrow(exact, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
