@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +93,19 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_: str, vector:
     found = q.unionByName(v).groupBy("b", "part").applyInArrow(run, "query_id long, id long, distance double")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k)
+
+
+def spread_join(rows: DataFrame, marks: DataFrame, keys: list[str], weight: str, total: int, share: int = 1024) -> DataFrame:
+    """Inner join of ``rows`` with ``marks``, one row a key (nulls equal), where a few keys may hold most rows.
+
+    ``weight`` is the number of rows of a key and ``total`` that of all rows. Keys that hold a ``share``-th of all rows or
+    more, of which there are at most ``share``, are broadcast and leave their rows where they are; rows of other keys
+    meet theirs by shuffle, none of them more than total / share in one place.
+    """
+    names = [f"_m{j}" for j in range(len(keys))]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    marks = marks.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in marks.columns if c not in keys])
+    heavy = F.col(weight) * share >= max(total, 1)
+    hot = F.broadcast(marks.where(heavy))
+    apart = rows.join(hot.select(*names), same, "left_anti").join(marks.where(~heavy), same)
+    return rows.join(hot, same).unionByName(apart).drop(*names)
