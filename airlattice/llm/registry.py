@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from airlattice.session import ship
 
-from . import decontam, jaccard, lm, merkle, mixing, pii, quality, sharding, tokens, toxicity, urls
+from . import codes, decontam, jaccard, lm, merkle, mixing, pii, quality, sharding, simhash, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(_read(spark, sf_dir, "documents"))
 
@@ -79,6 +87,8 @@ def queries() -> dict[str, Query]:
         "op8_personal_data": op8_personal_data,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_simhash": op12_simhash,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
@@ -97,4 +107,4 @@ FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, text, item_id, n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op9_decontamination": OP9_SQL, "op11_vector_codes": codes.SQL, "op13_merkle_manifest": merkle.SQL}
