@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import segments
+
 #: Calibration of raw pressure counts to bar, and wheel radius for speed from rpm (fixed values of the format).
 PRESSURE_GAIN, PRESSURE_OFFSET = 3.6 / 3.3 * 0.000788, 2.3057
 WHEEL_RADIUS = 0.46
@@ -78,11 +80,8 @@ def binary_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def decimate(df: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
-    """Every k-th row of each series, from the first."""
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return df.withColumn("_nth", nth).where(F.col("_nth") % k == 0).drop("_nth")
+    """Every ``k``-th row of a series, the first included."""
+    return segments.numbered(df, [key], order).where(F.col("i") % k == 0).drop("i", "n")
 
 
 def without_labels(df: DataFrame, labels: list[str]) -> DataFrame:

@@ -1,22 +1,31 @@
-"""Braking cycles in a pressure series: an ordered state machine, the same for batch groups and for streams.
+"""Braking cycles in a pressure series: an ordered state machine, the same for batches and for streams.
 
 A cycle begins where a calm series starts to fall from operating pressure and ends where the pressure is back. Guards
-drop cycles without fluctuation after their onset, those that never end, and those too shallow. Spark deals the series
-to tasks by key (and day, so that a group is bounded); only the order within a series is Python's.
+drop cycles without fluctuation after their onset, those that never end, and those too shallow. Samples pass a causal
+filter first: a moving mean, a first-order Butterworth low-pass and the mean of its gradient.
+
+The state is small, so a series is cut anywhere: a batch lays series out in segments, each task advances its segments
+row by row, and what a segment leaves goes to the one after it (``detect``).
 """
 
 from __future__ import annotations
 
 import json
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from functools import reduce
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlattice.session import ship
 
+from .filters import butterworth
+from .segments import segmented
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -39,6 +48,8 @@ class Rules:
     hold: float = 5.0
     hold_gradient: float = 0.02
     later: tuple[float, float] = (20.0, 60.0)
+    patience: float = 60.0
+    cutoff: float = 1.0
 
 
 @dataclass
@@ -48,7 +59,9 @@ class State:
     n: int = 0
     raw: list[float] = field(default_factory=list)
     slopes: list[float] = field(default_factory=list)
+    mean: float = 0.0
     smooth: float | None = None
+    time: float | None = None
     calm: list[int] = field(default_factory=list)
     cycle: dict | None = None
     done: dict | None = None  # the last cycle, while its later pressures are awaited
@@ -67,16 +80,19 @@ def feed(state: State, times: list[float], pressures: list[float], rules: Rules
     raw, slopes, calm = (deque(x, m) for x, m in ((state.raw, rules.smooth), (state.slopes, rules.smooth), (state.calm, rules.window)))
     cycle, done = state.cycle, state.done
     enough = -(-rules.calm_share * rules.window // 1)
+    (b0, b1), (_, a1) = (c.tolist() for c in butterworth(1, rules.cutoff, rules.rate))
     for t, p in zip(times, pressures, strict=True):
         raw.append(p)
-        smooth = sum(raw) / len(raw)
+        mean, before = sum(raw) / len(raw), (state.time, state.smooth)
+        smooth = b0 * mean + b1 * state.mean - a1 * (state.smooth or 0.0)
         slopes.append(0.0 if state.smooth is None else (smooth - state.smooth) * rules.rate)
-        state.smooth, g = smooth, sum(slopes) / len(slopes)
+        state.mean, state.smooth, state.time, g = mean, smooth, t, sum(slopes) / len(slopes)
         state.n += 1
         calm.append(int(abs(g) <= rules.calm))
         if cycle is None:
             if sum(calm) >= enough and g <= rules.onset and smooth > rules.lower:
                 if done is not None:  # a new onset cancels what hasn't been seen
+                    _look(done, t, smooth, before, rules)
                     out.append(done)
                     done = None
                 cycle = {"start": t, "first": smooth, "low": smooth, "control": None, "checked": False, "held": None}
@@ -108,19 +124,35 @@ def feed(state: State, times: list[float], pressures: list[float], rules: Rules
                     if drop >= rules.least_drop:
                         if done is not None:
                             out.append(done)
-                        done = {"start": cycle["start"], "end": t, "first": cycle["first"], "drop": drop, "over": over, "under": cycle["first"] < rules.lower, "emergency": drop >= rules.emergency, "later": [None, None]}
+                        done = {"start": cycle["start"], "end": t, "first": cycle["first"], "drop": drop, "over": over, "under": cycle["first"] < rules.lower, "emergency": drop >= rules.emergency, "later": [None, None], "open": [True, True]}
                     cycle = None
-        if done is not None and cycle is None:
-            for i, wait in enumerate(rules.later):
-                if done["later"][i] is None and t >= done["end"] + wait:
-                    done["later"][i] = smooth
-            if done["later"][-1] is not None:
+        if done is not None and cycle is None and t > done["end"]:
+            _look(done, t, smooth, before, rules)
+            if not done["open"][-1]:
                 out.append(done)
                 done = None
     state.raw, state.slopes, state.calm, state.cycle, state.done = list(raw), list(slopes), list(calm), cycle, done
     return out
 
 
+def _look(done: dict, t: float, smooth: float, before: tuple, rules: Rules) -> None:
+    """The later pressures that a sample at ``t`` settles: of it and the one before it the nearer to the instant, the earlier of equals.
+
+    There is none where no sample lies between the end and the instant, or none comes within ``patience`` after it.
+    """
+    for i, wait in enumerate(rules.later):
+        at = done["end"] + wait
+        if done["open"][i] and t >= at:
+            done["open"][i] = False
+            if t - at <= rules.patience and (t == at or before[0] > done["end"]):
+                done["later"][i] = before[1] if at - before[0] <= t - at else smooth
+
+
+def deadline(state: State, rules: Rules = Rules()) -> float | None:
+    """When nothing more can be learnt about the cycle that is awaited."""
+    return None if state.done is None else state.done["end"] + rules.later[-1] + rules.patience
+
+
 def flush(state: State) -> list[dict]:
     """What is still awaited when a series ends."""
     out = [state.done] if state.done is not None else []
@@ -132,24 +164,72 @@ SCHEMA = "start double, end double, init_pressure double, drop double, over bool
 
 
 def frame(found: list[dict]) -> pd.DataFrame:
-    rows = [(c["start"], c["end"], c["first"], c["drop"], c["over"], c["under"], c["emergency"], *c["later"]) for c in found]
+    rows = [(c["start"], c["end"], c["first"], c["drop"], c["over"], c["under"], c["emergency"], *c["later"]) if c else (None,) * 9 for c in found]
     return pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def detect(samples: DataFrame, keys: list[str], time: str, pressure: str, order: str, rules: Rules = Rules()) -> DataFrame:
-    """Cycles of every series; ``keys`` should bound a group, such as sensor and day. Rows without time or pressure are left out."""
-    ship(samples.sparkSession)
+def _advance(keys: list[str], rules: Rules, taken: set[int], goes_on: set[int], starts: dict[int, str] | None):
+    """Cycles of the series in a segment, and the state of its last series where that goes on in the next segment.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", "_order"], kind="stable")
+    Without ``starts``, of the series that begin in the segment; with them, of its first series, which has begun before.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = key = segment = None
         state = State()
-        found = feed(state, pdf["_t"].tolist(), pdf["_p"].tolist(), rules) + flush(state)
+        for pdf in frames:
+            rows, parts, at = list(zip(*[[None if pd.isna(v) else v for v in pdf[k]] for k in keys], strict=True)), [], 0
+            for k, group in groupby(rows):
+                span = slice(at, at := at + sum(1 for _ in group))
+                if segment is None:
+                    segment, first, key = int(pdf["_segment"].iloc[0]), k, k
+                    if starts is not None:
+                        state = State.load(starts[segment])
+                if k != key:
+                    if mine(segment, key == first):
+                        parts.append(_rows(key, flush(state)))
+                    key, state = k, State()
+                if mine(segment, key == first):
+                    parts.append(_rows(key, feed(state, pdf["_t"].iloc[span].tolist(), pdf["_p"].iloc[span].tolist(), rules)))
+            yield pd.concat(parts) if parts else _rows((None,) * len(keys), [])
+        if segment is not None and mine(segment, key == first):
+            yield _rows(key, [{}]).assign(_state=state.dump(), _segment=segment) if segment in goes_on else _rows(key, flush(state))
+
+    def mine(segment: int, is_first: bool) -> bool:
+        return is_first if starts is not None else not (is_first and segment in taken)
+
+    def _rows(key: tuple, found: list[dict]) -> pd.DataFrame:
         out = frame(found)
         for name, value in zip(reversed(keys), reversed(key), strict=True):
-            out.insert(0, name, value)
-        out.insert(len(keys), "cycle", range(1, len(out) + 1))
-        return out
+            out.insert(0, name, pd.Series([value] * len(out), dtype=object))
+        return out.assign(_state=None, _segment=0)
 
-    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    return run
+
+
+def detect(samples: DataFrame, keys: list[str], time: str, pressure: str, order: str, rules: Rules = Rules(), parts: int | None = None) -> DataFrame:
+    """Cycles of every series, numbered within it. Rows without time or pressure are left out.
+
+    Series are laid out in segments, so a task holds a batch of rows and a state, whatever a series' length. One pass takes the
+    series where they begin; the stretch of a series beyond a cut takes over its state in a second pass. Only a series that
+    fills whole segments takes a pass for each of them, as its states follow one another.
+    """
+    spark = samples.sparkSession
+    ship(spark)
     d = samples.where(F.col(time).isNotNull() & F.col(pressure).isNotNull()).select(*keys, F.col(time).cast("double").alias("_t"), F.col(pressure).cast("double").alias("_p"), F.col(order).alias("_order"))
-    return d.groupBy(*keys).applyInPandas(run, f"{kinds}, cycle long, {SCHEMA}")
+    d = segmented(d, keys, ["_t", "_order"], parts)
+    edges = d.groupBy("_segment").agg(F.min_by(F.struct(*keys), "_at").alias("a"), F.max_by(F.struct(*keys), "_at").alias("b")).orderBy("_segment").collect()  # a row a segment
+    goes_on = {x["_segment"]: y["_segment"] for x, y in zip(edges, edges[1:]) if x["b"] == y["a"]}
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+
+    def advanced(rows: DataFrame, starts: dict[int, str] | None) -> DataFrame:
+        out = rows.select(*keys, "_t", "_p", "_segment").mapInPandas(_advance(keys, rules, set(goes_on.values()), set(goes_on), starts), f"{kinds}, {SCHEMA}, _state string, _segment int")
+        return out.checkpoint() if goes_on else out
+
+    passes = [advanced(d, None)]
+    while goes_on and (left := passes[-1].where("_state IS NOT NULL").select("_segment", "_state").collect()):  # a row a segment
+        starts = {goes_on[r["_segment"]]: r["_state"] for r in left}
+        passes.append(advanced(d.where(F.col("_segment").isin(sorted(starts))), starts))
+    found = reduce(DataFrame.unionAll, passes).where("_state IS NULL")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("start")).cast("long")
+    return found.select(*keys, nth.alias("cycle"), *[c.split()[0] for c in SCHEMA.split(", ")])

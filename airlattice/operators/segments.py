@@ -47,7 +47,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str | Column], parts: i
 
 @dataclass(frozen=True)
 class Fold:
-    """How a column of an ordered series comes from the rows so far: ``kind`` is sum, last, next, lag or lead."""
+    """How a column of an ordered series comes from the rows so far: ``kind`` is sum, last, next, lag, lead or peak."""
 
     kind: str
     of: Column
@@ -78,16 +78,21 @@ def lead(of: Column) -> Fold:
     return Fold("lead", of)
 
 
+def peak_before(of: Column) -> Fold:
+    """The greatest value of all rows before this one; null on a key's first row."""
+    return Fold("peak", of)
+
+
 def _state(f: Fold, x: Column) -> Column:
     """What a segment knows of a fold."""
     known = F.when(x.isNotNull(), F.col("_at"))
-    return {"sum": lambda: F.sum(x), "last": lambda: F.max_by(x, known), "next": lambda: F.min_by(x, known), "lag": lambda: F.max_by(F.struct(x.alias("v")), F.col("_at")), "lead": lambda: F.min_by(F.struct(x.alias("v")), F.col("_at"))}[f.kind]()
+    return {"sum": lambda: F.sum(x), "peak": lambda: F.max(x), "last": lambda: F.max_by(x, known), "next": lambda: F.min_by(x, known), "lag": lambda: F.max_by(F.struct(x.alias("v")), F.col("_at")), "lead": lambda: F.min_by(F.struct(x.alias("v")), F.col("_at"))}[f.kind]()
 
 
 def _scan(f: Fold, state: str, run: WindowSpec) -> Column:
     """What a segment takes over, from the states of the others of its key."""
     before, after = run.rowsBetween(Window.unboundedPreceding, -1), run.rowsBetween(1, Window.unboundedFollowing)
-    return {"sum": lambda: F.sum(state).over(before), "last": lambda: F.last(state, ignorenulls=True).over(before), "next": lambda: F.first(state, ignorenulls=True).over(after), "lag": lambda: F.lag(state).over(run), "lead": lambda: F.lead(state).over(run)}[f.kind]()
+    return {"sum": lambda: F.sum(state).over(before), "peak": lambda: F.max(state).over(before), "last": lambda: F.last(state, ignorenulls=True).over(before), "next": lambda: F.first(state, ignorenulls=True).over(after), "lag": lambda: F.lag(state).over(run), "lead": lambda: F.lead(state).over(run)}[f.kind]()
 
 
 def _apply(f: Fold, x: Column, carried: Column, run: WindowSpec) -> Column:
@@ -96,6 +101,8 @@ def _apply(f: Fold, x: Column, carried: Column, run: WindowSpec) -> Column:
     if f.kind == "sum":
         own = F.sum(x).over(so_far)
         return F.coalesce(own + carried, own, carried)
+    if f.kind == "peak":
+        return F.greatest(F.max(x).over(run.rowsBetween(Window.unboundedPreceding, -1)), carried)
     if f.kind in ("last", "next"):
         return F.coalesce(F.last(x, ignorenulls=True).over(so_far) if f.kind == "last" else F.first(x, ignorenulls=True).over(ahead), carried)
     point = F.struct(x.alias("v"))
@@ -123,3 +130,17 @@ def fold(d: DataFrame, keys: list[str], **columns: Fold) -> DataFrame:
     # At most two keys of a segment go on in another one: no more rows than twice the segments.
     met = d.join(F.broadcast(held), same, "left")
     return met.select(*[F.col(f"`{c}`") for c in own if c not in columns], *[_apply(f, F.col(f"_of_{c}"), F.col(f"_in_{c}"), within(keys)).alias(c) for c, f in columns.items()])
+
+
+def framed(df: DataFrame, keys: list[str], order: list[str | Column], before: int, after: int = 0, size: int = 1 << 20, parts: int | None = None) -> tuple[DataFrame, WindowSpec]:
+    """Rows for frames of at most ``before`` rows back and ``after`` rows ahead, and the window to use; then keep rows where _own.
+
+    Series are cut into chunks of ``size`` rows; rows near an edge also go to the chunk beside theirs, as neighbours only.
+    """
+    if before > size or after > size:
+        raise ValueError("a frame may not be longer than a chunk")
+    d = numbered(df, keys, order, parts)
+    mine, at = F.floor(F.col("i") / size), F.col("i") % size
+    both = F.array_compact(F.array(mine, F.when(at >= size - before, mine + 1), F.when((at < after) & (mine > 0), mine - 1)))
+    d = d.withColumn("_chunk", F.explode(both)).withColumn("_own", F.col("_chunk") == F.floor(F.col("i") / size))
+    return d, Window.partitionBy(*keys, "_chunk").orderBy("i")

@@ -2,55 +2,36 @@
 
 from __future__ import annotations
 
-from math import pi, tan
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import segments
+
 
 def by(key: str, *order: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(*order)
 
 
-def moving_average(x: str, over: WindowSpec, width: int) -> Column:
-    """Causal mean of the last ``width`` rows, of fewer while the series is younger."""
-    return F.avg(x).over(over.rowsBetween(-(width - 1), 0))
-
+def moving_average(df: DataFrame, key: str, order: list[str], x: str, width: int, name: str, size: int = 1 << 20) -> DataFrame:
+    """Adds the causal mean of the last ``width`` rows, of fewer while the series is younger."""
+    d, run = segments.framed(df, [key], order, width - 1, size=size)
+    return d.withColumn(name, F.avg(x).over(run.rowsBetween(-(width - 1), 0))).where("_own").drop("i", "n", "_chunk", "_own")
 
-def gradient(x: str, over: WindowSpec, rate: float) -> Column:
-    """Change a second at a nominal rate; 0 on the first row."""
-    return F.coalesce((F.col(x) - F.lag(x).over(over)) * rate, F.lit(0.0))
 
+def with_lag(df: DataFrame, key: str, order: list[str], **columns: Column) -> DataFrame:
+    """Adds the named columns' values of the row before."""
+    d = segments.segmented(df, [key], order)
+    return segments.fold(d, [key], **{c: segments.lag(x) for c, x in columns.items()}).drop("_at", "_segment")
 
-def lowpass_coefficients(cutoff: float, rate: float) -> tuple[float, float]:
-    """(b, a) of a first-order Butterworth low-pass: y = b * (x + x1) - a * y1."""
-    k = tan(pi * cutoff / rate)
-    return k / (1 + k), (k - 1) / (k + 1)
 
+def gradient(x: str, over: WindowSpec, rate: float) -> Column:
+    """Change a second at a nominal rate; 0 on the first row. For series that fit in a task, such as a phase's."""
+    return F.coalesce((F.col(x) - F.lag(x).over(over)) * rate, F.lit(0.0))
 
-def lowpass(x: str, over: WindowSpec, cutoff: float, rate: float, tail: float = 1e-12) -> Column:
-    """First-order Butterworth low-pass from a zero state.
 
-    The recursion is unrolled into a weighted sum over the rows whose weight exceeds ``tail``: a window of fixed
-    length, so a series of any length streams through it.
-    """
-    b, a = lowpass_coefficients(cutoff, rate)
-    x1 = F.coalesce(F.lag(x).over(over), F.lit(0.0))
-    if abs(a) < 1e-15:
-        return (F.col(x) + x1) * b
-    length, weight = 1, 1.0
-    while weight > tail:
-        weight *= abs(a)
-        length += 1
-    frame = over.rowsBetween(-(length - 1), 0)
-    past = F.collect_list(F.col(x).cast("double")).over(frame)
-    # Newest last: fold as the recursion does, from the oldest row of the frame.
-    return F.aggregate(
-        past,
-        F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("x")),
-        lambda s, v: F.struct((F.lit(b) * (v + s["x"]) - F.lit(a) * s["y"]).alias("y"), v.alias("x")),
-        lambda s: s["y"],
-    )
+def quarter_band(x: str, over: WindowSpec) -> Column:
+    """First-order Butterworth low-pass at a quarter of the rate, from a zero state: its feedback vanishes."""
+    return (F.col(x) + F.coalesce(F.lag(x).over(over), F.lit(0.0))) / 2
 
 
 def first_per_time(df: DataFrame, key: str, time: str, order: str) -> DataFrame:
@@ -59,12 +40,13 @@ def first_per_time(df: DataFrame, key: str, time: str, order: str) -> DataFrame:
     return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
-def islands(df: DataFrame, key: str, order: list[str], state: Column) -> DataFrame:
+def islands(df: DataFrame, key: str, order: list[str], state: Column, parts: int | None = None) -> DataFrame:
     """Adds island: the number of the run of equal ``state`` that a row is in."""
-    over = by(key, *order)
-    df = df.withColumn("_state", state)
-    change = F.when(F.lag("_state").over(over).eqNullSafe(F.col("_state")), 0).otherwise(1)
-    return df.withColumn("_change", change).withColumn("island", F.sum("_change").over(over.rowsBetween(Window.unboundedPreceding, 0))).drop("_change", "_state")
+    d = segments.segmented(df.withColumn("_state", state), [key], order, parts)
+    d = segments.fold(d, [key], _before=segments.lag(F.struct("_state")))
+    change = F.when(F.col("_before").isNotNull() & F.col("_before._state").eqNullSafe(F.col("_state")), 0).otherwise(1)
+    d = segments.fold(d, [key], island=segments.running_sum(change))
+    return d.drop("_before", "_state", "_at", "_segment")
 
 
 def seconds(time: str) -> Column:
@@ -74,7 +56,7 @@ def seconds(time: str) -> Column:
 
 def gaps(df: DataFrame, key: str, time: str, order: list[str], limit: float) -> DataFrame:
     """Per series: rows, gaps longer than ``limit`` seconds, longest and mean gap, share of such gaps in percent, nominal frequency."""
-    d = df.withColumn("_dt", seconds(time) - F.lag(seconds(time)).over(by(key, *order)))
+    d = with_lag(df, key, order, _last=seconds(time)).withColumn("_dt", seconds(time) - F.col("_last"))
     over = F.col("_dt") > limit
     return d.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
@@ -88,51 +70,52 @@ def gaps(df: DataFrame, key: str, time: str, order: list[str], limit: float) ->
 
 def trapezoid(df: DataFrame, key: str, x: str, time: str, order: list[str]) -> DataFrame:
     """Per series: integral over time (energy), duration and their ratio (power)."""
-    over = by(key, *order)
-    d = df.withColumn("_dt", seconds(time) - F.lag(seconds(time)).over(over)).withColumn("_mid", (F.col(x) + F.lag(x).over(over)) / 2)
+    d = with_lag(df, key, order, _last=seconds(time), _x=F.col(x)).withColumn("_dt", seconds(time) - F.col("_last")).withColumn("_mid", (F.col(x) + F.col("_x")) / 2)
     out = d.groupBy(key).agg(F.sum(F.col("_mid") * F.col("_dt")).alias("energy"), F.sum("_dt").alias("duration"))
     return out.withColumn("power", F.try_divide("energy", "duration"))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, time: str, at: str, value: str, tie: str) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, time: str, at: str, value: str, tie: str, parts: int | None = None) -> DataFrame:
     """As-of join: the right row nearest in time to each left row, the earlier on a tie.
 
-    Both sides meet in one sort by series and time; the neighbours before and after come from windows, so neither side
-    is expanded. Left needs unique ``tie`` values.
+    Both sides meet in one sort by series and time, right rows before left ones of the same time; the neighbours before and
+    after are carried along the segments, so neither side is expanded and no series is one task's. Left needs unique ``tie``
+    values.
     """
-    l = left.select(F.col(key), F.col(time).alias("_t"), F.col(tie).alias("_tie"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(None).cast(right.schema[at].dataType).alias("_at"), F.lit(1).alias("_side"))
-    r = right.select(F.col(key), F.col(at).alias("_t"), F.lit(None).cast(left.schema[tie].dataType).alias("_tie"), F.col(value).alias("_v"), F.col(at).alias("_at"), F.lit(0).alias("_side"))
-    both = l.unionByName(r)
-    point = F.when(F.col("_side") == 0, F.struct("_at", "_v"))
-    before = F.last(point, ignorenulls=True).over(Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(Window.partitionBy(key).orderBy("_t", F.desc("_side")).rowsBetween(0, Window.unboundedFollowing))
-    met = both.withColumn("_b", before).withColumn("_a", after).where("_side = 1")
+    l = left.select(F.col(key), F.col(time).alias("_t"), F.col(tie).alias("_tie"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))
+    r = right.select(F.col(key), F.col(at).alias("_t"), F.lit(None).cast(left.schema[tie].dataType).alias("_tie"), F.col(value).alias("_v"), F.lit(0).alias("_side"))
+    point = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("_at"), "_v"))
+    both = segments.segmented(l.unionByName(r), [key], ["_t", "_side"], parts)
+    met = segments.fold(both, [key], _b=segments.last(point), _a=segments.next_(point)).where("_side = 1")
     back, ahead = seconds("_t") - seconds("_b._at"), seconds("_a._at") - seconds("_t")
     pick = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull() | (back <= ahead), F.col("_b")).otherwise(F.col("_a"))
     return met.select(key, F.col("_tie").alias(tie), pick["_at"].alias("at"), pick["_v"].alias("value"))
 
 
-def resample(df: DataFrame, key: str, x: str, time: str, step: int) -> DataFrame:
-    """Linear interpolation on a grid of ``step`` seconds within each series' range; equal times keep their first value."""
+def resample(df: DataFrame, key: str, x: str, time: str, step: int, parts: int | None = None) -> DataFrame:
+    """Linear interpolation on a grid of ``step`` seconds within each series' range; equal times keep their least value.
+
+    Each point makes the grid points from itself up to the next one, which is carried along the segments: no series is laid
+    out whole.
+    """
     points = df.groupBy(key, seconds(time).alias("_s")).agg(F.min(x).alias("_x"))
-    span = points.groupBy(key).agg(F.ceil(F.min("_s") / step).alias("lo"), F.floor(F.max("_s") / step).alias("hi")).where("lo <= hi")
-    grid = span.select(key, F.explode(F.sequence("lo", "hi")).alias("g")).select(key, (F.col("g") * step).cast("double").alias("_s"), F.lit(None).cast("double").alias("_x"), F.lit(1).alias("_grid"))
-    both = points.select(key, "_s", "_x", F.lit(0).alias("_grid")).unionByName(grid)
-    point = F.when(F.col("_grid") == 0, F.struct("_s", "_x"))
-    back = F.last(point, ignorenulls=True).over(Window.partitionBy(key).orderBy("_s", "_grid").rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(point, ignorenulls=True).over(Window.partitionBy(key).orderBy("_s", F.desc("_grid")).rowsBetween(0, Window.unboundedFollowing))
-    met = both.withColumn("b", back).withColumn("a", ahead).where("_grid = 1")
-    width = F.col("a._s") - F.col("b._s")
-    lerp = F.when(width == 0, F.col("b._x")).otherwise(F.col("b._x") + (F.col("a._x") - F.col("b._x")) * F.try_divide(F.col("_s") - F.col("b._s"), width))
-    return met.select(key, F.col("_s").cast("long").alias("grid"), lerp.alias("value"))
-
-
-def merge_intervals(df: DataFrame, key: str, start: str, end: str, gap: int = 0) -> DataFrame:
+    d = segments.segmented(points, [key], ["_s"], parts)
+    d = segments.fold(d, [key], _next=segments.lead(F.struct("_s", "_x")))
+    first, over = F.ceil(F.col("_s") / step), F.ceil(F.coalesce(F.col("_next._s"), F.col("_s")) / step)
+    # The last point of a series has a grid point only if it lies on it.
+    upto = F.when(F.col("_next").isNull(), F.floor(F.col("_s") / step)).otherwise(over - 1)
+    d = d.where(first <= upto).withColumn("g", F.explode(F.sequence(first, upto)))
+    part = F.try_divide(F.col("g") * step - F.col("_s"), F.col("_next._s") - F.col("_s"))
+    lerp = F.coalesce(F.col("_x") + (F.col("_next._x") - F.col("_x")) * part, F.col("_x"))
+    return d.select(key, (F.col("g") * step).cast("long").alias("grid"), lerp.alias("value"))
+
+
+def merge_intervals(df: DataFrame, key: str, start: str, end: str, gap: int = 0, parts: int | None = None) -> DataFrame:
     """Unions of intervals that overlap, touch or lie within ``gap`` (in the unit of the ends): (key, start, end, n)."""
-    order = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    d = df.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0))
-    d = d.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    d = segments.segmented(df, [key], [start, end], parts)
+    d = segments.fold(d, [key], _reach=segments.peak_before(F.col(end)))
+    new = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + gap), 1).otherwise(0)
+    d = segments.fold(d, [key], _island=segments.running_sum(new))
     return d.groupBy(key, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("_island")
 
 

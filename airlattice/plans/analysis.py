@@ -11,7 +11,7 @@ from airlattice.operators import joins, series, statistics
 from airlattice.session import table
 
 from .catalog import query
-from .telemetry import events, r6, sensor
+from .telemetry import ORDER, events, r6
 
 #: Stand-ins for three models: each flags a line as faulty; returned lines are the true faults.
 MODELS = {"forest": "l_discount > 0.05", "linear": "l_tax > 0.04", "nearest": "l_quantity > 25"}
@@ -63,10 +63,10 @@ def far_split(spark, sf_dir):
     return predictions(spark, sf_dir).groupBy("model").agg(far().alias("total"), F.round(100.0 * F.try_divide(F.sum((f & fp).cast("int")), F.sum((f & healthy).cast("int"))), 4).alias("aux"))
 
 
-@query("alarm_table", f"SELECT l_orderkey, l_linenumber, model, round(l_extendedprice / 100000, 6) AS score FROM {LONG} WHERE alarm AND year(l_shipdate) >= 1997")
+@query("alarm_table", f"SELECT l_orderkey, l_linenumber, model, l_extendedprice / 100000 AS score FROM {LONG} WHERE alarm AND year(l_shipdate) >= 1997")
 def alarm_table(spark, sf_dir):
     """Positive predictions from a year on, of all models."""
-    return predictions(spark, sf_dir).where(F.col("alarm") & (F.year("l_shipdate") >= 1997)).select("l_orderkey", "l_linenumber", "model", r6(F.col("l_extendedprice") / 100_000).alias("score"))
+    return predictions(spark, sf_dir).where(F.col("alarm") & (F.year("l_shipdate") >= 1997)).select("l_orderkey", "l_linenumber", "model", (F.col("l_extendedprice") / 100_000).alias("score"))
 
 
 @query(
@@ -104,21 +104,22 @@ def population_moments(spark, sf_dir):
 @query(
     "file_summary",
     """WITH d AS (SELECT *, CAST(ts AS DATE) AS day, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS dt, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dv FROM events)
-    SELECT user_id, day, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS duration, round(avg(dt), 4) AS dt_mean, round(max(dt), 4) AS dt_max, CAST(sum(CASE WHEN dt > 7200 THEN 1 ELSE 0 END) AS BIGINT) AS gaps,
+    SELECT user_id, day, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS duration, round(avg(dt), 4) AS dt_mean, round(max(dt), 6) AS dt_max, CAST(sum(CASE WHEN dt > 7200 THEN 1 ELSE 0 END) AS BIGINT) AS gaps,
     round(100.0 * avg(CASE WHEN dt > 7200 THEN 1 ELSE 0 END), 4) AS gap_pct, round(sum(CASE WHEN dt > 7200 THEN dt ELSE 0 END), 3) AS gap_total, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std, min(value) AS value_min, max(value) AS value_max, round(sum(value), 4) AS value_sum,
     round(max(abs(dv)), 6) AS step_max, round(avg(abs(dv)), 6) AS step_mean, CAST(sum(CASE WHEN dv > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rises, CAST(sum(CASE WHEN value < 5 THEN 1 ELSE 0 END) AS BIGINT) AS low, round(100.0 * avg(CASE WHEN value < 5 THEN 1 ELSE 0 END), 4) AS low_pct,
     CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, round(100.0 * avg(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END), 4) AS error_pct, count(DISTINCT event_type) AS kinds, arg_min(value, (ts, event_id)) AS value_first, arg_max(value, (ts, event_id)) AS value_last,
     max(value) > 60 AS moving, count(*) < 3 AS few, count(DISTINCT date_trunc('hour', ts)) AS hours, min(event_id) AS id_min, max(event_id) AS id_max, CAST(sum(CASE WHEN hour(ts) < 6 THEN 1 ELSE 0 END) AS BIGINT) AS at_night FROM d GROUP BY 1, 2""",
 )
 def file_summary(spark, sf_dir):
-    """Thirty-two aggregates of each sensor and day, after one window."""
+    """Thirty-two aggregates of each sensor and day, after the row before is carried along each series."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    d = events(spark, sf_dir).withColumn("day", F.to_date("ts")).withColumn("dt", (at - F.lag(at).over(sensor())) / 1e6).withColumn("dv", F.col("value") - F.lag("value").over(sensor()))
+    d = series.with_lag(events(spark, sf_dir), "user_id", ORDER, last=at, before=F.col("value"))
+    d = d.withColumn("day", F.to_date("ts")).withColumn("dt", (at - F.col("last")) / 1e6).withColumn("dv", F.col("value") - F.col("before"))
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
     pct = lambda c: F.round(100.0 * F.avg(F.coalesce(c, F.lit(False)).cast("int")), 4)
     gap, low, error, key = F.col("dt") > 7200, F.col("value") < 5, F.col("event_type") == "error", F.struct("ts", "event_id")
     return d.groupBy("user_id", "day").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round((F.max(at) - F.min(at)) / 1e6, 3).alias("duration"), F.round(F.avg("dt"), 4).alias("dt_mean"), F.round(F.max("dt"), 4).alias("dt_max"), n(gap).alias("gaps"),
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round((F.max(at) - F.min(at)) / 1e6, 3).alias("duration"), F.round(F.avg("dt"), 4).alias("dt_mean"), r6(F.max("dt")).alias("dt_max"), n(gap).alias("gaps"),
         pct(gap).alias("gap_pct"), F.round(F.sum(F.when(gap, F.col("dt")).otherwise(0.0)), 3).alias("gap_total"), r6(F.avg("value")).alias("value_mean"), r6(F.stddev_samp("value")).alias("value_std"), F.min("value").alias("value_min"), F.max("value").alias("value_max"), F.round(F.sum("value"), 4).alias("value_sum"),
         r6(F.max(F.abs("dv"))).alias("step_max"), r6(F.avg(F.abs("dv"))).alias("step_mean"), n(F.col("dv") > 0).alias("rises"), n(low).alias("low"), pct(low).alias("low_pct"),
         n(error).alias("errors"), pct(error).alias("error_pct"), F.count_distinct("event_type").alias("kinds"), F.min_by("value", key).alias("value_first"), F.max_by("value", key).alias("value_last"),
@@ -378,8 +379,10 @@ def map_centre(spark, sf_dir):
 
 @query("jitter")
 def jitter(spark, sf_dir):
-    """A seeded normal shift of each point, for display."""
-    return table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") + F.randn(7) * 0.01).alias("x"))
+    """A normal shift of each point, for display, drawn from its key: the same however the table is dealt."""
+    draw = lambda seed: (F.shiftrightunsigned(F.xxhash64("s_suppkey", F.lit(seed)), 11) + 1) / F.lit(float(1 << 53))
+    normal = F.sqrt(-2 * F.log(draw(7))) * F.cos(2 * F.pi() * draw(8))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") + normal * 0.01).alias("x"))
 
 
 @query("pool_split", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'test' WHEN ascii(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1)) IN (48, 52, 56) THEN 'holdout' ELSE 'train' END AS pool FROM orders")

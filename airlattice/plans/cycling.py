@@ -69,7 +69,7 @@ def brake_line(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     drop = 5.0 - F.coalesce(F.lag("pressure", 20).over(over), F.lit(5.0))
     cyl = p.withColumn("drop", drop).select("kit", "seq", "t", F.explode(F.array(F.struct(F.lit("a").alias("sensor"), (F.col("drop") * 1.6).alias("p")), F.struct(F.lit("b").alias("sensor"), (F.col("drop") * 0.5).alias("p")))).alias("x")).select("kit", "seq", "t", "x.*")
     each = Window.partitionBy("kit", "sensor").orderBy("seq")
-    cyl = cyl.withColumn("p10", series.lowpass("p", each, 10, 40)).withColumn("g", series.gradient("p", each, 40)).withColumn("g", F.avg("g").over(each.rowsBetween(-19, 0)))
+    cyl = cyl.withColumn("p10", series.quarter_band("p", each)).withColumn("g", series.gradient("p", each, 40)).withColumn("g", F.avg("g").over(each.rowsBetween(-19, 0)))
     load = p.select("kit", F.lit("w").alias("sensor"), "t", (2.0 + F.col("kit") / 20).alias("p"))
     gps = p.where("seq % 40 = 0").select("kit", "t", (45 + F.col("kit") / 100).alias("lat"), (9 + F.col("t") / 1000).alias("lon"), (F.lit(80.0) - F.col("t") / 10).alias("speed"))
     found = cycles.detect(p, ["kit"], "t", "pressure", "seq").withColumnRenamed("cycle", "phase").withColumnRenamed("init_pressure", "init")

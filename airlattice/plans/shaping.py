@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from airlattice.operators import cleaning, joins, series
+from airlattice.operators import cleaning, joins, segments, series
 from airlattice.session import table
 
 from .catalog import query
-from .telemetry import ORDER, events, r6, sensor
+from .telemetry import ORDER, events, r6
 
 
 def micros(time: str):
@@ -132,8 +131,10 @@ def all_calm(spark, sf_dir):
 )
 def gap_segments(spark, sf_dir):
     """Lines split where four hours are missing."""
-    gap = F.coalesce((micros("ts") - F.lag(micros("ts")).over(sensor()) > 14_400_000_000).cast("long"), F.lit(0))
-    return events(spark, sf_dir).withColumn("c", gap).select("event_id", F.sum("c").over(sensor().rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
+    d = segments.segmented(events(spark, sf_dir).select("event_id", "user_id", micros("ts").alias("at")), ["user_id"], ["at", "event_id"])
+    d = segments.fold(d, ["user_id"], before=segments.lag(F.col("at")))
+    gap = F.coalesce((F.col("at") - F.col("before") > 14_400_000_000).cast("long"), F.lit(0))
+    return segments.fold(d, ["user_id"], segment=segments.running_sum(gap)).select("event_id", "segment")
 
 
 @query("group_share", "SELECT event_id, round(value / avg(value) OVER (PARTITION BY user_id), 6) AS share FROM events")
@@ -211,11 +212,11 @@ def half_open_count(spark, sf_dir):
     "SELECT event_id FROM events p WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM events v WHERE v.event_type = 'error' AND v.user_id = p.user_id AND v.ts BETWEEN p.ts AND p.ts + INTERVAL 2 HOUR)",
 )
 def interval_semi(spark, sf_dir):
-    """Purchases with an error within two hours, both ends included: the next error tells, so a window does it."""
-    e = events(spark, sf_dir).where("event_type IN ('purchase', 'error')").withColumn("at", micros("ts")).withColumn("kind", (F.col("event_type") == "purchase").cast("int"))
-    ahead = Window.partitionBy("user_id").orderBy("at", F.desc("kind")).rowsBetween(0, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("event_type") == "error", F.col("at")), ignorenulls=True).over(ahead)
-    return e.withColumn("next", nxt).where("event_type = 'purchase' AND next <= at + 7200000000").select("event_id")
+    """Purchases with an error within two hours, both ends included: the next error of the series tells."""
+    e = events(spark, sf_dir).where("event_type IN ('purchase', 'error')").select("event_id", "user_id", "event_type", micros("ts").alias("at"))
+    d = segments.segmented(e, ["user_id"], ["at", F.col("event_type") == "error"])
+    d = segments.fold(d, ["user_id"], next=segments.next_(F.when(F.col("event_type") == "error", F.col("at"))))
+    return d.where("event_type = 'purchase' AND next <= at + 7200000000").select("event_id")
 
 
 @query(
@@ -304,7 +305,9 @@ def point_lookup(spark, sf_dir):
 
 @query("role_order", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, ts, event_id) AS nth FROM events")
 def role_order(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(cleaning.role_rank(F.col("event_type"), ["view", "click", "purchase"]), *ORDER)).cast("long").alias("nth"))
+    rank = cleaning.role_rank(F.col("event_type"), ["view", "click", "purchase"])
+    d = segments.numbered(events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type"), ["user_id"], [rank, *ORDER])
+    return d.select("event_id", (F.col("i") + 1).alias("nth"))
 
 
 @query("page_with_total", "SELECT event_id, value, (SELECT count(*) FROM events WHERE value > 50) AS total FROM events WHERE value > 50 ORDER BY value DESC, event_id LIMIT 50 OFFSET 100")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlattice.operators import cleaning, joins, series
+from airlattice.operators import cleaning, filters, joins, segments, series
 from airlattice.session import table
 
 from .catalog import query
@@ -18,11 +18,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER = ["ts", "event_id"]
 
 
-def sensor():
-    """One sensor in the order of time; a window needs a session, so it is made on use."""
-    return series.by("user_id", *ORDER)
-
-
 def r6(c) -> F.Column:
     return F.round(c, 6)
 
@@ -118,12 +113,14 @@ def decimate(spark, sf_dir):
 
 @query("moving_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS smooth FROM events")
 def moving_average(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", r6(series.moving_average("value", sensor(), 20)).alias("smooth"))
+    d = series.moving_average(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ORDER, "value", 20, "smooth")
+    return d.select("event_id", r6("smooth").alias("smooth"))
 
 
 @query("gradient", "SELECT event_id, round(coalesce((value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) * 40, 0), 6) AS gradient FROM events")
 def gradient(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", r6(series.gradient("value", sensor(), 40)).alias("gradient"))
+    d = series.with_lag(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ORDER, before=F.col("value"))
+    return d.select("event_id", r6(F.coalesce((F.col("value") - F.col("before")) * 40, F.lit(0.0))).alias("gradient"))
 
 
 @query(
@@ -131,7 +128,9 @@ def gradient(spark, sf_dir):
     "SELECT event_id, round((value + coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0)) / 2, 6) AS y FROM events",
 )
 def lowpass_10hz(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", r6(series.lowpass("value", sensor(), 10, 40)).alias("y"))
+    """At a quarter of the rate the feedback vanishes: a mean of two."""
+    d = series.with_lag(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ORDER, before=F.col("value"))
+    return d.select("event_id", r6((F.col("value") + F.coalesce("before", F.lit(0.0))) / 2).alias("y"))
 
 
 @query(
@@ -142,7 +141,8 @@ def lowpass_10hz(spark, sf_dir):
     SELECT event_id, round(y, 6) AS y FROM f""",
 )
 def lowpass_1hz(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", r6(series.lowpass("value", sensor(), 1, 40)).alias("y"))
+    d = filters.lowpass(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), ["user_id"], ORDER, "value", 1, 40, "y")
+    return d.select("event_id", r6("y").alias("y"))
 
 
 @query(
@@ -152,7 +152,7 @@ def lowpass_1hz(spark, sf_dir):
     SELECT user_id, CAST(island AS BIGINT) AS island, bool_or(value >= 50) AS high, count(*) AS n, min(ts) AS start, max(ts) AS stop FROM i GROUP BY user_id, island""",
 )
 def islands(spark, sf_dir):
-    d = series.islands(events(spark, sf_dir), "user_id", ORDER, F.col("value") >= 50)
+    d = series.islands(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ORDER, F.col("value") >= 50)
     return d.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.bool_or(F.col("value") >= 50).alias("high"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.max("ts").alias("stop"))
 
 
@@ -162,11 +162,11 @@ def islands(spark, sf_dir):
     SELECT event_id, CAST(CASE WHEN value < 50 THEN 0 ELSE sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS BIGINT) AS run FROM c""",
 )
 def run_counters(spark, sf_dir):
-    """Length so far of the run of readings of 50 or more; reset below."""
-    up = Window.unboundedPreceding
-    d = events(spark, sf_dir).withColumn("g", F.sum((F.col("value") < 50).cast("int")).over(sensor().rowsBetween(up, 0)))
-    run = F.sum((F.col("value") >= 50).cast("int")).over(Window.partitionBy("user_id", "g").orderBy(*ORDER).rowsBetween(up, 0))
-    return d.select("event_id", F.when(F.col("value") < 50, F.lit(0).cast("long")).otherwise(run).alias("run"))
+    """Length so far of the run of readings of 50 or more; reset below. It is the count of such readings less the count at the last reset."""
+    d = segments.segmented(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), ["user_id"], ORDER)
+    d = segments.fold(d, ["user_id"], up=segments.running_sum((F.col("value") >= 50).cast("long")))
+    d = segments.fold(d, ["user_id"], base=segments.last(F.when(F.col("value") < 50, F.col("up"))))
+    return d.select("event_id", (F.col("up") - F.coalesce("base", F.lit(0))).alias("run"))
 
 
 @query(
@@ -176,7 +176,7 @@ def run_counters(spark, sf_dir):
     round(100.0 * sum(CASE WHEN dt > 3600 THEN 1 ELSE 0 END) / nullif(count(dt), 0), 6) AS gap_pct, round(1.0 / median(CASE WHEN dt > 0 THEN dt END), 9) AS frequency FROM d GROUP BY user_id""",
 )
 def gap_metrics(spark, sf_dir):
-    d = series.gaps(events(spark, sf_dir), "user_id", "ts", ORDER, 3600)
+    d = series.gaps(events(spark, sf_dir).select("event_id", "user_id", "ts"), "user_id", "ts", ORDER, 3600)
     return d.select("user_id", "n", "n_gaps", r6("max_gap").alias("max_gap"), r6("mean_gap").alias("mean_gap"), r6("gap_pct").alias("gap_pct"), F.round("frequency", 9).alias("frequency"))
 
 
@@ -186,7 +186,7 @@ def gap_metrics(spark, sf_dir):
     SELECT user_id, round(sum(mid * dt), 2) AS energy, round(sum(dt), 4) AS duration, round(sum(mid * dt) / nullif(sum(dt), 0), 6) AS power FROM d GROUP BY user_id""",
 )
 def trapezoid_energy(spark, sf_dir):
-    d = series.trapezoid(events(spark, sf_dir), "user_id", "value", "ts", ORDER)
+    d = series.trapezoid(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", "value", "ts", ORDER)
     return d.select("user_id", F.round("energy", 2).alias("energy"), F.round("duration", 4).alias("duration"), r6("power").alias("power"))
 
 
@@ -197,14 +197,17 @@ def trapezoid_energy(spark, sf_dir):
     SELECT event_id, n >= ceil(0.6 * m) AS stable FROM c""",
 )
 def stability_gate(spark, sf_dir):
-    frame = sensor().rowsBetween(-79, 0)
-    d = events(spark, sf_dir).withColumn("calm", (F.abs(series.gradient("value", sensor(), 1)) <= 10).cast("int"))
-    return d.select("event_id", (F.sum("calm").over(frame) >= F.ceil(F.lit(0.6) * F.count(F.lit(1)).over(frame))).alias("stable"))
+    d = series.with_lag(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ORDER, before=F.col("value"))
+    d = d.withColumn("calm", (F.abs(F.coalesce(F.col("value") - F.col("before"), F.lit(0.0))) <= 10).cast("int"))
+    d, run = segments.framed(d, ["user_id"], ORDER, 79)
+    frame = run.rowsBetween(-79, 0)
+    return d.withColumn("stable", F.sum("calm").over(frame) >= F.ceil(F.lit(0.6) * F.count(F.lit(1)).over(frame))).where("_own").select("event_id", "stable")
 
 
 @query("windowed_drop", "SELECT event_id, coalesce(value - lag(value, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= -20, false) AS drop FROM events")
 def windowed_drop(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.coalesce(F.col("value") - F.lag("value", 3).over(sensor()) <= -20, F.lit(False)).alias("drop"))
+    d, run = segments.framed(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), ["user_id"], ORDER, 3)
+    return d.withColumn("drop", F.coalesce(F.col("value") - F.lag("value", 3).over(run) <= -20, F.lit(False))).where("_own").select("event_id", "drop")
 
 
 @query(
@@ -213,8 +216,10 @@ def windowed_drop(spark, sf_dir):
     SELECT user_id, peak, CAST(min(CASE WHEN value >= 0.9 * peak THEN r END) AS BIGINT) AS crossing FROM m GROUP BY user_id, peak""",
 )
 def peak_crossing(spark, sf_dir):
-    d = events(spark, sf_dir).withColumn("r", F.row_number().over(sensor())).withColumn("peak", F.max("value").over(Window.partitionBy("user_id")))
-    return d.groupBy("user_id", "peak").agg(F.min(F.when(F.col("value") >= 0.9 * F.col("peak"), F.col("r"))).cast("long").alias("crossing"))
+    d = segments.numbered(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), ["user_id"], ORDER)
+    peaks = d.groupBy("user_id").agg(F.max("value").alias("peak"))
+    met = d.join(peaks, "user_id").where(F.col("value") >= 0.9 * F.col("peak"))
+    return peaks.join(met.groupBy("user_id").agg((F.min("i") + 1).alias("crossing")), "user_id", "left")
 
 
 @query(
@@ -260,9 +265,8 @@ def resample_linear(spark, sf_dir):
 def steady_blocks(spark, sf_dir):
     """The longest steady run of each sensor, the first of equals."""
     calm = F.col("value").between(10, 90)
-    d = series.islands(events(spark, sf_dir), "user_id", ORDER, calm).where(calm).groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"))
-    best = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "start"))
-    return d.withColumn("r", best).where("r = 1").select("user_id", "n", "start")
+    d = series.islands(events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), "user_id", ORDER, calm).where(calm).groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"))
+    return d.groupBy("user_id").agg(F.max_by(F.struct("n", "start"), F.struct(F.col("n"), -F.unix_micros(F.col("start").cast("timestamp")))).alias("b")).select("user_id", "b.*")
 
 
 @query("json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -334,7 +338,9 @@ def last_known(spark, sf_dir):
 
 @query("cumulative", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total, round(avg(value) OVER (PARTITION BY user_id), 6) AS mean FROM events")
 def cumulative(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.round(F.sum("value").over(sensor().rowsBetween(Window.unboundedPreceding, 0)), 4).alias("total"), r6(F.avg("value").over(Window.partitionBy("user_id"))).alias("mean"))
+    e = events(spark, sf_dir).select("event_id", "user_id", "ts", "value")
+    d = segments.fold(segments.segmented(e, ["user_id"], ORDER), ["user_id"], total=segments.running_sum(F.col("value")))
+    return d.join(e.groupBy("user_id").agg(F.avg("value").alias("mean")), "user_id").select("event_id", F.round("total", 4).alias("total"), r6("mean").alias("mean"))
 
 
 @query(
@@ -344,9 +350,9 @@ def cumulative(spark, sf_dir):
     SELECT user_id, round(sum(2 * 6371.0 * asin(sqrt(least(pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2), 1.0)))), 3) AS km FROM l GROUP BY user_id""",
 )
 def path_length(spark, sf_dir):
-    p = events(spark, sf_dir).where("value < 800").withColumn("lat", F.col("value") / 10).withColumn("lon", (F.col("event_id") % 180).cast("double"))
-    step = series.haversine(F.lag("lat").over(sensor()), F.lag("lon").over(sensor()), F.col("lat"), F.col("lon"))
-    return p.withColumn("km", step).groupBy("user_id").agg(F.round(F.sum("km"), 3).alias("km"))
+    p = events(spark, sf_dir).where("value < 800").select("event_id", "user_id", "ts", (F.col("value") / 10).alias("lat"), (F.col("event_id") % 180).cast("double").alias("lon"))
+    d = series.with_lag(p, "user_id", ORDER, la=F.col("lat"), lo=F.col("lon"))
+    return d.groupBy("user_id").agg(F.round(F.sum(series.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))), 3).alias("km"))
 
 
 @query(

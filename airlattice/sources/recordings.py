@@ -23,6 +23,8 @@ WAKE, WAKE_BYTES = 0x20, 19
 FAST_HZ, SLOW_HZ, SLOW_SAMPLES = 40.0, 1.62181, 10
 #: Accepted GPS times in ms, both ends included.
 GPS_FROM, GPS_TO = 1735689600000, 1893456000000
+#: The mark within a GPS record, and where it lies.
+MARK, MARK_AT = b"\x21\x0e", 12
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -53,21 +55,33 @@ def packets_of(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, PACKET)
 
 
+PACKET_COLUMNS = "start_ms long, vbatt int, vin int, id int, ic int, temp int, rssi int, raw array<int>"
+FIX_COLUMNS = "ms long, lat double, lon double, speed double, rpm double, ibatt double, vbatt double"
+
+
+def packet_columns(p: np.ndarray) -> tuple[list[str], list[pa.Array]]:
+    """Packets in counts, as Arrow columns."""
+    names = ["vbatt", "vin", "id", "ic", "temp", "rssi"]
+    raw = pa.FixedSizeListArray.from_arrays(pa.array(p["raw"].reshape(-1).astype(np.int32)), 80).cast(pa.list_(pa.int32()))
+    return ["start_ms", *names, "raw"], [pa.array(p["start"].astype(np.int64)), *[pa.array(p[c].astype(np.int32)) for c in names], raw]
+
+
+def in_units(packets_: DataFrame) -> DataFrame:
+    """Packets with voltages in volts, currents in amperes, temperature in degrees and signal strength in dBm."""
+    return packets_.withColumns({"vbatt": F.col("vbatt") / 1000, "vin": F.col("vin") / 1000, "id": F.col("id") * 0.1, "ic": F.col("ic") * 0.1, "temp": F.col("temp") * 0.01, "rssi": -(256.0 - F.col("rssi"))})
+
+
 def packets(recordings: DataFrame) -> DataFrame:
     """One row a packet: kit, sensor_id, start_ms, voltages, currents, temperature and signal strength in units, and raw counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kit, sensor, data in zip(*(batch.column(c).to_pylist() for c in ("kit", "sensor_id", "content")), strict=True):
-                p = packets_of(data)
-                n = len(p)
-                cols = [pa.array([kit] * n, pa.string()), pa.array([sensor] * n, pa.string()), pa.array(p["start"].astype(np.int64))]
-                cols += [pa.array(p[c].astype(np.int32)) for c in ("vbatt", "vin", "id", "ic", "temp", "rssi")]
-                cols.append(pa.FixedSizeListArray.from_arrays(pa.array(p["raw"].reshape(-1).astype(np.int32)), 80).cast(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, ["kit", "sensor_id", "start_ms", "vbatt", "vin", "id", "ic", "temp", "rssi", "raw"])
+                names, columns = packet_columns(packets_of(data))
+                n = len(columns[0])
+                yield pa.RecordBatch.from_arrays([pa.array([kit] * n, pa.string()), pa.array([sensor] * n, pa.string()), *columns], ["kit", "sensor_id", *names])
 
-    d = recordings.where("kind = 'p'").select("kit", "sensor_id", "content").mapInArrow(run, "kit string, sensor_id string, start_ms long, vbatt int, vin int, id int, ic int, temp int, rssi int, raw array<int>")
-    return d.withColumns({"vbatt": F.col("vbatt") / 1000, "vin": F.col("vin") / 1000, "id": F.col("id") * 0.1, "ic": F.col("ic") * 0.1, "temp": F.col("temp") * 0.01, "rssi": -(256.0 - F.col("rssi"))})
+    return in_units(recordings.where("kind = 'p'").select("kit", "sensor_id", "content").mapInArrow(run, f"kit string, sensor_id string, {PACKET_COLUMNS}"))
 
 
 def samples(packets_: DataFrame, rate: float = FAST_HZ, shift_hours: int = 2) -> DataFrame:
@@ -81,10 +95,8 @@ def samples(packets_: DataFrame, rate: float = FAST_HZ, shift_hours: int = 2) ->
 def fixes_of(data: bytes) -> list[tuple]:
     """GPS records: found by their mark, with or without a filler byte before the time, times out of range dropped."""
     out, at = [], 0
-    while at + 38 <= len(data):
-        if data[at + 12] != 0x21 or data[at + 13] != 0x0E:
-            at += 1
-            continue
+    while (mark := data.find(MARK, at + MARK_AT)) >= 0 and mark - MARK_AT + 38 <= len(data):
+        at = mark - MARK_AT
         if data[at + 28 : at + 30] != b"\r\n":
             at += 30
             continue
@@ -102,15 +114,27 @@ def fixes_of(data: bytes) -> list[tuple]:
     return out
 
 
+def fix_columns(rows: list[tuple]) -> tuple[list[str], list[pa.Array]]:
+    """GPS records as Arrow columns."""
+    names = [c.split()[0] for c in FIX_COLUMNS.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return names, [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[1:]]]
+
+
+def located(fixes_: DataFrame) -> DataFrame:
+    """GPS records with a place and a time: those at latitude 0 have none. Adds ts and speed_rpm. GPS times are not shifted."""
+    d = fixes_.where("lat <> 0").withColumn("ts", F.timestamp_millis("ms").cast("timestamp_ntz")).withColumn("speed_rpm", cleaning.speed_from_rpm(F.col("rpm")))
+    return d.drop("ms")
+
+
 def fixes(recordings: DataFrame) -> DataFrame:
-    """One row a GPS record: kit, ts, lat, lon, speed, rpm, ibatt, vbatt, speed_rpm. GPS times are not shifted."""
+    """One row a GPS record with a place: kit, ts, lat, lon, speed, rpm, ibatt, vbatt, speed_rpm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kit, data in zip(batch.column("kit").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = fixes_of(data)
-                cols = list(zip(*rows, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array([kit] * len(rows), pa.string()), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[1:]]], ["kit", "ms", "lat", "lon", "speed", "rpm", "ibatt", "vbatt"])
+                names, columns = fix_columns(fixes_of(data))
+                yield pa.RecordBatch.from_arrays([pa.array([kit] * len(columns[0]), pa.string()), *columns], ["kit", *names])
 
-    d = recordings.where("kind = 'pjm'").select("kit", "content").mapInArrow(run, "kit string, ms long, lat double, lon double, speed double, rpm double, ibatt double, vbatt double")
-    return d.select("kit", F.timestamp_millis("ms").cast("timestamp_ntz").alias("ts"), "lat", "lon", "speed", "rpm", "ibatt", "vbatt", cleaning.speed_from_rpm(F.col("rpm")).alias("speed_rpm"))
+    d = located(recordings.where("kind = 'pjm'").select("kit", "content").mapInArrow(run, f"kit string, {FIX_COLUMNS}"))
+    return d.select("kit", "ts", "lat", "lon", "speed", "rpm", "ibatt", "vbatt", "speed_rpm")
