@@ -35,7 +35,7 @@ def segmented(df: DataFrame, keys: list[str], order: list[str | Column], parts:
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str | Column], parts: int | None = None) -> DataFrame:
-    """Adds i (gapless from 0 within the keys, in the order) and n (rows of the keys)."""
+    """Adds i (gapless from 0 within the keys, in the order) and n (rows of the keys); columns of these names are replaced."""
     d = segmented(df, keys, order, parts)
     per = d.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     run = Window.partitionBy(*keys).orderBy("_segment")
@@ -47,7 +47,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str | Column], parts: i
 
 @dataclass(frozen=True)
 class Fold:
-    """How a column of an ordered series comes from the rows so far: ``kind`` is sum, last, next, lag, lead or peak."""
+    """How a column of an ordered series comes from the rows so far: ``kind`` is sum, last, next, lag, lead, peak or floor."""
 
     kind: str
     of: Column
@@ -83,16 +83,21 @@ def peak_before(of: Column) -> Fold:
     return Fold("peak", of)
 
 
+def floor_ahead(of: Column) -> Fold:
+    """The least value of this row and all later ones; nulls don't count."""
+    return Fold("floor", of)
+
+
 def _state(f: Fold, x: Column) -> Column:
     """What a segment knows of a fold."""
     known = F.when(x.isNotNull(), F.col("_at"))
-    return {"sum": lambda: F.sum(x), "peak": lambda: F.max(x), "last": lambda: F.max_by(x, known), "next": lambda: F.min_by(x, known), "lag": lambda: F.max_by(F.struct(x.alias("v")), F.col("_at")), "lead": lambda: F.min_by(F.struct(x.alias("v")), F.col("_at"))}[f.kind]()
+    return {"sum": lambda: F.sum(x), "peak": lambda: F.max(x), "floor": lambda: F.min(x), "last": lambda: F.max_by(x, known), "next": lambda: F.min_by(x, known), "lag": lambda: F.max_by(F.struct(x.alias("v")), F.col("_at")), "lead": lambda: F.min_by(F.struct(x.alias("v")), F.col("_at"))}[f.kind]()
 
 
 def _scan(f: Fold, state: str, run: WindowSpec) -> Column:
     """What a segment takes over, from the states of the others of its key."""
     before, after = run.rowsBetween(Window.unboundedPreceding, -1), run.rowsBetween(1, Window.unboundedFollowing)
-    return {"sum": lambda: F.sum(state).over(before), "peak": lambda: F.max(state).over(before), "last": lambda: F.last(state, ignorenulls=True).over(before), "next": lambda: F.first(state, ignorenulls=True).over(after), "lag": lambda: F.lag(state).over(run), "lead": lambda: F.lead(state).over(run)}[f.kind]()
+    return {"sum": lambda: F.sum(state).over(before), "peak": lambda: F.max(state).over(before), "floor": lambda: F.min(state).over(after), "last": lambda: F.last(state, ignorenulls=True).over(before), "next": lambda: F.first(state, ignorenulls=True).over(after), "lag": lambda: F.lag(state).over(run), "lead": lambda: F.lead(state).over(run)}[f.kind]()
 
 
 def _apply(f: Fold, x: Column, carried: Column, run: WindowSpec) -> Column:
@@ -103,6 +108,8 @@ def _apply(f: Fold, x: Column, carried: Column, run: WindowSpec) -> Column:
         return F.coalesce(own + carried, own, carried)
     if f.kind == "peak":
         return F.greatest(F.max(x).over(run.rowsBetween(Window.unboundedPreceding, -1)), carried)
+    if f.kind == "floor":
+        return F.least(F.min(x).over(ahead), carried)
     if f.kind in ("last", "next"):
         return F.coalesce(F.last(x, ignorenulls=True).over(so_far) if f.kind == "last" else F.first(x, ignorenulls=True).over(ahead), carried)
     point = F.struct(x.alias("v"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from airlattice.session import shared_dir
+
 from . import segments
 
 
@@ -119,6 +121,30 @@ def merge_intervals(df: DataFrame, key: str, start: str, end: str, gap: int = 0,
     return d.groupBy(key, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
+def greedy_intervals(df: DataFrame, key: str, start: str, end: str, id_: str, parts: int | None = None) -> DataFrame:
+    """Of each key's intervals as many as don't overlap: always the next one to end (then of least id) that starts no sooner than the last has ended.
+
+    Each interval points to the one that would follow it, found along the segments as the least end ahead; the choice is the
+    chain from the first, and by doubling the pointers a chain of any length is walked in the logarithm of it. Intervals of
+    no length, or with a null, are left out. Ids are unique within a key.
+    """
+    shared_dir(df.sparkSession)
+    i = df.where(F.col(start) < F.col(end)).select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(id_).alias("_id"))
+    offered = i.select("_k", F.col("_s").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(df.schema[id_].dataType).alias("_own"), F.struct("_e", "_id").alias("_c"))
+    asked = i.select("_k", F.col("_e").alias("_t"), F.lit(0).alias("_side"), F.col("_id").alias("_own"), F.lit(None).cast(offered.schema["_c"].dataType).alias("_c"))
+    d = segments.fold(segments.segmented(offered.unionByName(asked), ["_k"], ["_t", "_side"], parts), ["_k"], _next=segments.floor_ahead(F.col("_c")))
+    jump = d.where("_side = 0 AND _next IS NOT NULL").select("_k", F.col("_own").alias("_id"), F.col("_next._id").alias("_to")).checkpoint()
+    chain = i.groupBy("_k").agg(F.min(F.struct("_e", "_id")).alias("c")).select("_k", "c._id").checkpoint()
+    same = F.col("a._k").eqNullSafe(F.col("b._k"))
+    while not jump.isEmpty():
+        # Pointers of the chain double its length; then each pointer takes two steps at once.
+        ahead = chain.alias("a").join(jump.alias("b"), same & (F.col("a._id") == F.col("b._id"))).select("a._k", F.col("b._to").alias("_id"))
+        chain = chain.unionByName(ahead).checkpoint()
+        jump = jump.alias("a").join(jump.alias("b"), same & (F.col("a._to") == F.col("b._id"))).select("a._k", "a._id", "b._to").checkpoint()
+    met = df.alias("d").join(chain.alias("c"), F.col(f"d.{key}").eqNullSafe(F.col("c._k")) & (F.col(f"d.{id_}") == F.col("c._id")), "left_semi")
+    return met.select(*[F.col(f"d.`{c}`") for c in df.columns])
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
     """Great-circle distance in km."""
     a, b = F.radians(lat1), F.radians(lat2)

@@ -171,3 +171,22 @@ def macro_metrics(df: DataFrame, actual: str, predicted: str, classes: list[str]
     mean = lambda f: sum((f(i) for i in range(len(classes))), F.lit(0.0)) / len(classes)
     recall = mean(lambda i: zero(col("tp", i), col("tp", i) + col("fn", i)))
     return one.select(mean(lambda i: zero(col("tp", i), col("tp", i) + col("fp", i))).alias("precision"), recall.alias("recall"), mean(lambda i: zero(2 * col("tp", i), 2 * col("tp", i) + col("fp", i) + col("fn", i))).alias("f1"), recall.alias("balanced_accuracy"))
+
+
+def mutual_information(df: DataFrame, features: dict[str, Column], label: Column) -> DataFrame:
+    """(feature, n, mi): what each binned feature tells about the label, in nats, from the joint counts of one pass.
+
+    A null bin or label is a value of its own. Counts are combined before they are shuffled; bins should be few.
+    """
+    kinds = F.array(*[F.struct(F.lit(name).alias("feature"), c.cast("string").alias("bin")) for name, c in features.items()])
+    joint = df.select(label.cast("string").alias("label"), F.explode(kinds).alias("f")).groupBy("f.feature", "f.bin", "label").agg(F.count(F.lit(1)).alias("n_xy"))
+    by = lambda *keys: F.sum("n_xy").over(Window.partitionBy(*keys))  # noqa: E731  over bins and labels, not rows
+    d = joint.withColumns({"n_x": by("feature", "bin"), "n_y": by("feature", "label"), "n": by("feature")})
+    part = F.col("n_xy") / F.col("n") * F.log(F.col("n_xy") * F.col("n") / (F.col("n_x") * F.col("n_y")))
+    return d.groupBy("feature").agg(F.max("n").alias("n"), F.sum(part).alias("mi"))
+
+
+def best_features(scores: DataFrame, score: str, k: int) -> DataFrame:
+    """Adds nth and kept: the k features of highest score, equal ones by name. A score a feature is little enough for one window."""
+    nth = F.row_number().over(Window.orderBy(F.desc_nulls_last(score), "feature"))
+    return scores.withColumn("nth", nth).withColumn("kept", F.col("nth") <= k)

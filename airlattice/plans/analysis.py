@@ -7,7 +7,7 @@ from math import log
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from airlattice.operators import joins, series, statistics
+from airlattice.operators import joins, segments, series, statistics
 from airlattice.session import table
 
 from .catalog import query
@@ -104,7 +104,7 @@ def population_moments(spark, sf_dir):
 @query(
     "file_summary",
     """WITH d AS (SELECT *, CAST(ts AS DATE) AS day, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS dt, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dv FROM events)
-    SELECT user_id, day, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS duration, round(avg(dt), 4) AS dt_mean, round(max(dt), 6) AS dt_max, CAST(sum(CASE WHEN dt > 7200 THEN 1 ELSE 0 END) AS BIGINT) AS gaps,
+    SELECT user_id, day, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS duration, avg(dt) AS dt_mean, round(max(dt), 6) AS dt_max, CAST(sum(CASE WHEN dt > 7200 THEN 1 ELSE 0 END) AS BIGINT) AS gaps,
     round(100.0 * avg(CASE WHEN dt > 7200 THEN 1 ELSE 0 END), 4) AS gap_pct, round(sum(CASE WHEN dt > 7200 THEN dt ELSE 0 END), 3) AS gap_total, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std, min(value) AS value_min, max(value) AS value_max, round(sum(value), 4) AS value_sum,
     round(max(abs(dv)), 6) AS step_max, round(avg(abs(dv)), 6) AS step_mean, CAST(sum(CASE WHEN dv > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rises, CAST(sum(CASE WHEN value < 5 THEN 1 ELSE 0 END) AS BIGINT) AS low, round(100.0 * avg(CASE WHEN value < 5 THEN 1 ELSE 0 END), 4) AS low_pct,
     CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, round(100.0 * avg(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END), 4) AS error_pct, count(DISTINCT event_type) AS kinds, arg_min(value, (ts, event_id)) AS value_first, arg_max(value, (ts, event_id)) AS value_last,
@@ -119,7 +119,7 @@ def file_summary(spark, sf_dir):
     pct = lambda c: F.round(100.0 * F.avg(F.coalesce(c, F.lit(False)).cast("int")), 4)
     gap, low, error, key = F.col("dt") > 7200, F.col("value") < 5, F.col("event_type") == "error", F.struct("ts", "event_id")
     return d.groupBy("user_id", "day").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round((F.max(at) - F.min(at)) / 1e6, 3).alias("duration"), F.round(F.avg("dt"), 4).alias("dt_mean"), r6(F.max("dt")).alias("dt_max"), n(gap).alias("gaps"),
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round((F.max(at) - F.min(at)) / 1e6, 3).alias("duration"), F.avg("dt").alias("dt_mean"), r6(F.max("dt")).alias("dt_max"), n(gap).alias("gaps"),
         pct(gap).alias("gap_pct"), F.round(F.sum(F.when(gap, F.col("dt")).otherwise(0.0)), 3).alias("gap_total"), r6(F.avg("value")).alias("value_mean"), r6(F.stddev_samp("value")).alias("value_std"), F.min("value").alias("value_min"), F.max("value").alias("value_max"), F.round(F.sum("value"), 4).alias("value_sum"),
         r6(F.max(F.abs("dv"))).alias("step_max"), r6(F.avg(F.abs("dv"))).alias("step_mean"), n(F.col("dv") > 0).alias("rises"), n(low).alias("low"), pct(low).alias("low_pct"),
         n(error).alias("errors"), pct(error).alias("error_pct"), F.count_distinct("event_type").alias("kinds"), F.min_by("value", key).alias("value_first"), F.max_by("value", key).alias("value_last"),
@@ -134,15 +134,23 @@ def file_summary(spark, sf_dir):
     SELECT day, event_id, n_view, n_click FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY CASE WHEN n_view + n_click = 6 THEN 6 ELSE n_view + n_click END DESC, s, event_id) AS r FROM w) WHERE r = 1""",
 )
 def quota_window(spark, sf_dir):
-    """By day the first window of two hours that holds three sensors of each kind, else the one that holds most of them."""
+    """For each day the two hours from an event on in which most sensors of both kinds report, three a kind at most.
+
+    A sensor counts for the starts from its event before, exclusive, and from two hours back, to its event, so it is a step up and a step
+    down in time, and a start's count is the sum of the steps before it: a few rows an event, whatever the rate.
+    """
     e = events(spark, sf_dir).where("event_type IN ('view', 'click')").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"), F.floor(series.seconds("ts")).alias("s"))
-    starts = e.select(F.col("event_id").alias("start_id"), "day", F.col("s").alias("a"), (F.col("s") + 7200).alias("b"))
-    # Sensors of a window once each: pairs are counted by sensor before they are counted by window.
-    met = joins.range_join(e.select("day", "s", "user_id", "event_type"), starts, "s", "a", "b", 7200, "day").select("day", "start_id", "a", "user_id", "event_type").distinct()
-    kind = lambda k: F.least(F.lit(3), F.sum((F.col("event_type") == k).cast("int")))
-    w = met.groupBy("day", "start_id", "a").agg(kind("view").alias("n_view"), kind("click").alias("n_click"))
-    best = F.min_by(F.struct("start_id", "n_view", "n_click"), F.struct(-(F.col("n_view") + F.col("n_click")), "a", "start_id"))
-    return w.groupBy("day").agg(best.alias("x")).select("day", F.col("x.start_id").alias("event_id"), "x.n_view", "x.n_click")
+    own = ["day", "user_id", "event_type"]
+    d = segments.fold(segments.segmented(e, own, ["s", "event_id"]), own, last=segments.lag(F.col("s")))
+    up = F.greatest(F.coalesce(F.col("last") + 1, F.col("s") - 7200), F.col("s") - 7200)
+    steps = F.array(F.struct(up.alias("at"), F.lit(1).alias("step")), F.struct((F.col("s") + 1).alias("at"), F.lit(-1).alias("step")))
+    step = d.where(up <= F.col("s")).select("day", "event_type", F.explode(steps).alias("x")).select("day", "x.at", "event_type", "x.step", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("event_id"))
+    start = e.select("day", F.col("s").alias("at"), "event_type", F.lit(0).alias("step"), F.lit(1).alias("asks"), "event_id")
+    kind = lambda k: segments.running_sum(F.when(F.col("event_type") == k, F.col("step")).otherwise(0))
+    n = segments.fold(segments.segmented(step.unionByName(start), ["day"], ["at", "asks"]), ["day"], view=kind("view"), click=kind("click")).where("asks = 1")
+    n = n.select("day", "at", "event_id", F.least("view", F.lit(3)).alias("n_view"), F.least("click", F.lit(3)).alias("n_click"))
+    best = F.max_by(F.struct("event_id", "n_view", "n_click"), F.struct(F.col("n_view") + F.col("n_click"), -F.col("at"), -F.col("event_id")))
+    return n.groupBy("day").agg(best.alias("b")).select("day", "b.*")
 
 
 @query(
@@ -179,10 +187,10 @@ def agreement(spark, sf_dir):
     return d.withColumn("all", d.agg(F.sum("n")).scalar()).select("votes", "n", F.col("votes").isin(0, 3).alias("unanimous"), F.round(100.0 * F.col("n") / F.col("all"), 4).alias("pct"))
 
 
-@query("mean_probability", "SELECT l_orderkey, l_linenumber, round((l_discount * 10 + l_tax * 12 + l_quantity / 50) / 3, 6) AS score, (l_discount * 10 + l_tax * 12 + l_quantity / 50) / 3 >= 0.55 AS alarm, CASE WHEN abs((l_discount * 10 + l_tax * 12 + l_quantity / 50) / 3 - 0.55) <= 0.1 THEN 'low' ELSE 'high' END AS confidence FROM lineitem")
+@query("mean_probability", "SELECT l_orderkey, l_linenumber, (l_discount * 10 + l_tax * 12 + l_quantity / 50) / 3 AS score, (l_discount * 10 + l_tax * 12 + l_quantity / 50) / 3 >= 0.55 AS alarm, CASE WHEN abs((l_discount * 10 + l_tax * 12 + l_quantity / 50) / 3 - 0.55) <= 0.1 THEN 'low' ELSE 'high' END AS confidence FROM lineitem")
 def mean_probability(spark, sf_dir):
     m = (F.col("l_discount") * 10 + F.col("l_tax") * 12 + F.col("l_quantity") / 50) / 3
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(m).alias("score"), (m >= 0.55).alias("alarm"), F.when(F.abs(m - 0.55) <= 0.1, "low").otherwise("high").alias("confidence"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", m.alias("score"), (m >= 0.55).alias("alarm"), F.when(F.abs(m - 0.55) <= 0.1, "low").otherwise("high").alias("confidence"))
 
 
 @query("fold_table", "WITH f AS (SELECT l_orderkey % 5 AS fold, avg(CASE WHEN (l_discount > 0.05) = (l_returnflag = 'R') THEN 1.0 ELSE 0 END) AS accuracy, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0 END) AS alarms FROM lineitem GROUP BY 1) SELECT count(*) AS folds, round(avg(accuracy), 6) AS accuracy_mean, round(stddev_samp(accuracy), 6) AS accuracy_std, round(avg(alarms), 6) AS alarms_mean, round(stddev_samp(alarms), 6) AS alarms_std FROM f")

@@ -135,15 +135,14 @@ STAND_INS = {"pipe_brake_timing": "l_quantity * 5", "pipe_release_timing": "l_di
     e AS (SELECT *, CASE WHEN bp IS NULL AND rp IS NULL THEN NULL ELSE coalesce(bp, 0) + coalesce(rp, 0) END AS tp, CASE WHEN be IS NULL AND re IS NULL THEN NULL ELSE coalesce(be, 0) + coalesce(re, 0) END AS te FROM r)
     SELECT l_orderkey, l_linenumber, l_partkey, CAST(pipe_brake_timing < 0.001 OR pipe_release_timing < 0.001 AS INTEGER) AS pipe_classification_error, CAST(pipe_brake_timing > 200 OR pipe_release_timing > 200 AS INTEGER) AS pipe_timing_error,
     CAST(cyl_brake_timing < 0.001 OR cyl_release_timing < 0.001 AS INTEGER) AS cylinder_classification_error, CAST(cyl_brake_timing > 200 OR cyl_release_timing > 200 AS INTEGER) AS cylinder_timing_error,
-    round(bp, 6) AS brake_power_efficiency, round(rp, 6) AS release_power_efficiency, round(tp, 6) AS total_power_efficiency, round(cyl_total_power / nullif(pipe_total_power, 0), 6) AS power_ratio,
-    round(cyl_brake_power - pipe_brake_power, 6) AS brake_power_delay, round(cyl_release_power - pipe_release_power, 6) AS release_power_delay, round(cyl_brake_power - pipe_brake_power + (cyl_release_power - pipe_release_power), 6) AS total_power_delay,
-    round(be, 6) AS brake_energy_efficiency, round(re, 6) AS release_energy_efficiency, round(te, 6) AS total_energy_efficiency, round(cyl_total_energy / nullif(pipe_total_energy, 0), 6) AS energy_ratio,
-    round(cyl_brake_energy - pipe_brake_energy, 6) AS brake_energy_delay, round(cyl_release_energy - pipe_release_energy, 6) AS release_energy_delay, round(cyl_brake_energy - pipe_brake_energy + (cyl_release_energy - pipe_release_energy), 6) AS total_energy_delay,
-    round(tp * (cyl_max_pressure / nullif(pipe_max_pressure, 0)), 6) AS normalized_power, round(tp * (cyl_max_pressure / nullif(pipe_max_pressure, 0)) / nullif(load, 0), 6) AS weighted_power,
-    round(cyl_mean - pipe_mean, 6) AS mean_delay, round(cyl_std - pipe_std, 6) AS std_delay, round(cyl_buildup_last - pipe_buildup_last, 6) AS buildup_end_delay, round(cyl_release_first - pipe_release_first, 6) AS release_start_delay FROM e""",
+    bp AS brake_power_efficiency, rp AS release_power_efficiency, tp AS total_power_efficiency, cyl_total_power / nullif(pipe_total_power, 0) AS power_ratio,
+    cyl_brake_power - pipe_brake_power AS brake_power_delay, cyl_release_power - pipe_release_power AS release_power_delay, cyl_brake_power - pipe_brake_power + (cyl_release_power - pipe_release_power) AS total_power_delay,
+    be AS brake_energy_efficiency, re AS release_energy_efficiency, te AS total_energy_efficiency, cyl_total_energy / nullif(pipe_total_energy, 0) AS energy_ratio,
+    cyl_brake_energy - pipe_brake_energy AS brake_energy_delay, cyl_release_energy - pipe_release_energy AS release_energy_delay, cyl_brake_energy - pipe_brake_energy + (cyl_release_energy - pipe_release_energy) AS total_energy_delay,
+    tp * (cyl_max_pressure / nullif(pipe_max_pressure, 0)) AS normalized_power, tp * (cyl_max_pressure / nullif(pipe_max_pressure, 0)) / nullif(load, 0) AS weighted_power,
+    cyl_mean - pipe_mean AS mean_delay, cyl_std - pipe_std AS std_delay, cyl_buildup_last - pipe_buildup_last AS buildup_end_delay, cyl_release_first - pipe_release_first AS release_start_delay FROM e""",
 )
 def derived_columns(spark, sf_dir):
     """The derived columns over lines that stand in for phases."""
     d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[F.expr(e).cast("double").alias(c) for c, e in STAND_INS.items()])
-    columns = {n: c if n.endswith("error") else r6(c) for n, c in phases.derived().items()}
-    return d.select("l_orderkey", "l_linenumber", "l_partkey", *[c.alias(n) for n, c in columns.items()])
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", *[c.alias(n) for n, c in phases.derived().items()])

@@ -137,12 +137,12 @@ def gap_segments(spark, sf_dir):
     return segments.fold(d, ["user_id"], segment=segments.running_sum(gap)).select("event_id", "segment")
 
 
-@query("group_share", "SELECT event_id, round(value / avg(value) OVER (PARTITION BY user_id), 6) AS share FROM events")
+@query("group_share", "SELECT event_id, value / avg(value) OVER (PARTITION BY user_id) AS share FROM events")
 def group_share(spark, sf_dir):
     """Each value against its group's mean; the means are aggregated first and joined, so no group is one task's."""
     e = events(spark, sf_dir).select("event_id", "user_id", "value")
     m = e.groupBy("user_id").agg(F.avg("value").alias("m"))
-    return e.join(m, "user_id").select("event_id", r6(F.try_divide("value", "m")).alias("share"))
+    return e.join(m, "user_id").select("event_id", F.try_divide("value", "m").alias("share"))
 
 
 @query(

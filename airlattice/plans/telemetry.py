@@ -330,10 +330,10 @@ def paging(spark, sf_dir):
     return events(spark, sf_dir).orderBy(F.desc("value"), "event_id").offset(200).limit(50).select("event_id", "value")
 
 
-@query("last_known", "SELECT user_id, arg_max(value, ts) FILTER (WHERE event_type = 'view') AS last_view, round(avg(CASE WHEN value > 300 THEN NULL ELSE value END), 6) AS mean, greatest(1, count(DISTINCT event_type)) AS kinds FROM events GROUP BY user_id")
+@query("last_known", "SELECT user_id, arg_max(value, ts) FILTER (WHERE event_type = 'view') AS last_view, avg(CASE WHEN value > 300 THEN NULL ELSE value END) AS mean, greatest(1, count(DISTINCT event_type)) AS kinds FROM events GROUP BY user_id")
 def last_known(spark, sf_dir):
     view = F.max_by(F.when(F.col("event_type") == "view", F.col("value")), F.when(F.col("event_type") == "view", F.struct("ts", "event_id")))
-    return events(spark, sf_dir).groupBy("user_id").agg(view.alias("last_view"), r6(F.avg(F.when(F.col("value") <= 300, F.col("value")))).alias("mean"), F.greatest(F.lit(1), F.count_distinct("event_type")).alias("kinds"))
+    return events(spark, sf_dir).groupBy("user_id").agg(view.alias("last_view"), F.avg(F.when(F.col("value") <= 300, F.col("value"))).alias("mean"), F.greatest(F.lit(1), F.count_distinct("event_type")).alias("kinds"))
 
 
 @query("cumulative", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total, round(avg(value) OVER (PARTITION BY user_id), 6) AS mean FROM events")
