@@ -11,12 +11,13 @@ row by row, and what a segment leaves goes to the one after it (``detect``).
 from __future__ import annotations
 
 import json
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,64 +75,99 @@ class State:
         return cls(**json.loads(text))
 
 
+def _mean(tail: list[float], x: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Means of the last ``width`` values up to each of ``x``, of fewer in a series' first rows; ``n`` rows came before. Sums are
+    made in the order of rows, so they don't depend on where a series is cut."""
+    tail = tail[-(width - 1) :] if width > 1 else []
+    wide = np.concatenate([np.zeros(width - 1 - len(tail)), tail, x])
+    total = np.zeros(len(x))
+    for j in range(width):
+        total += wide[j : j + len(x)]
+    return total / np.minimum(np.arange(n + 1, n + 1 + len(x)), width)
+
+
+def _filtered(state: State, p: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smooth pressure, its gradient and whether enough of the last rows were calm; ``state`` takes the new tails."""
+    (b0, b1), (_, a1) = (c.tolist() for c in butterworth(1, rules.cutoff, rules.rate))
+    mean = _mean(state.raw, p, rules.smooth, state.n)
+    y, smooth = state.smooth or 0.0, []
+    for u in (b0 * mean + b1 * np.concatenate([[state.mean], mean[:-1]])).tolist():
+        y = u - a1 * y
+        smooth.append(y)
+    smooth = np.array(smooth)
+    slopes = np.diff(np.concatenate([[smooth[0] if state.smooth is None else state.smooth], smooth])) * rules.rate
+    g = _mean(state.slopes, slopes, rules.smooth, state.n)
+    calm = (np.abs(g) <= rules.calm).astype(int)
+    total = np.concatenate([[0], np.cumsum([*state.calm, *calm])])
+    upto = np.arange(len(state.calm) + 1, len(total))
+    enough = total[upto] - total[np.maximum(upto - rules.window, 0)] >= -(-rules.calm_share * rules.window // 1)
+    keep = lambda old, new, k: [*old[-k:], *new[-k:].tolist()][-k:]
+    state.raw, state.slopes, state.calm = keep(state.raw, p, rules.smooth), keep(state.slopes, slopes, rules.smooth), keep(state.calm, calm, rules.window)
+    state.mean, state.smooth, state.n = float(mean[-1]), float(smooth[-1]), state.n + len(p)
+    return smooth, g, enough
+
+
 def feed(state: State, times: list[float], pressures: list[float], rules: Rules = Rules()) -> list[dict]:
-    """Takes the next rows of a series in order; gives the cycles that are complete. ``state`` is advanced in place."""
+    """Takes the next rows of a series in order; gives the cycles that are complete. ``state`` is advanced in place.
+
+    Between cycles only rows that may begin one are looked at, and those that settle a later pressure.
+    """
     out: list[dict] = []
-    raw, slopes, calm = (deque(x, m) for x, m in ((state.raw, rules.smooth), (state.slopes, rules.smooth), (state.calm, rules.window)))
-    cycle, done = state.cycle, state.done
-    enough = -(-rules.calm_share * rules.window // 1)
-    (b0, b1), (_, a1) = (c.tolist() for c in butterworth(1, rules.cutoff, rules.rate))
-    for t, p in zip(times, pressures, strict=True):
-        raw.append(p)
-        mean, before = sum(raw) / len(raw), (state.time, state.smooth)
-        smooth = b0 * mean + b1 * state.mean - a1 * (state.smooth or 0.0)
-        slopes.append(0.0 if state.smooth is None else (smooth - state.smooth) * rules.rate)
-        state.mean, state.smooth, state.time, g = mean, smooth, t, sum(slopes) / len(slopes)
-        state.n += 1
-        calm.append(int(abs(g) <= rules.calm))
+    if not len(times):
+        return out
+    last, before = state.time, state.smooth
+    y, slope, enough = _filtered(state, np.asarray(pressures, float), rules)
+    onsets = np.flatnonzero(enough & (slope <= rules.onset) & (y > rules.lower))
+    y, slope, at, n, cycle, done = y.tolist(), slope.tolist(), 0, len(times), state.cycle, state.done
+    earlier = lambda k: (times[k - 1], y[k - 1]) if k else (last, before)
+    while at < n:
         if cycle is None:
-            if sum(calm) >= enough and g <= rules.onset and smooth > rules.lower:
+            place = np.searchsorted(onsets, at)
+            onset = int(onsets[place]) if place < len(onsets) else n
+            if done is not None:
+                asked = [bisect_left(times, done["end"] + wait, at) for wait, open_ in zip(rules.later, done["open"], strict=True) if open_]
+                for k in sorted(k for k in asked if k < onset):
+                    _look(done, times[k], y[k], earlier(k), rules)
+                if not done["open"][-1]:
+                    out.append(done)
+                    done = None
+            if onset < n:
                 if done is not None:  # a new onset cancels what hasn't been seen
-                    _look(done, t, smooth, before, rules)
+                    _look(done, times[onset], y[onset], earlier(onset), rules)
                     out.append(done)
                     done = None
-                cycle = {"start": t, "first": smooth, "low": smooth, "control": None, "checked": False, "held": None}
-        else:
-            cycle["low"] = min(cycle["low"], smooth)
-            age = t - cycle["start"]
-            drop_it = age >= rules.longest
-            if not cycle["checked"] and age >= rules.control_delay:
-                cycle["checked"], cycle["control"] = True, t
-            if not drop_it and cycle["control"] is not None:
-                if g < 0:
-                    cycle["control"] = None
-                else:
-                    drop_it = t - cycle["control"] >= rules.control_length
-            if drop_it:
-                cycle = None
+                cycle = {"start": times[onset], "first": y[onset], "low": y[onset], "control": None, "checked": False, "held": None}
+            at = onset + 1
+            continue
+        t, smooth, g = times[at], y[at], slope[at]
+        at += 1
+        cycle["low"] = min(cycle["low"], smooth)
+        age = t - cycle["start"]
+        drop_it = age >= rules.longest
+        if not cycle["checked"] and age >= rules.control_delay:
+            cycle["checked"], cycle["control"] = True, t
+        if not drop_it and cycle["control"] is not None:
+            if g < 0:
+                cycle["control"] = None
+            else:
+                drop_it = t - cycle["control"] >= rules.control_length
+        if drop_it:
+            cycle = None
+            continue
+        over, held = cycle["first"] > rules.upper, False
+        if over:
+            if abs(g) >= rules.hold_gradient:
+                cycle["held"] = None
+            elif cycle["held"] is None:
+                cycle["held"] = t
             else:
-                over = cycle["first"] > rules.upper
-                held = False
-                if over:
-                    if abs(g) >= rules.hold_gradient:
-                        cycle["held"] = None
-                    elif cycle["held"] is None:
-                        cycle["held"] = t
-                    else:
-                        held = t - cycle["held"] >= rules.hold
-                if held or (smooth > cycle["first"] - rules.release and g > 0):
-                    drop = cycle["first"] - cycle["low"]
-                    if drop >= rules.least_drop:
-                        if done is not None:
-                            out.append(done)
-                        done = {"start": cycle["start"], "end": t, "first": cycle["first"], "drop": drop, "over": over, "under": cycle["first"] < rules.lower, "emergency": drop >= rules.emergency, "later": [None, None], "open": [True, True]}
-                    cycle = None
-        if done is not None and cycle is None and t > done["end"]:
-            _look(done, t, smooth, before, rules)
-            if not done["open"][-1]:
-                out.append(done)
-                done = None
-    state.raw, state.slopes, state.calm, state.cycle, state.done = list(raw), list(slopes), list(calm), cycle, done
+                held = t - cycle["held"] >= rules.hold
+        if held or (smooth > cycle["first"] - rules.release and g > 0):
+            drop = cycle["first"] - cycle["low"]
+            if drop >= rules.least_drop:
+                done = {"start": cycle["start"], "end": t, "first": cycle["first"], "drop": drop, "over": over, "under": cycle["first"] < rules.lower, "emergency": drop >= rules.emergency, "later": [None, None], "open": [True, True]}
+            cycle = None
+    state.time, state.cycle, state.done = times[-1], cycle, done
     return out
 
 
@@ -178,7 +214,8 @@ def _advance(keys: list[str], rules: Rules, taken: set[int], goes_on: set[int],
         first = key = segment = None
         state = State()
         for pdf in frames:
-            rows, parts, at = list(zip(*[[None if pd.isna(v) else v for v in pdf[k]] for k in keys], strict=True)), [], 0
+            rows, at = list(zip(*[[None if pd.isna(v) else v for v in pdf[k]] for k in keys], strict=True)), 0
+            times, pressures, found = pdf["_t"].tolist(), pdf["_p"].tolist(), []
             for k, group in groupby(rows):
                 span = slice(at, at := at + sum(1 for _ in group))
                 if segment is None:
@@ -187,21 +224,21 @@ def _advance(keys: list[str], rules: Rules, taken: set[int], goes_on: set[int],
                         state = State.load(starts[segment])
                 if k != key:
                     if mine(segment, key == first):
-                        parts.append(_rows(key, flush(state)))
+                        found += [(key, c) for c in flush(state)]
                     key, state = k, State()
                 if mine(segment, key == first):
-                    parts.append(_rows(key, feed(state, pdf["_t"].iloc[span].tolist(), pdf["_p"].iloc[span].tolist(), rules)))
-            yield pd.concat(parts) if parts else _rows((None,) * len(keys), [])
+                    found += [(key, c) for c in feed(state, times[span], pressures[span], rules)]
+            yield _rows(found)
         if segment is not None and mine(segment, key == first):
-            yield _rows(key, [{}]).assign(_state=state.dump(), _segment=segment) if segment in goes_on else _rows(key, flush(state))
+            yield _rows([(key, {})]).assign(_state=state.dump(), _segment=segment) if segment in goes_on else _rows([(key, c) for c in flush(state)])
 
     def mine(segment: int, is_first: bool) -> bool:
         return is_first if starts is not None else not (is_first and segment in taken)
 
-    def _rows(key: tuple, found: list[dict]) -> pd.DataFrame:
-        out = frame(found)
-        for name, value in zip(reversed(keys), reversed(key), strict=True):
-            out.insert(0, name, pd.Series([value] * len(out), dtype=object))
+    def _rows(found: list[tuple[tuple, dict]]) -> pd.DataFrame:
+        out = frame([c for _, c in found])
+        for i, name in enumerate(keys):
+            out.insert(i, name, pd.Series([k[i] for k, _ in found], dtype=object))
         return out.assign(_state=None, _segment=0)
 
     return run

@@ -1,7 +1,8 @@
-"""Cycle queries: a synthetic brake line per nation, its cycles, pairs with cylinders and derived columns.
+"""Cycle queries: the brake line of every sensor, its cycles, pairs with cylinders and derived columns.
 
-The driver's tables hold no 40 Hz signal, so one is made from the nations: each is a kit whose pipe falls by a depth of
-its own, holds and comes back, three times, with a calm stretch between.
+The driver's tables hold no 40 Hz signal, so it is derived from ``events``: each error reading above ``BRAKES`` is a braking of
+its sensor's line, and the deeper the higher the reading. A braking takes ``PERIOD`` seconds: calm, fall, hold and return, and calm
+again; a line is its sensor's brakings in the order of time. The work grows with the events.
 """
 
 from __future__ import annotations
@@ -9,60 +10,97 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlattice.operators import cleaning, cycles, joins, phases, series
-from airlattice.session import table
+from airlattice.operators import cleaning, cycles, joins, phases, segments, series
+from airlattice.session import shared_dir, table
 
 from .catalog import query
-from .telemetry import r6
+from .telemetry import ORDER, events, r6
 
-#: Seconds of calm, fall, hold and return, and of the whole period.
-CALM, FALL, HOLD, BACK, PERIOD = 5.0, 3.0, 2.0, 2.0, 40.0
+#: Seconds of calm, fall, hold and return, and of the whole period; samples a second.
+CALM, FALL, HOLD, BACK, PERIOD, RATE = 5.0, 3.0, 2.0, 2.0, 40.0, 40
+#: The reading above which an error is a braking, how much more makes it a level deeper, and the depths in bar.
+BRAKES, LEVEL, LEAST_DEPTH, DEEPER = 100.0, 25.0, 0.1, 0.2
+
+
+def brakes(spark, sf_dir) -> DataFrame:
+    """(kit, i, level): the brakings of each line, numbered from 0."""
+    d = events(spark, sf_dir).where((F.col("event_type") == "error") & (F.col("value") > BRAKES))
+    d = d.select(F.col("user_id").alias("kit"), "ts", "event_id", F.floor((F.col("value") - BRAKES) / LEVEL).alias("level"))
+    return segments.numbered(d, ["kit"], ORDER).select("kit", "i", "level")
 
 
 def pipe(spark, sf_dir) -> DataFrame:
-    """(kit, seq, t, pressure): three periods at 40 Hz, from native expressions."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("kit"))
-    d = n.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(int(3 * PERIOD * 40) - 1)))).withColumn("t", F.col("seq") / 40)
-    at, depth = F.col("t") % PERIOD, 0.1 + 0.1 * F.col("kit")
+    """(kit, seq, t, pressure): the lines at 40 Hz, from native expressions."""
+    span = int(PERIOD * RATE)
+    d = brakes(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(span - 1))))
+    at, depth = F.col("k") / RATE, LEAST_DEPTH + DEEPER * F.col("level")
     fall = F.least(F.greatest(at - CALM, F.lit(0.0)) / FALL, F.lit(1.0))
     back = F.least(F.greatest(at - CALM - FALL - HOLD, F.lit(0.0)) / BACK, F.lit(1.0))
-    return d.select("kit", "seq", "t", (5.0 - depth * (fall - back)).alias("pressure"))
+    seq = F.col("i") * span + F.col("k")
+    return d.select("kit", seq.alias("seq"), (seq / RATE).alias("t"), (5.0 - depth * (fall - back)).alias("pressure"))
+
+
+#: The cycles in SQL: brakings of a level have one waveform, which is filtered by recursion; onset, end and drop follow from it.
+CYCLES = """WITH RECURSIVE br AS (SELECT user_id AS kit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(floor((value - 100) / 25) AS BIGINT) AS level FROM events WHERE event_type = 'error' AND value > 100),
+    nb AS (SELECT *, lead(level) OVER (PARTITION BY kit ORDER BY i) AS following FROM br), lv AS (SELECT DISTINCT level FROM br),
+    w AS MATERIALIZED (SELECT level, k, CAST(5.0 - (0.1 + 0.2 * level) * (least(greatest(k / 40 - 5, 0) / 3, 1) - least(greatest(k / 40 - 10, 0) / 2, 1)) AS DOUBLE) AS p FROM lv, (SELECT unnest(generate_series(-400, 1599)) AS k)),
+    m AS MATERIALIZED (SELECT *, avg(p) OVER (PARTITION BY level ORDER BY k ROWS 19 PRECEDING) AS a FROM w),
+    y AS (SELECT level, k, a, CAST(5.0 AS DOUBLE) AS y FROM m WHERE k = -400 UNION ALL SELECT m.level, m.k, m.a, 0.0729596572682667 * (m.a + y.a) + 0.8540806854634666 * y.y FROM y JOIN m ON m.level = y.level AND m.k = y.k + 1),
+    g AS (SELECT level, k, y, avg(d) OVER (PARTITION BY level ORDER BY k ROWS 19 PRECEDING) AS g FROM (SELECT *, (y - lag(y) OVER (PARTITION BY level ORDER BY k)) * 40 AS d FROM y)),
+    c AS MATERIALIZED (SELECT *, sum(CASE WHEN abs(g) <= 0.02 THEN 1 ELSE 0 END) OVER (PARTITION BY level ORDER BY k ROWS 79 PRECEDING) AS calm FROM g),
+    o AS (SELECT level, min(k) AS k0 FROM c WHERE k >= 0 AND calm >= 48 AND g <= -0.05 AND y > 4.7 GROUP BY level),
+    s AS (SELECT o.level, k0, y AS first_ FROM o JOIN c ON c.level = o.level AND c.k = k0),
+    e AS (SELECT s.level, min(k) AS k1 FROM s JOIN c ON c.level = s.level AND k > k0 AND y > first_ - 0.05 AND g > 0 GROUP BY s.level),
+    v AS MATERIALIZED (SELECT s.level, k0, k1, first_, first_ - min(y) AS drop_ FROM s JOIN e USING (level) JOIN c ON c.level = s.level AND k BETWEEN k0 AND k1 GROUP BY s.level, k0, k1, first_ HAVING first_ - min(y) >= 0.2),
+    cyc AS (SELECT kit, level, row_number() OVER (PARTITION BY kit ORDER BY i) AS cycle, i * 1600 + k0 AS a, i * 1600 + k1 AS b, first_, drop_, drop_ >= 1.5 AS emergency, CASE WHEN following = 0 THEN 5.0 END AS after60 FROM nb JOIN v USING (level))"""
+
+
+def found_in(line: DataFrame) -> DataFrame:
+    return cycles.detect(line, ["kit"], "t", "pressure", "seq")
 
 
-@query("cycle_detection")
+@query(
+    "cycle_detection",
+    f"""{CYCLES} SELECT kit, cycle, a / 40 AS start, b / 40 AS "end", round(first_, 5) AS init_pressure, round(drop_, 5) AS "drop", false AS over, false AS under, emergency, CAST(5.0 AS DOUBLE) AS after20, CAST(after60 AS DOUBLE) AS after60 FROM cyc""",
+)
 def cycle_detection(spark, sf_dir):
-    return cycles.detect(pipe(spark, sf_dir), ["kit"], "t", "pressure", "seq")
+    d = found_in(pipe(spark, sf_dir))
+    return d.select("kit", "cycle", "start", "end", F.round("init_pressure", 5).alias("init_pressure"), F.round("drop", 5).alias("drop"), "over", "under", "emergency", F.round("after20", 5).alias("after20"), F.round("after60", 5).alias("after60"))
 
 
-@query("cycle_features")
+@query(
+    "cycle_features",
+    f"""{CYCLES}, t AS (SELECT v.level, k, p, lag(p) OVER (PARTITION BY v.level ORDER BY k) AS q FROM v JOIN w ON w.level = v.level AND k BETWEEN k0 AND k1),
+    f AS (SELECT level, count(*) AS n, coalesce(sum((p + q) / 2), 0) / 40 AS energy, min(p) AS low, (max(k) - min(k)) / 40 AS timing, (arg_min(k, (p, k)) - min(k)) / 40 AS to_low FROM t GROUP BY level)
+    SELECT kit, cycle, n, emergency, round(drop_, 5) AS "drop", round(energy, 4) AS energy, round(energy / timing, 4) AS power, round(low, 5) AS low, round(timing, 5) AS timing, round(to_low, 5) AS to_low FROM cyc JOIN f USING (level)""",
+)
 def cycle_features(spark, sf_dir):
     """Energy, power, extremes and timing of each cycle from its samples: a bucketed range join and one aggregate."""
-    p = pipe(spark, sf_dir).withColumn("ms", (F.col("t") * 1000).cast("long"))
-    c = cycles.detect(p, ["kit"], "t", "pressure", "seq").select("kit", "cycle", "drop", "emergency", (F.col("start") * 1000).cast("long").alias("a"), (F.col("end") * 1000).cast("long").alias("b"))
-    met = joins.range_join(p.select("kit", "ms", "t", "pressure"), c, "ms", "a", "b", 10_000, "kit")
-    over = Window.partitionBy("kit", "cycle").orderBy("ms")
-    dt = F.col("t") - F.lag("t").over(over)
-    mid = (F.col("pressure") + F.lag("pressure").over(over)) / 2
-    met = met.withColumn("part", mid * dt)
-    out = met.groupBy("kit", "cycle", "drop", "emergency").agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("energy"), F.min("pressure").alias("low"), F.min_by("t", "pressure").alias("t_low"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    timing = F.col("t1") - F.col("t0")
-    return out.select("kit", "cycle", "n", "emergency", r6("drop").alias("drop"), r6("energy").alias("energy"), r6(F.try_divide(F.col("energy"), timing)).alias("power"), r6("low").alias("low"), r6(timing).alias("timing"), r6(F.col("t_low") - F.col("t0")).alias("to_low"))
-
-
-@query("reference_cycle")
+    p = pipe(spark, sf_dir)
+    at = lambda c: F.round(F.col(c) * RATE).cast("long")
+    c = found_in(p).select("kit", "cycle", "drop", "emergency", at("start").alias("a"), at("end").alias("b"))
+    met = joins.range_join(p, c, "seq", "a", "b", 400, "kit")
+    over = Window.partitionBy("kit", "cycle").orderBy("seq")  # a cycle is at most half an hour
+    met = met.withColumn("part", (F.col("pressure") + F.lag("pressure").over(over)) / 2 * (F.col("t") - F.lag("t").over(over)))
+    out = met.groupBy("kit", "cycle", "drop", "emergency").agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("energy"), F.min("pressure").alias("low"), F.min_by("t", F.struct(F.round("pressure", 9), "t")).alias("t_low"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    timing, five = F.col("t1") - F.col("t0"), lambda c: F.round(c, 5)
+    return out.select("kit", "cycle", "n", "emergency", five("drop").alias("drop"), F.round("energy", 4).alias("energy"), F.round(F.try_divide(F.col("energy"), timing), 4).alias("power"), five("low").alias("low"), five(timing).alias("timing"), five(F.col("t_low") - F.col("t0")).alias("to_low"))
+
+
+@query("reference_cycle", f"{CYCLES}, r AS (SELECT kit, cycle, CASE WHEN emergency THEN 90 ELSE 100 END AS score FROM cyc) SELECT kit, arg_max(cycle, (score, -cycle)) AS cycle, max(score) AS score FROM r GROUP BY kit")
 def reference_cycle(spark, sf_dir):
     """The cycle that a kit's pairs are read from: 100 points, 10 less for an emergency, the first of equals; over-pressure is not eligible."""
-    c = cycles.detect(pipe(spark, sf_dir), ["kit"], "t", "pressure", "seq").where("not over")
-    c = c.withColumn("score", 100 - 10 * F.col("emergency").cast("int"))
+    c = found_in(pipe(spark, sf_dir)).where("not over").withColumn("score", 100 - 10 * F.col("emergency").cast("int"))
     return c.groupBy("kit").agg(F.max_by(F.struct("cycle", "score"), F.struct(F.col("score"), -F.col("cycle"))).alias("b")).select("kit", "b.cycle", "b.score")
 
 
-def brake_line(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Pipe, cylinder, load and GPS series of the synthetic line, and its phases.
+def brake_line(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pipe, cylinder, load and GPS series of the lines, and their phases, which are detected once and kept.
 
     A kit has two cylinders that follow the pipe's fall by half a second, the second at a third of the pressure, a load sensor
     at 40 Hz and a GPS fix a second.
     """
+    shared_dir(spark)
     p = pipe(spark, sf_dir)
     over = Window.partitionBy("kit").orderBy("seq")
     rows = p.withColumn("g", series.gradient("pressure", over, 40)).withColumn("g", F.avg("g").over(over.rowsBetween(-19, 0)))
@@ -70,12 +108,32 @@ def brake_line(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     cyl = p.withColumn("drop", drop).select("kit", "seq", "t", F.explode(F.array(F.struct(F.lit("a").alias("sensor"), (F.col("drop") * 1.6).alias("p")), F.struct(F.lit("b").alias("sensor"), (F.col("drop") * 0.5).alias("p")))).alias("x")).select("kit", "seq", "t", "x.*")
     each = Window.partitionBy("kit", "sensor").orderBy("seq")
     cyl = cyl.withColumn("p10", series.quarter_band("p", each)).withColumn("g", series.gradient("p", each, 40)).withColumn("g", F.avg("g").over(each.rowsBetween(-19, 0)))
-    load = p.select("kit", F.lit("w").alias("sensor"), "t", (2.0 + F.col("kit") / 20).alias("p"))
-    gps = p.where("seq % 40 = 0").select("kit", "t", (45 + F.col("kit") / 100).alias("lat"), (9 + F.col("t") / 1000).alias("lon"), (F.lit(80.0) - F.col("t") / 10).alias("speed"))
-    found = cycles.detect(p, ["kit"], "t", "pressure", "seq").withColumnRenamed("cycle", "phase").withColumnRenamed("init_pressure", "init")
+    place = F.col("kit") % 25
+    load = p.select("kit", F.lit("w").alias("sensor"), "t", (2.02 + place / 10).alias("p"))
+    gps = p.where("seq % 40 = 0").select("kit", "t", (45 + place / 100).alias("lat"), (9 + F.col("t") / 1000).alias("lon"), (F.lit(80.0) - F.col("t") / 10).alias("speed"))
+    found = found_in(p).withColumnRenamed("cycle", "phase").withColumnRenamed("init_pressure", "init").checkpoint()
     return rows.select("kit", "t", F.col("pressure").alias("p"), "g"), cyl, load, gps, found
 
 
+def _cylinders(line) -> DataFrame:
+    _, cyl, _, _, found = line
+    return phases.cylinder_rows(cyl, found, ["kit"])
+
+
+def _gps(line) -> DataFrame:
+    return phases.gps_slices(line[3], line[4], phases.cylinder_flags(_cylinders(line), line[4], ["kit"]), ["kit"])
+
+
+def _pipe_parts(line) -> DataFrame:
+    return phases.pipe_subphases(phases._within(line[0], line[4], ["kit"], 0).select("kit", "phase", "t", "p", "g"), ["kit"])
+
+
+def _cylinder_parts(line) -> DataFrame:
+    rows = _cylinders(line)
+    flags = phases.cylinder_flags(rows, line[4], ["kit"]).join(line[4].select("kit", "phase", "emergency"), ["kit", "phase"])
+    return phases.cylinder_subphases(rows, flags, ["kit"])
+
+
 @query("cylinder_phases")
 def cylinder_phases(spark, sf_dir):
     """How each cylinder starts and brakes, by phase."""
@@ -83,30 +141,25 @@ def cylinder_phases(spark, sf_dir):
     return phases.cylinder_flags(phases.cylinder_rows(cyl, found, ["kit"]), found, ["kit"])
 
 
-@query("load_phases")
+@query("load_phases", f"{CYCLES} SELECT kit, cycle AS phase, 'w' AS sensor, b - a + 1 AS n, round(2.02 + (kit % 25) / 10, 1) AS mean_pressure, false AS sensor_error FROM cyc")
 def load_phases(spark, sf_dir):
-    _, _, load, _, found = brake_line(spark, sf_dir)
-    return phases.load_slices(load, found, ["kit"])
+    line = brake_line(spark, sf_dir)
+    return phases.load_slices(line[2], line[4], ["kit"])
 
 
 @query("gps_phases")
 def gps_phases(spark, sf_dir):
-    _, cyl, _, gps, found = brake_line(spark, sf_dir)
-    return phases.gps_slices(gps, found, phases.cylinder_flags(phases.cylinder_rows(cyl, found, ["kit"]), found, ["kit"]), ["kit"])
+    return _gps(brake_line(spark, sf_dir))
 
 
 @query("pipe_subphases")
 def pipe_subphases(spark, sf_dir):
-    rows, _, _, _, found = brake_line(spark, sf_dir)
-    return phases.pipe_subphases(phases._within(rows, found, ["kit"], 0).select("kit", "phase", "t", "p", "g"), ["kit"])
+    return _pipe_parts(brake_line(spark, sf_dir))
 
 
 @query("cylinder_subphases")
 def cylinder_subphases(spark, sf_dir):
-    _, cyl, _, _, found = brake_line(spark, sf_dir)
-    rows = phases.cylinder_rows(cyl, found, ["kit"])
-    flags = phases.cylinder_flags(rows, found, ["kit"]).join(found.select("kit", "phase", "emergency"), ["kit", "phase"])
-    return phases.cylinder_subphases(rows, flags, ["kit"])
+    return _cylinder_parts(brake_line(spark, sf_dir))
 
 
 @query("feature_table")
@@ -114,10 +167,11 @@ def feature_table(spark, sf_dir):
     """One row a phase and cylinder: parts of pipe and cylinder, load, position and derived columns, whitelisted and ordered by time."""
     k = ["kit", "phase"]
     side = lambda d, prefix, keys: d.select(*keys, *[F.col(c).alias(prefix + c) for c in d.columns if c not in (*keys, "error")])
-    found = brake_line(spark, sf_dir)[4].select(*k, "start", "init", "over", "emergency")
-    load = load_phases(spark, sf_dir).select(*k, F.col("mean_pressure").alias("load"))
-    cyl = side(cylinder_subphases(spark, sf_dir), "cyl_", [*k, "sensor"])
-    d = found.join(cyl, k).join(side(pipe_subphases(spark, sf_dir), "pipe_", k), k).join(load, k, "left").join(gps_phases(spark, sf_dir).select(*k, "lat_last", "lon_last", "speed_mean"), k, "left")
+    line = brake_line(spark, sf_dir)
+    found = line[4].select(*k, "start", "init", "over", "emergency")
+    load = phases.load_slices(line[2], line[4], ["kit"]).select(*k, F.col("mean_pressure").alias("load"))
+    cyl = side(_cylinder_parts(line), "cyl_", [*k, "sensor"])
+    d = found.join(cyl, k).join(side(_pipe_parts(line), "pipe_", k), k).join(load, k, "left").join(_gps(line).select(*k, "lat_last", "lon_last", "speed_mean"), k, "left")
     d = d.withColumns(phases.derived())
     keep = {"kit": "int", "phase": "long", "sensor": "string", "start": "double", "init": "double", "emergency": "boolean", "load": "double", "lat_last": "double", "lon_last": "double", "speed_mean": "double", "cyl_mode": "string", "cyl_non_standard": "boolean"}
     keep |= dict.fromkeys([c for c in d.columns if c not in keep and c not in ("over",)], "double")

@@ -21,17 +21,24 @@ def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_cycles_of_the_synthetic_line(spark, sf):
+def test_cycles_of_the_lines(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'error' and value > 100").toPandas().sort_values(["ts", "event_id"])
+    deep = {}
+    for kit, value in zip(e.user_id, e.value):
+        deep.setdefault(kit, []).append(int((value - 100) // 25))
     rows = entry.queries()["cycle_detection"](spark, sf).collect()
     by = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: r.start):
         by.setdefault(r.kit, []).append(r)
-    # Falls of less than 0.2 bar are no cycles; each deeper kit has its three.
-    assert all(len(by.get(k, [])) == (3 if k >= 2 else 0) for k in range(25) if k != 1)
-    assert all(r.emergency == (r.kit >= 15) for r in rows if r.kit not in (14,))
+    # The shallowest brakings are none; an emergency falls by 1.5 bar or more.
+    assert {k: len(v) for k, v in by.items()} == {k: n for k, v in deep.items() if (n := sum(x >= 1 for x in v))}
+    for k, found in by.items():
+        assert [c.emergency for c in found] == [x >= 8 for x in deep[k] if x >= 1]
     f = entry.queries()["cycle_features"](spark, sf).collect()
     assert len(f) == len(rows) and all(x.energy > 0 and x.to_low <= x.timing for x in f)
-    assert {r.kit: r.cycle for r in entry.queries()["reference_cycle"](spark, sf).collect()} == dict.fromkeys(by, 1)
+    assert {r.kit: r.cycle for r in entry.queries()["reference_cycle"](spark, sf).collect()}.keys() == by.keys()
+    parts = entry.queries()["feature_table"](spark, sf).collect()
+    assert {(r.kit, r.phase) for r in parts} == {(r.kit, r.cycle) for r in rows} and len(parts) == 2 * len(rows)
 
 
 @pytest.mark.parametrize("name", ["pca_components", "kmeans_clusters", "gated_scores", "feature_importance"])
