@@ -15,7 +15,7 @@ What a shard doesn't know is the unigram probability of a word unseen after its
 shard as (document, word) and meet the shards' own context counts, which are the counts of words, in a second, small
 shuffle. Document sums are added up by document.
 
-Hot contexts: the events of a word of more than 1 / (2 * shards) of the tokens, and of the start, are dealt over several
+Hot contexts: the events of a word of more than 1 / (2 * shards) of the tokens, or of one in a hundred, and of the start, are dealt over several
 shards, so no task has much more than its share unless one pair of words is that frequent. The counts stay whole, so a
 score doesn't depend on the number of shards. At order 2, and for the start, the hash of the successor deals: a pair's
 count is whole in one shard, the context's total is its exact count of tokens, and its back-off weight, which needs the
@@ -53,6 +53,8 @@ SHARD_EVENTS, BLOCK_TOKENS, COUNTED, SCORED = 2_000_000, 1_500_000, 400_000, 500
 REMEMBERED, SENT = 100_000, 4_000_000
 #: Bytes of text that a token takes, about: only the number of shards and what counts as hot depend on it.
 TOKEN_BYTES = 6
+#: A word of one in so many tokens is hot whatever the number of shards.
+HOT = 100
 #: Order of the model.
 ORDER = 3
 # No word holds a space, so these two are no word's hash but by chance.
@@ -542,15 +544,18 @@ def score_shard(hot: np.ndarray, hot_counts: np.ndarray, order_: int):
     return run
 
 
-def heavy(docs: DataFrame, shards: int, tokens: int) -> dict[int, int]:
-    """Exact training counts, by hash, of the words that are more than 1 / (2 * shards) of all tokens; at most 2 * shards of them."""
+def candidates(docs: DataFrame, finest: int) -> np.ndarray:
+    """Hashes that hold those of all words of at least one in ``finest`` tokens, and at most 2 * ``finest`` of them.
+
+    Of each stretch of tokens a task sends the words of at least half that share, with their counts. What is dropped is less than half
+    the share of all tokens, so a word that is wanted keeps half of it in the sums; and no more words than 2 * finest can.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words that are hot among the tokens of some stretch of a partition: no other can be hot overall."""
-        ids, found, count, n = WordIds(REMEMBERED), set(), Counter(), 0
+        ids, found, count, n, total = WordIds(REMEMBERED), Counter(), Counter(), 0, 0
 
         def close() -> None:
-            found.update(ids[w] for w, c in count.items() if 2 * shards * c >= n)
+            found.update({ids[w]: c for w, c in count.items() if 2 * finest * c >= n})
             count.clear()
 
         for batch in batches:
@@ -560,14 +565,22 @@ def heavy(docs: DataFrame, shards: int, tokens: int) -> dict[int, int]:
                 n += len(words)
                 if len(count) > COUNTED:
                     close()
-                    n = 0
+                    total, n = total + n, 0
         close()
         ids.clear()
         release()
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(sorted(found), np.uint64).view(np.int64), pa.int64())], ["word"])
+        hashes = np.array(list(found), np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(hashes), pa.nulls(1, pa.int64())]), pa.array([*found.values(), total + n], pa.int64())], ["word", "n"])
 
-    candidates = np.array([r.word for r in docs.select("text").mapInArrow(local, "word long").distinct().collect()], np.int64).view(np.uint64)
-    wanted = set(candidates.tolist())
+    sums = docs.select("text").mapInArrow(local, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
+    tokens = sums.where("word is null").agg(F.sum("n")).first()[0] or 0
+    return np.array([r.word for r in sums.where("word is not null").where(F.col("n") * 2 * finest >= tokens).select("word").collect()], np.int64).view(np.uint64)
+
+
+def heavy(docs: DataFrame, shards: int, tokens: int) -> dict[int, int]:
+    """Exact training counts, by hash, of the words that are more than 1 / (2 * shards) of all tokens, or one in ``HOT``."""
+    finest = max(2 * shards, HOT)
+    wanted = set(candidates(docs, finest).tolist())
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, count, total = WordIds(REMEMBERED), Counter(), Counter()
@@ -584,7 +597,7 @@ def heavy(docs: DataFrame, shards: int, tokens: int) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), np.uint64).view(np.int64), pa.int64()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
     rows_ = docs.where("not held_out").select("text").mapInArrow(exact, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {r.word % 2**64: r.n for r in rows_ if 2 * shards * r.n > tokens}
+    return {r.word % 2**64: r.n for r in rows_ if finest * r.n > tokens}
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:

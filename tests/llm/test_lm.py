@@ -4,6 +4,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from airlattice.llm import lm
 
@@ -164,3 +165,21 @@ def test_hot_contexts_keep_whole_counts(spark, monkeypatch, order, shard_events)
     assert set(got) == set(want)
     for d, (n, score) in want.items():
         assert got[d] == pytest.approx(score, abs=2e-3 * n)
+
+
+def test_hot_words_are_bounded_and_exact(spark):
+    """At ten thousand shards every word of a small table is a candidate by itself, but no more than the bound are kept."""
+    import random
+
+    from airlattice.llm.hashing import WordIds
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(["the"] * 30 + ["of"] * 3 + [f"w{rng.randrange(10**7)}" for _ in range(300)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)).repartition(7)
+    ids, words = WordIds(), Counter(w for _, t in rows for w in t.split())
+    n = sum(words.values())
+    for finest in (20, 100, 20_000):
+        found = lm.candidates(docs, finest)
+        assert len(found) <= 2 * finest and {ids[w.encode()] for w, c in words.items() if c * finest >= n} <= set(found.tolist())
+    got = lm.heavy(docs, 10, n)
+    assert got == {ids[w.encode()]: c for w, c in words.items() if 100 * c > n} and len(got) == 1
