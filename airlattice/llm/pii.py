@@ -75,7 +75,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("email", s, e) for s, e in emails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
                 out.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
