@@ -24,7 +24,7 @@ from airlattice.session import shared_dir
 from .words import SHINGLE, chain, hashes, text_of, words
 
 THRESHOLD = 0.8
-#: Shingles of all items up to which the sketches are sent to every task (each sketch row carries its item's set).
+#: Shingles of all items up to which the ranks that items are known by, and each item's set once, are sent to every task: 8 bytes a shingle.
 SMALL_ITEMS = 200_000
 #: Contaminated documents up to which their keys (two longs) are sent to every task.
 FEW_FOUND = 500_000
@@ -88,8 +88,10 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> D
     shared = F.size(F.array_intersect("_shingles", "item_set")).alias("n_shared")
     fits = (F.col("rank") == F.col("probe")) & (F.size("_shingles") >= enough)
     if n <= SMALL_ITEMS:
-        side = F.broadcast(found.select("item_id", "item_set", "n_item", F.explode("sketch").alias("probe")))
+        side = F.broadcast(found.select("item_id", "n_item", F.explode("sketch").alias("probe")))
         hit = signed.select("doc_id", "text_hash", "_shingles", F.explode_outer("_signature").alias("rank")).join(side, fits)
+        sets = F.broadcast(found.select(F.col("item_id").alias("_i"), F.col("n_item").alias("_m"), "item_set"))
+        hit = hit.join(sets, F.col("_i").eqNullSafe(F.col("item_id")) & (F.col("_m") == F.col("n_item")))
         pairs = hit.select("doc_id", "text_hash", "item_id", "n_item", shared)
     else:
         # Too many items to send around: signatures and sketches shuffle on the rank, then only the pairs that met fetch their sets.

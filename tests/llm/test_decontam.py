@@ -65,3 +65,13 @@ def test_empty(spark):
     assert decontam.search(docs, items).collect() == []
     assert decontam.clean(docs, items).count() == 1
     assert decontam.search(docs.where("false"), items).collect() == []
+
+
+def test_an_item_of_fifty_thousand_words(spark):
+    """Ranks are sent around without the items' sets, so a long item costs as much as its words."""
+    rng = random.Random(12)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(50_000)]
+    text = " ".join(item)
+    docs = spark.createDataFrame([(1, "before " + text + " after"), (2, " ".join(item[:41_000])), (3, " ".join(item[:30_000])), (4, "w1 w2 w3 w4 w5")], "doc_id long, text string")
+    found = decontam.search(docs, spark.createDataFrame([(7, text), (8, "w1 w2 w3 w4 w5")], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 7), (2, 7), (4, 8)]
