@@ -1,7 +1,10 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
-Grades are ordered: 0 clean, 1 toxic, 2 toxic in a document that is also labelled as of low quality. They come from
-``labels`` alone. One weight vector serves every threshold: the probability of a grade
+Grades are ordered: 0 clean, 1 toxic, 2 severely toxic. ``labels`` say only toxic or not, so the third grade comes from
+evidence beside them and beside the model: the labelled documents are halved by hash, each half yields a lexicon of
+features that its toxic documents hold more often than chance allows, and a toxic document of the *other* half is severe if
+it holds more of them than the median toxic document does. Where all hold the same number, there is no third grade and
+one cut is fitted. One weight vector serves every threshold: the probability of a grade
 above k is logistic(score - cut_k) with cut_0 < cut_1, and the expected severity is the sum of these probabilities.
 Each distinct word of a text gives two hashed features: the word, lower-cased and without punctuation at its ends, and
 its first four bytes. The score is the sum of their weights over the distinct words, so length alone adds nothing.
@@ -12,13 +15,13 @@ Chernoff bound on such a share, over as many features as the sample has, is belo
 the cuts are those of the greatest likelihood with a ridge.
 
 Every document is scored over its whole text. Nulls and empty texts have the severity of a text without features.
-A null ``doc_id`` meets no label. A document that is labelled twice takes its higher label of toxicity and its lower one
-of quality; labels without a quality give no grade 2. A doc_id that several documents share brings one of them to the
+A null ``doc_id`` meets no label. A document that is labelled twice takes its higher label; other labels are ignored. A doc_id that several documents share brings one of them to the
 sample. Without labels of both kinds every severity is 0. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import fsum, log
 
@@ -145,11 +148,32 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Ordinal | None:
     return Ordinal(dense, cuts)
 
 
+def lexicon(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Features that toxic documents hold more often than by chance."""
+    if not rows:
+        return np.zeros(0, np.int32)
+    y = np.array([t for _, t in rows])
+    features, col = np.unique(np.concatenate([found for found, _ in rows]), return_inverse=True)
+    if not len(features) or not y.any() or y.all():
+        return np.zeros(0, np.int32)
+    held, toxic = np.bincount(col), np.bincount(col, np.repeat(y, [len(found) for found, _ in rows]))
+    chosen = telling(held, toxic, y.mean())
+    return features[chosen[toxic[chosen] / held[chosen] > y.mean()]]
+
+
+def graded(rows: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
+    """Grades from features and labels of toxicity: how much of the other half's lexicon a toxic document holds."""
+    half = [zlib.crc32(found.tobytes()) % 2 for found, _ in rows]
+    known = [lexicon([r for r, h in zip(rows, half, strict=True) if h != k]) for k in (0, 1)]
+    n = [int(np.isin(found, known[h]).sum()) if toxic else 0 for (found, toxic), h in zip(rows, half, strict=True)]
+    toxic = sorted(c for c, (_, t) in zip(n, rows, strict=True) if t)
+    middle = toxic[(len(toxic) - 1) // 2] if toxic else 0
+    return [(found, (1 + (c > middle)) if t else 0) for (found, t), c in zip(rows, n, strict=True)]
+
+
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[tuple[np.ndarray, int]]:
     """Features and grades of at most ``limit`` labelled documents of each kind, those of least hash; one document a label."""
-    low = F.coalesce(F.min("quality") == 0, F.lit(False)) if "quality" in labels.columns else F.lit(False)
-    toxic = F.max("toxic") > 0
-    one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.when(toxic & low, 2).when(toxic, 1).otherwise(0).alias("y"))
+    one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     pick = lambda known: one.where(known).orderBy(F.xxhash64("label_id"), "label_id").limit(limit)
     known = docs.select("doc_id", "text").join(F.broadcast(pick("y > 0").unionAll(pick("y = 0"))), F.col("doc_id") == F.col("label_id"))
     known = known.groupBy("label_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("y").alias("y"))
@@ -165,7 +189,7 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list[tupl
     for chunk in rows.to_batches():
         flat, at = chunk["f"].flatten().to_numpy(), np.concatenate([[0], np.cumsum(chunk["f"].value_lengths().to_numpy())])
         found.update((flat[a:b].tobytes(), y) for a, b, y in zip(at[:-1], at[1:], chunk["y"].to_pylist(), strict=True))
-    return [(np.frombuffer(f, np.int32), y) for f, y in sorted(found)]
+    return graded([(np.frombuffer(f, np.int32), y) for f, y in sorted(found)])
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
