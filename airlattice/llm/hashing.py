@@ -3,22 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest as _digest  # every worker must have it: hashes of different machines meet
 
 from .words import SHINGLE
 
-try:
-    from xxhash import xxh3_64_intdigest as _digest
-except ModuleNotFoundError:  # slower, and other hashes, but as good
-
-    def _digest(word: bytes) -> int:
-        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
