@@ -26,6 +26,8 @@ from .words import SHINGLE, chain, hashes, text_of, words
 THRESHOLD = 0.8
 #: Shingles of all items up to which the ranks that items are known by, and each item's set once, are sent to every task: 8 bytes a shingle.
 SMALL_ITEMS = 200_000
+#: Shingles from which an item is long, a power of two as the partitions are.
+LONG_ITEM = 1024
 #: Contaminated documents up to which their keys (two longs) are sent to every task.
 FEW_FOUND = 500_000
 
@@ -50,13 +52,13 @@ def with_shingles(df: DataFrame, text: str, lengths: list[int]) -> DataFrame:
     return df.withColumn("_shingles", F.concat(*[windows(F.col("_hash"), n) for n in lengths])).drop("_hash")
 
 
-def sketches(items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[int], int, list[tuple[int, int]]]:
-    """(item_id, item_set, n_item, sketch) of the items with words; the window lengths they need; shingles of all items; partitions (least size, bound)."""
+def sketches(items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[int], list[tuple[int, int, int]]]:
+    """(item_id, item_set, n_item, sketch) of the items with words; the window lengths they need; partitions (least size, bound, shingles)."""
     df = items.select("item_id", "text").withColumn("_length", F.least(F.size(words(text_of("text"))), F.lit(SHINGLE)))
     lengths = sorted(r[0] for r in df.select("_length").distinct().collect() if r[0])  # 1 to 5
     parts = [with_shingles(df.where(F.col("_length") == n), "text", [n]) for n in lengths]
     if not parts:
-        return df.select("item_id", F.array().cast("array<bigint>").alias("item_set"), F.lit(0).alias("n_item"), F.array().cast("array<bigint>").alias("sketch")).where("false"), [], 0, []
+        return df.select("item_id", F.array().cast("array<bigint>").alias("item_set"), F.lit(0).alias("n_item"), F.array().cast("array<bigint>").alias("sketch")).where("false"), [], []
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionAll(p)
@@ -66,13 +68,13 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     all_ = all_.withColumn("sketch", F.slice("item_set", F.lit(1), keep))
     by = all_.groupBy(F.floor(F.log2("n_item")).alias("part")).agg(F.min("n_item").alias("least"), F.max(F.array_max("sketch")).alias("bound"), F.sum("n_item").alias("n"))
     rows = by.collect()  # 31 at most
-    return all_, lengths, sum(r.n for r in rows), sorted((r.least, r.bound) for r in rows)
+    return all_, lengths, sorted((r.least, r.bound, r.n) for r in rows)
 
 
-def signature(shingles: Column, partitions: list[tuple[int, int]], threshold: float) -> Column:
+def signature(shingles: Column, partitions: list[tuple[int, int, int]], threshold: float) -> Column:
     """The shingles below the greatest bound of the partitions that the document is large enough for."""
     bound = F.lit(None).cast("long")
-    for least, top in partitions:
+    for least, top, _ in partitions:
         enough = F.size(shingles) >= F.lit(-(-int(round(least * threshold * 10**9)) // 10**9))
         bound = F.greatest(bound, F.when(enough, F.lit(top).cast("long")))
     return F.filter(shingles, lambda h: F.coalesce(h <= bound, F.lit(False)))
@@ -80,27 +82,40 @@ def signature(shingles: Column, partitions: list[tuple[int, int]], threshold: fl
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, item_id, n_item, n_shared, containment): contaminated documents and the items in them."""
-    found, lengths, n, partitions = sketches(items, threshold)
+    shared_dir(docs.sparkSession)
+    found, lengths, partitions = sketches(items, threshold)
     enough = F.ceil(F.col("n_item") * threshold - 1e-9)
     base = docs.select("doc_id", F.xxhash64(text_of("text")).alias("text_hash"), "text")
     base = with_shingles(base, "text", lengths or [SHINGLE]).drop("text")
     signed = base.withColumn("_signature", signature(F.col("_shingles"), partitions, threshold))
     shared = F.size(F.array_intersect("_shingles", "item_set")).alias("n_shared")
     fits = (F.col("rank") == F.col("probe")) & (F.size("_shingles") >= enough)
-    if n <= SMALL_ITEMS:
+
+    def at_once(found: DataFrame) -> DataFrame:
+        """Every task has the ranks and the sets, so a hit is verified where it is found; no text or set is shuffled."""
         side = F.broadcast(found.select("item_id", "n_item", F.explode("sketch").alias("probe")))
         hit = signed.select("doc_id", "text_hash", "_shingles", F.explode_outer("_signature").alias("rank")).join(side, fits)
         sets = F.broadcast(found.select(F.col("item_id").alias("_i"), F.col("n_item").alias("_m"), "item_set"))
         hit = hit.join(sets, F.col("_i").eqNullSafe(F.col("item_id")) & (F.col("_m") == F.col("n_item")))
-        pairs = hit.select("doc_id", "text_hash", "item_id", "n_item", shared)
-    else:
-        # Too many items to send around: signatures and sketches shuffle on the rank, then only the pairs that met fetch their sets.
+        return hit.select("doc_id", "text_hash", "item_id", "n_item", shared)
+
+    def by_pairs(found: DataFrame) -> DataFrame:
+        """Signatures and sketches shuffle on the rank, then only the pairs that met, once each, fetch their sets."""
         side = found.select("item_id", "n_item", F.explode("sketch").alias("probe"))
         size = signed.select("doc_id", "text_hash", F.size("_shingles").alias("_n"), F.explode_outer("_signature").alias("rank"))
-        met = size.join(side, (F.col("rank") == F.col("probe")) & (F.col("_n") >= enough)).select("doc_id", "text_hash", "item_id", "n_item").distinct()
+        met = size.join(side, (F.col("rank") == F.col("probe")) & (F.col("_n") >= enough)).select("doc_id", "text_hash", "item_id", "n_item").distinct().checkpoint()
         met = met.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("item_id").alias("_i"), F.col("n_item").alias("_m"))
-        with_doc = met.join(base.dropDuplicates(["doc_id", "text_hash"]), F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("text_hash")))
-        pairs = with_doc.join(found.select("item_id", "item_set", "n_item"), F.col("_i").eqNullSafe(F.col("item_id")) & (F.col("_m") == F.col("n_item"))).select("doc_id", "text_hash", "item_id", "n_item", shared)
+        same = F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("text_hash"))
+        wanted = docs.select("doc_id", F.xxhash64(text_of("text")).alias("text_hash"), "text").join(met.select("_d", "_t").distinct(), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        with_doc = met.join(with_shingles(wanted, "text", lengths).drop("text"), same)
+        with_both = with_doc.join(found.select("item_id", "item_set", "n_item"), F.col("_i").eqNullSafe(F.col("item_id")) & (F.col("_m") == F.col("n_item")))
+        return with_both.select("doc_id", "text_hash", "item_id", "n_item", shared)
+
+    # A long item meets a document that holds it at thousands of ranks: such pairs are made distinct before they are verified.
+    short, long = found.where(F.col("n_item") < LONG_ITEM), found.where(F.col("n_item") >= LONG_ITEM)
+    pairs = at_once(short) if sum(m for least, _, m in partitions if least < LONG_ITEM) <= SMALL_ITEMS else by_pairs(short)
+    if any(least >= LONG_ITEM for least, _, _ in partitions):
+        pairs = pairs.unionAll(by_pairs(long))
     pairs = pairs.withColumn("n_shared", F.when(F.col("n_shared") >= enough, F.col("n_shared")))
     pairs = pairs.groupBy("doc_id", "text_hash", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared")).where("n_shared is not null")
     return pairs.select("doc_id", "text_hash", "item_id", F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
