@@ -1 +1 @@
-"""Telemetry analytics on Spark: functions."""
+"""Column functions: expressions over columns that any operator may use."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airlattice.functions.columns import right_closed_bin  # noqa: F401  beside the other bins
+
 from . import segments
 
 #: Calibration of raw pressure counts to bar, and wheel radius for speed from rpm (fixed values of the format).
@@ -19,14 +21,6 @@ def load_bin(load: Column, low: float = 2.0, high: float = 3.0) -> Column:
     return F.when(load.isNull(), None).when(load < low, 0).when(load > high, 2).otherwise(1)
 
 
-def right_closed_bin(x: Column, edges: list[float]) -> Column:
-    """Number of edges that lie strictly below x: bins (-inf, e0], (e0, e1], ..."""
-    out = F.lit(0)
-    for e in edges:
-        out = out + (x > e).cast("int")
-    return out
-
-
 def in_scope(non_standard: Column, bad_start: Column, load: Column) -> Column:
     """The regime in which rates are compared; anything unknown is out of it."""
     return F.coalesce((non_standard == 0) & (bad_start == 0) & (load_bin(load) == 1), F.lit(False))
@@ -73,6 +67,11 @@ def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
 
 
+def present(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of the wanted columns that the table has, in the wanted order."""
+    return df.select(*[c for c in columns if c in df.columns])
+
+
 def binary_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns whose non-null values are 0 and 1 only, found in one pass."""
     sums = df.agg(*[F.sum((~F.col(c).isin(0, 1)).cast("int")).alias(c) for c in columns]).first()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from airlattice.functions.columns import haversine, seconds  # noqa: F401  callers take them from here, too
 from airlattice.session import shared_dir
 
 from . import segments
@@ -51,11 +52,6 @@ def islands(df: DataFrame, key: str, order: list[str], state: Column, parts: int
     return d.drop("_before", "_state", "_at", "_segment")
 
 
-def seconds(time: str) -> Column:
-    """Seconds since the epoch, with micros, of a timestamp of either kind."""
-    return F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-
-
 def gaps(df: DataFrame, key: str, time: str, order: list[str], limit: float) -> DataFrame:
     """Per series: rows, gaps longer than ``limit`` seconds, longest and mean gap, share of such gaps in percent, nominal frequency."""
     d = with_lag(df, key, order, _last=seconds(time)).withColumn("_dt", seconds(time) - F.col("_last"))
@@ -145,13 +141,6 @@ def greedy_intervals(df: DataFrame, key: str, start: str, end: str, id_: str, pa
     return met.select(*[F.col(f"d.`{c}`") for c in df.columns])
 
 
-def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
-    """Great-circle distance in km."""
-    a, b = F.radians(lat1), F.radians(lat2)
-    h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
-
-
 def roles(medians: DataFrame, kit: str, sensor: str, mid: str, pipe: float = 4.6, cylinder: float = 0.2) -> DataFrame:
     """Adds guess and role to a table of sensors with the median pressure of their steady time.
 

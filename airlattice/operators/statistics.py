@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airlattice.functions.columns import violations
 from airlattice.session import shared_dir
 
 
@@ -190,3 +191,21 @@ def best_features(scores: DataFrame, score: str, k: int) -> DataFrame:
     """Adds nth and kept: the k features of highest score, equal ones by name. A score a feature is little enough for one window."""
     nth = F.row_number().over(Window.orderBy(F.desc_nulls_last(score), "feature"))
     return scores.withColumn("nth", nth).withColumn("kept", F.col("nth") <= k)
+
+
+def upper_violations(df: DataFrame, columns: list[str], healthy: Column, z: float, least: int = 2) -> DataFrame:
+    """``df`` without the healthy rows that exceed mean + z deviations of the healthy ones in ``least`` columns or more. Other rows stay.
+
+    Fewer than five healthy rows give no bounds, and nothing is removed.
+    """
+    of = df.where(healthy).agg(F.count(F.lit(1)).alias("_n"), *[(F.avg(c) + z * F.stddev_samp(c)).alias(f"_high_{c}") for c in columns])
+    met = df.crossJoin(F.broadcast(of))  # one row
+    bad = healthy & (F.col("_n") >= 5) & (violations(columns, {c: F.col(f"_high_{c}") for c in columns}) >= least)
+    return met.where(~F.coalesce(bad, F.lit(False))).select(*df.columns)
+
+
+def means_by_feature(df: DataFrame, group: str, values: list, features: list[str]) -> DataFrame:
+    """(feature, one column a value of the group): the table of means, transposed."""
+    means = df.agg(*[F.avg(F.when(F.col(group) == v, F.col(c))).alias(f"{c}~{v}") for c in features for v in values])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"`{c}~{v}`").alias(str(v)) for v in values]) for c in features])
+    return means.select(F.explode(rows).alias("x")).select("x.*")

@@ -18,6 +18,13 @@ def scan_csv(spark: SparkSession, path: str, schema: str, time: str, keys: list[
     return statistics.running_sums(d, order, {"_one": "event_id"}).withColumn("event_id", F.col("event_id") - 1).drop("_one")
 
 
+def scan_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents of one JSON object or array a file, with the file's name; what doesn't fit the schema is null, broken files are left out."""
+    d = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    kept = d.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    return kept.where("_broken IS NULL").drop("_broken")
+
+
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

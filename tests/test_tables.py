@@ -68,3 +68,26 @@ def test_pairs_are_locked(spark, tmp_path):
     assert tables.store_pairs(spark, pairs(False, "a"), path) and tables.may_start(spark, labels, path, "K1") == ["pairs are not locked"]
     assert tables.store_pairs(spark, pairs(True, "b"), path) and not tables.store_pairs(spark, pairs(True, "c"), path)
     assert spark.read.parquet(path).first().bc == "b" and tables.may_start(spark, labels, path, "K1") == []
+
+
+def test_json_files(spark, tmp_path):
+    from airlattice.sources import tables
+
+    (tmp_path / "a.json").write_text('{\n "id": 1,\n "score": 0.5, "more": [1]}')
+    (tmp_path / "b.json").write_text('[{"id": 2}, {"id": 3, "score": 2}]')
+    (tmp_path / "c.json").write_text('{"id": ')
+    rows = tables.scan_json(spark, str(tmp_path), "id long, score double").collect()
+    assert {(r.file, r.id, r.score) for r in rows } == {("a.json", 1, 0.5), ("b.json", 2, None), ("b.json", 3, 2.0)}
+
+
+def test_healthy_rows_with_several_outliers(spark):
+    from pyspark.sql import functions as F
+
+    from airlattice.operators import statistics
+
+    rows = [(i, 0, float(i % 5), float(i % 3)) for i in range(40)] + [(100, 0, 50.0, 60.0), (101, 0, 50.0, 1.0), (102, 1, 50.0, 60.0), (103, None, 50.0, 60.0), (104, 0, None, 60.0)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    left = {r.id for r in statistics.upper_violations(df, ["a", "b"], F.col("y") == 0, 2.0).collect()}
+    assert left == {r[0] for r in rows} - {100}
+    few = df.where("id in (1, 2, 100)")
+    assert statistics.upper_violations(few, ["a", "b"], F.col("y") == 0, 0.1).count() == 3
