@@ -22,6 +22,7 @@ from . import joins
 ENGAGED, ACTION, TAIL_S, TAIL_ROWS, TAIL_SHARE = 0.4, 0.6, 10.0, 40, 0.7
 FLAT_S, FLAT_RANGE, FLAT_GRADIENT, NEAR_ZERO = 5.0, 0.05, 0.01, 0.05
 SATURATED = 1.5
+LOW_BATTERY, STUCK_RPM = 10.0, 308.0
 MS = 1000
 
 
@@ -82,16 +83,18 @@ def load_slices(samples: DataFrame, phases: DataFrame, keys: list[str]) -> DataF
 
 
 def gps_slices(fixes: DataFrame, phases: DataFrame, cylinders: DataFrame, keys: list[str]) -> DataFrame:
-    """By phase: GPS rows from its start to the latest end of its cylinders (else its own): last position, mean speeds, error below two rows."""
+    """By phase: GPS rows from its start to the latest end of its cylinders (else its own): last position, mean, first and last speed,
+    error below two rows; rows of a low battery and of the current board's constant, where the fixes have vbatt and rpm."""
     last = cylinders.groupBy(*keys, "phase").agg(F.max("end_time").alias("_last"))
     spans = phases.join(last, [*keys, "phase"], "left").withColumn("end", F.coalesce("_last", "end"))
     met = _within(fixes, spans, keys, 0).groupBy(*keys, "phase")
     stuck = lambda c: F.when(F.abs(F.col(c) - 53.4641) >= 1e-4, F.col(c))
-    a = met.agg(F.count(F.lit(1)).alias("n"), F.max_by(stuck("lat"), F.when(stuck("lat").isNotNull(), F.col("t"))).alias("lat_last"), F.max_by(stuck("lon"), F.when(stuck("lon").isNotNull(), F.col("t"))).alias("lon_last"), F.avg(stuck("speed")).alias("speed_mean"), F.min_by("speed", "t").alias("_s0"), F.max_by("speed", "t").alias("_s1"), (F.max("t") - F.min("t")).alias("_dt"))
+    rows = lambda c, wrong: F.sum(wrong(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(LOW_BATTERY))).cast("int")) if c in fixes.columns else F.lit(0)
+    a = met.agg(rows("vbatt", lambda x: x < LOW_BATTERY).cast("long").alias("_vb"), rows("rpm", lambda x: x == STUCK_RPM).cast("long").alias("_cb"), F.count(F.lit(1)).alias("n"), F.max_by(stuck("lat"), F.when(stuck("lat").isNotNull(), F.col("t"))).alias("lat_last"), F.max_by(stuck("lon"), F.when(stuck("lon").isNotNull(), F.col("t"))).alias("lon_last"), F.avg(stuck("speed")).alias("speed_mean"), F.min_by("speed", "t").alias("_s0"), F.max_by("speed", "t").alias("_s1"), (F.max("t") - F.min("t")).alias("_dt"))
     out = phases.select(*keys, "phase").join(a, [*keys, "phase"], "left")
     good = F.coalesce("n", F.lit(0)) >= 2
     part = lambda c: F.when(good, c)
-    return out.select(*keys, "phase", F.when(good, F.col("n")).otherwise(0).alias("gps_n"), (~good).alias("gps_error"), part(F.col("lat_last")).alias("lat_last"), part(F.col("lon_last")).alias("lon_last"), part(F.col("speed_mean")).alias("speed_mean"), F.coalesce(part(F.col("_s1") - F.col("_s0")), F.lit(0.0)).alias("speed_difference"), F.coalesce(part(F.try_divide(F.col("_s1") - F.col("_s0"), "_dt")), F.lit(0.0)).alias("speed_gradient"))
+    return out.select(*keys, "phase", F.when(good, F.col("n")).otherwise(0).alias("gps_n"), (~good).alias("gps_error"), part(F.col("lat_last")).alias("lat_last"), part(F.col("lon_last")).alias("lon_last"), part(F.col("speed_mean")).alias("speed_mean"), F.coalesce("_s0", F.lit(0.0)).alias("speed_start"), F.coalesce("_s1", F.lit(0.0)).alias("speed_end"), F.coalesce("_vb", F.lit(0)).alias("gateway_vb_error"), F.coalesce("_cb", F.lit(0)).alias("gateway_cb_error"), F.coalesce(part(F.col("_s1") - F.col("_s0")), F.lit(0.0)).alias("speed_difference"), F.coalesce(part(F.try_divide(F.col("_s1") - F.col("_s0"), "_dt")), F.lit(0.0)).alias("speed_gradient"))
 
 
 # --- sub-phases ------------------------------------------------------------------------------------------------
@@ -356,7 +359,28 @@ def null_nan(c: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def derived(pipe: str = "pipe_", cylinder: str = "cyl_", load: str = "load") -> dict[str, Column]:
+def reference_phase(samples: DataFrame, phases: DataFrame, cylinders: DataFrame, loads: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
+    """(keys, phase, eligible, score, reference): which phase a kit's pairs are read from, the first of the highest score.
+
+    A phase is eligible if its pipe has ``least`` samples or more, and as many cylinders without an error that brake, and load sensors
+    without one, as any of the kit's phases has sensors. It scores 100, and 10 less if it is of over- or under-pressure or an emergency.
+    """
+    names = [*keys, "phase"]
+    n = _within(samples, phases, keys, 0).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    bc = cylinders.groupBy(*names).agg(F.count(F.lit(1)).alias("bc"), F.sum((~F.col("sensor_error") & F.col("normal")).cast("int")).alias("bc_valid"))
+    wv = loads.groupBy(*names).agg(F.count(F.lit(1)).alias("wv"), F.sum((~F.col("sensor_error")).cast("int")).alias("wv_valid"))
+    d = phases.select(*names, (F.col("over") | F.col("under") | F.col("emergency")).alias("error"))
+    for part in (n, bc, wv):
+        d = d.join(part, names, "left")
+    most = d.groupBy(*keys).agg(F.coalesce(F.max("bc"), F.lit(0)).alias("bc_wanted"), F.coalesce(F.max("wv"), F.lit(0)).alias("wv_wanted"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    ok = (zero("n") >= least) & (zero("bc_valid") == F.col("bc_wanted")) & (zero("wv_valid") == F.col("wv_wanted"))
+    d = d.join(most, keys).select(*names, ok.alias("eligible"), F.when(ok, 100 - 10 * F.col("error").cast("int")).alias("score"))
+    best = d.where("eligible").groupBy(*keys).agg(F.max_by("phase", F.struct(F.col("score"), -F.col("phase"))).alias("_best"))
+    return d.join(best, keys, "left").select(*names, "eligible", "score", F.coalesce(F.col("phase") == F.col("_best"), F.lit(False)).alias("reference"))
+
+
+def derived(pipe: str = "pipe_", cylinder: str = "cyl_", load: str = "load", init: str = "init") -> dict[str, Column]:
     """Error flags, efficiencies, delays and ratios of a row with the parts of a pipe and of a cylinder, as columns by name.
 
     A quotient by 0 is null, a sum skips what is missing, a difference needs both. A timing that is null raises the
@@ -365,7 +389,8 @@ def derived(pipe: str = "pipe_", cylinder: str = "cyl_", load: str = "load") ->
     c = lambda side, name: null_nan(f"{side}{name}")
     quotient = lambda a, b: F.when(b != 0, a / b)
     added = lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
-    out: dict[str, Column] = {}
+    flag = lambda x: F.coalesce(x.cast("int"), F.lit(0))
+    out: dict[str, Column] = {"mbp_sensor_error": flag(null_nan(init) <= 0), "emergency_brake_action": flag(c(pipe, "max_pressure") >= SATURATED)}
     for side, tag in ((pipe, "pipe"), (cylinder, "cylinder")):
         times = [c(side, "brake_timing"), c(side, "release_timing")]
         out[f"{tag}_classification_error"] = F.greatest(*[(x.isNull() | (F.coalesce(x, F.lit(0.0)) < 0.001)).cast("int") for x in times])

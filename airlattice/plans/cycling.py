@@ -110,7 +110,7 @@ def brake_line(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     cyl = cyl.withColumn("p10", series.quarter_band("p", each)).withColumn("g", series.gradient("p", each, 40)).withColumn("g", F.avg("g").over(each.rowsBetween(-19, 0)))
     place = F.col("kit") % 25
     load = p.select("kit", F.lit("w").alias("sensor"), "t", (2.02 + place / 10).alias("p"))
-    gps = p.where("seq % 40 = 0").select("kit", "t", (45 + place / 100).alias("lat"), (9 + F.col("t") / 1000).alias("lon"), (F.lit(80.0) - F.col("t") / 10).alias("speed"))
+    gps = p.where("seq % 40 = 0").select("kit", "t", (45 + place / 100).alias("lat"), (9 + F.col("t") / 1000).alias("lon"), (F.lit(80.0) - F.col("t") / 10).alias("speed"), F.when(place == 3, 9.5).otherwise(12.0).alias("vbatt"), F.when(place == 4, 308.0).otherwise(120.0).alias("rpm"))
     found = found_in(p).withColumnRenamed("cycle", "phase").withColumnRenamed("init_pressure", "init").checkpoint()
     return rows.select("kit", "t", F.col("pressure").alias("p"), "g"), cyl, load, gps, found
 
@@ -147,6 +147,13 @@ def load_phases(spark, sf_dir):
     return phases.load_slices(line[2], line[4], ["kit"])
 
 
+@query("reference_phase")
+def reference_phase(spark, sf_dir):
+    """Every phase's eligibility and score, and the one that is the reference."""
+    line = brake_line(spark, sf_dir)
+    return phases.reference_phase(line[0], line[4], phases.cylinder_flags(_cylinders(line), line[4], ["kit"]), phases.load_slices(line[2], line[4], ["kit"]), ["kit"])
+
+
 @query("gps_phases")
 def gps_phases(spark, sf_dir):
     return _gps(brake_line(spark, sf_dir))
@@ -171,7 +178,7 @@ def feature_table(spark, sf_dir):
     found = line[4].select(*k, "start", "init", "over", "emergency")
     load = phases.load_slices(line[2], line[4], ["kit"]).select(*k, F.col("mean_pressure").alias("load"))
     cyl = side(_cylinder_parts(line), "cyl_", [*k, "sensor"])
-    d = found.join(cyl, k).join(side(_pipe_parts(line), "pipe_", k), k).join(load, k, "left").join(_gps(line).select(*k, "lat_last", "lon_last", "speed_mean"), k, "left")
+    d = found.join(cyl, k).join(side(_pipe_parts(line), "pipe_", k), k).join(load, k, "left").join(_gps(line).select(*k, "lat_last", "lon_last", "speed_mean", "speed_start", "speed_end", "gateway_vb_error", "gateway_cb_error"), k, "left")
     d = d.withColumns(phases.derived())
     keep = {"kit": "int", "phase": "long", "sensor": "string", "start": "double", "init": "double", "emergency": "boolean", "load": "double", "lat_last": "double", "lon_last": "double", "speed_mean": "double", "cyl_mode": "string", "cyl_non_standard": "boolean"}
     keep |= dict.fromkeys([c for c in d.columns if c not in keep and c not in ("over",)], "double")
@@ -179,7 +186,7 @@ def feature_table(spark, sf_dir):
 
 
 #: Stand-ins for the parts of a phase, so that the derived columns have SQL to compare with.
-STAND_INS = {"pipe_brake_timing": "l_quantity * 5", "pipe_release_timing": "l_discount", "cyl_brake_timing": "l_tax", "cyl_release_timing": "l_quantity", "pipe_brake_power": "l_tax", "cyl_brake_power": "l_quantity", "pipe_release_power": "l_discount", "cyl_release_power": "l_quantity / 2", "pipe_brake_energy": "l_discount * 3", "cyl_brake_energy": "l_tax * 2", "pipe_release_energy": "l_quantity", "cyl_release_energy": "l_discount", "pipe_total_power": "l_tax", "cyl_total_power": "l_quantity", "pipe_total_energy": "l_discount", "cyl_total_energy": "l_tax", "pipe_max_pressure": "l_quantity", "cyl_max_pressure": "l_discount", "pipe_mean": "l_tax", "cyl_mean": "l_discount", "pipe_std": "l_discount", "cyl_std": "l_tax", "pipe_buildup_last": "l_quantity", "cyl_buildup_last": "l_tax", "pipe_release_first": "l_discount", "cyl_release_first": "l_tax", "load": "l_discount"}
+STAND_INS = {"pipe_brake_timing": "l_quantity * 5", "pipe_release_timing": "l_discount", "cyl_brake_timing": "l_tax", "cyl_release_timing": "l_quantity", "pipe_brake_power": "l_tax", "cyl_brake_power": "l_quantity", "pipe_release_power": "l_discount", "cyl_release_power": "l_quantity / 2", "pipe_brake_energy": "l_discount * 3", "cyl_brake_energy": "l_tax * 2", "pipe_release_energy": "l_quantity", "cyl_release_energy": "l_discount", "pipe_total_power": "l_tax", "cyl_total_power": "l_quantity", "pipe_total_energy": "l_discount", "cyl_total_energy": "l_tax", "pipe_max_pressure": "l_quantity", "cyl_max_pressure": "l_discount", "pipe_mean": "l_tax", "cyl_mean": "l_discount", "pipe_std": "l_discount", "cyl_std": "l_tax", "pipe_buildup_last": "l_quantity", "cyl_buildup_last": "l_tax", "pipe_release_first": "l_discount", "cyl_release_first": "l_tax", "load": "l_discount", "init": "l_discount - 0.02"}
 
 
 @query(
@@ -187,7 +194,7 @@ STAND_INS = {"pipe_brake_timing": "l_quantity * 5", "pipe_release_timing": "l_di
     f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, {", ".join(f"{e} AS {c}" for c, e in STAND_INS.items())} FROM lineitem),
     r AS (SELECT *, cyl_brake_power / nullif(pipe_brake_power, 0) AS bp, cyl_release_power / nullif(pipe_release_power, 0) AS rp, cyl_brake_energy / nullif(pipe_brake_energy, 0) AS be, cyl_release_energy / nullif(pipe_release_energy, 0) AS re FROM s),
     e AS (SELECT *, CASE WHEN bp IS NULL AND rp IS NULL THEN NULL ELSE coalesce(bp, 0) + coalesce(rp, 0) END AS tp, CASE WHEN be IS NULL AND re IS NULL THEN NULL ELSE coalesce(be, 0) + coalesce(re, 0) END AS te FROM r)
-    SELECT l_orderkey, l_linenumber, l_partkey, CAST(pipe_brake_timing < 0.001 OR pipe_release_timing < 0.001 AS INTEGER) AS pipe_classification_error, CAST(pipe_brake_timing > 200 OR pipe_release_timing > 200 AS INTEGER) AS pipe_timing_error,
+    SELECT l_orderkey, l_linenumber, l_partkey, CAST(init <= 0 AS INTEGER) AS mbp_sensor_error, CAST(pipe_max_pressure >= 1.5 AS INTEGER) AS emergency_brake_action, CAST(pipe_brake_timing < 0.001 OR pipe_release_timing < 0.001 AS INTEGER) AS pipe_classification_error, CAST(pipe_brake_timing > 200 OR pipe_release_timing > 200 AS INTEGER) AS pipe_timing_error,
     CAST(cyl_brake_timing < 0.001 OR cyl_release_timing < 0.001 AS INTEGER) AS cylinder_classification_error, CAST(cyl_brake_timing > 200 OR cyl_release_timing > 200 AS INTEGER) AS cylinder_timing_error,
     bp AS brake_power_efficiency, rp AS release_power_efficiency, tp AS total_power_efficiency, cyl_total_power / nullif(pipe_total_power, 0) AS power_ratio,
     cyl_brake_power - pipe_brake_power AS brake_power_delay, cyl_release_power - pipe_release_power AS release_power_delay, cyl_brake_power - pipe_brake_power + (cyl_release_power - pipe_release_power) AS total_power_delay,

@@ -100,3 +100,25 @@ def test_feature_table(spark, sf):
     assert all(r.total_power_efficiency == pytest.approx(r.brake_power_efficiency + r.release_power_efficiency) for r in a)
     assert [r.start for r in rows] == sorted(r.start for r in rows)
     assert d.select("pipe_classification_error").agg(F.sum("pipe_classification_error")).first()[0] == 0
+
+
+def test_reference_phase(spark):
+    found = spark.createDataFrame([("k", i, 10.0 * i, 10.0 * i + 5, False, False, i == 1) for i in range(1, 6)] + [("m", 1, 0.0, 5.0, True, False, False)], "kit string, phase long, start double, end double, over boolean, under boolean, emergency boolean")
+    samples = spark.createDataFrame([("k", i / 2) for i in range(20, 100)] + [("m", i / 2) for i in range(20)], "kit string, t double")
+    bc = [("k", p, s, e, n) for p, s, e, n in [(1, "a", False, True), (1, "b", False, True), (2, "a", True, False), (2, "b", False, True), (3, "a", False, True), (3, "b", False, True), (4, "a", False, True), (5, "a", False, True), (5, "b", False, True)]] + [("m", 1, "a", False, True)]
+    wv = [("k", p, "w", p == 5) for p in range(1, 6)]
+    out = phases.reference_phase(samples, found, spark.createDataFrame(bc, "kit string, phase long, sensor string, sensor_error boolean, normal boolean"), spark.createDataFrame(wv, "kit string, phase long, sensor string, sensor_error boolean"), ["kit"])
+    got = {(r.kit, r.phase): (r.eligible, r.score, r.reference) for r in out.collect()}
+    assert got == {("k", 1): (True, 90, False), ("k", 2): (False, None, False), ("k", 3): (True, 100, True), ("k", 4): (False, None, False), ("k", 5): (False, None, False), ("m", 1): (True, 90, True)}
+
+
+def test_gateway_and_speeds(spark):
+    found = spark.createDataFrame([("k", 1, 0.0, 5.0), ("k", 2, 10.0, 15.0)], "kit string, phase long, start double, end double")
+    cyl = spark.createDataFrame([], "kit string, phase long, end_time double")
+    nan = float("nan")
+    fixes = spark.createDataFrame([("k", float(t), 45.0, 9.0, 80.0 - t, v, r) for t, v, r in [(0, 9.0, 308.0), (1, nan, 1.0), (2, None, 308.0), (3, 12.0, None), (4, 9.9, nan)]], "kit string, t double, lat double, lon double, speed double, vbatt double, rpm double")
+    got = {r.phase: r for r in phases.gps_slices(fixes, found, cyl, ["kit"]).collect()}
+    assert (got[1].gateway_vb_error, got[1].gateway_cb_error, got[1].speed_start, got[1].speed_end, got[1].gps_n) == (2, 2, 80.0, 76.0, 5)
+    assert (got[2].gateway_vb_error, got[2].gateway_cb_error, got[2].speed_start, got[2].gps_error) == (0, 0, 0.0, True)
+    bare = phases.gps_slices(fixes.drop("vbatt", "rpm"), found, cyl, ["kit"]).collect()
+    assert all(r.gateway_vb_error == 0 and r.gateway_cb_error == 0 for r in bare)
