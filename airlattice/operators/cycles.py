@@ -15,7 +15,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from functools import reduce
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -204,6 +203,17 @@ def frame(found: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def _runs(columns: list[pd.Series]) -> list[tuple[int, int]]:
+    """First row and end of each run of rows whose columns are equal, nulls with nulls."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    for c in columns:
+        before = c.shift()
+        new |= ((c != before) & ~(c.isna() & before.isna())).to_numpy(bool)
+    cuts = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), n]
+    return list(zip(cuts, cuts[1:])) if n else []
+
+
 def _advance(keys: list[str], rules: Rules, taken: set[int], goes_on: set[int], starts: dict[int, str] | None):
     """Cycles of the series in a segment, and the state of its last series where that goes on in the next segment.
 
@@ -214,10 +224,9 @@ def _advance(keys: list[str], rules: Rules, taken: set[int], goes_on: set[int],
         first = key = segment = None
         state = State()
         for pdf in frames:
-            rows, at = list(zip(*[[None if pd.isna(v) else v for v in pdf[k]] for k in keys], strict=True)), 0
-            times, pressures, found = pdf["_t"].tolist(), pdf["_p"].tolist(), []
-            for k, group in groupby(rows):
-                span = slice(at, at := at + sum(1 for _ in group))
+            times, pressures, found = pdf["_t"].tolist(), pdf["_p"].to_numpy(), []
+            for a, b in _runs([pdf[k] for k in keys]):
+                k, span = tuple(None if pd.isna(v) else v for v in (pdf[c].iloc[a] for c in keys)), slice(a, b)
                 if segment is None:
                     segment, first, key = int(pdf["_segment"].iloc[0]), k, k
                     if starts is not None:
@@ -244,29 +253,40 @@ def _advance(keys: list[str], rules: Rules, taken: set[int], goes_on: set[int],
     return run
 
 
-def detect(samples: DataFrame, keys: list[str], time: str, pressure: str, order: str, rules: Rules = Rules(), parts: int | None = None) -> DataFrame:
+def detect(samples: DataFrame, keys: list[str], time: str, pressure: str, order: str, rules: Rules = Rules(), parts: int | None = None, laid: DataFrame | None = None) -> DataFrame:
     """Cycles of every series, numbered within it. Rows without time or pressure are left out.
 
     Series are laid out in segments, so a task holds a batch of rows and a state, whatever a series' length. One pass takes the
     series where they begin; the stretch of a series beyond a cut takes over its state in a second pass. Only a series that
     fills whole segments takes a pass for each of them, as its states follow one another.
+
+    Samples that are made in place from rows that ``segmented`` laid out, in order, each row at least one sample, aren't laid out
+    again: ``laid`` has those rows, and the samples keep their _segment.
     """
     spark = samples.sparkSession
     ship(spark)
-    d = samples.where(F.col(time).isNotNull() & F.col(pressure).isNotNull()).select(*keys, F.col(time).cast("double").alias("_t"), F.col(pressure).cast("double").alias("_p"), F.col(order).alias("_order"))
-    d = segmented(d, keys, ["_t", "_order"], parts)
-    edges = d.groupBy("_segment").agg(F.min_by(F.struct(*keys), "_at").alias("a"), F.max_by(F.struct(*keys), "_at").alias("b")).orderBy("_segment").collect()  # a row a segment
+    d = samples.where(F.col(time).isNotNull() & F.col(pressure).isNotNull())
+    value = [F.col(time).cast("double").alias("_t"), F.col(pressure).cast("double").alias("_p")]
+    if laid is None:
+        d = laid = segmented(d.select(*keys, *value, F.col(order).alias("_order")), keys, ["_t", "_order"], parts)
+    else:
+        d = d.select(*keys, *value, "_segment")
+    edges = laid.groupBy("_segment").agg(F.min_by(F.struct(*keys), "_at").alias("a"), F.max_by(F.struct(*keys), "_at").alias("b")).orderBy("_segment").collect()  # a row a segment
     goes_on = {x["_segment"]: y["_segment"] for x, y in zip(edges, edges[1:]) if x["b"] == y["a"]}
+    whole = {x["_segment"] for x in edges if x["a"] == x["b"]}
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
 
     def advanced(rows: DataFrame, starts: dict[int, str] | None) -> DataFrame:
-        out = rows.select(*keys, "_t", "_p", "_segment").mapInPandas(_advance(keys, rules, set(goes_on.values()), set(goes_on), starts), f"{kinds}, {SCHEMA}, _state string, _segment int")
+        out = rows.select(*keys, "_t", "_p", "_segment").mapInPandas(_advance(keys, rules, set(goes_on.values()), set(goes_on) & (whole if starts else set(goes_on)), starts), f"{kinds}, {SCHEMA}, _state string, _segment int")
         return out.checkpoint() if goes_on else out
 
     passes = [advanced(d, None)]
     while goes_on and (left := passes[-1].where("_state IS NOT NULL").select("_segment", "_state").collect()):  # a row a segment
         starts = {goes_on[r["_segment"]]: r["_state"] for r in left}
-        passes.append(advanced(d.where(F.col("_segment").isin(sorted(starts))), starts))
+        # Only the first series of these segments has begun before; a row a segment is broadcast.
+        firsts = spark.createDataFrame([(x["_segment"], *x["a"]) for x in edges if x["_segment"] in starts], ", ".join(["_at_segment int", *[f"_of_{i} {samples.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)]]))
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)], F.col("_segment") == F.col("_at_segment"))
+        passes.append(advanced(d.where(F.col("_segment").isin(sorted(starts))).join(F.broadcast(firsts), same, "left_semi"), starts))
     found = reduce(DataFrame.unionAll, passes).where("_state IS NULL")
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("start")).cast("long")
     return found.select(*keys, nth.alias("cycle"), *[c.split()[0] for c in SCHEMA.split(", ")])

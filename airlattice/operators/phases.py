@@ -7,12 +7,15 @@ Times are seconds, pressures bar.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from airlattice.session import ship
 
@@ -29,27 +32,50 @@ MS = 1000
 # --- slices ----------------------------------------------------------------------------------------------------
 
 
-def _within(samples: DataFrame, phases: DataFrame, keys: list[str], after: float) -> DataFrame:
-    """Samples of each phase, from its start to ``after`` seconds past its end; times as whole milliseconds."""
+#: Samples, or what makes the samples of given phases (with _ms and the phase's end), to so many seconds past their ends.
+Samples = DataFrame | Callable[[DataFrame, float], DataFrame]
+
+
+def _within(samples: Samples, phases: DataFrame, keys: list[str], after: float) -> DataFrame:
+    """Samples of each phase, from its start to ``after`` seconds past its end; times as whole milliseconds.
+
+    ``samples`` may also be a function of (phases, after) that makes these rows itself, where they needn't be looked for.
+    """
+    if callable(samples):
+        return samples(phases, after)
     spans = phases.select(*keys, "phase", (F.col("start") * MS).cast("long").alias("_a"), ((F.col("end") + after) * MS).cast("long").alias("_b"), "end")
     rows = samples.withColumn("_ms", (F.col("t") * MS).cast("long")).withColumn("_key", F.to_json(F.struct(*keys))).drop(*keys)
     return joins.range_join(rows, spans.withColumn("_key", F.to_json(F.struct(*keys))), "_ms", "_a", "_b", 60 * MS, "_key").drop("_key", "_a", "_b")
 
 
-def cylinder_rows(samples: DataFrame, phases: DataFrame, keys: list[str]) -> DataFrame:
-    """Samples (keys, sensor, t, p, p10, g) of each phase and cylinder: to the pipe's end, and then up to ten seconds until the
-    cylinder has emptied (below ``ENGAGED``, gradient negative in more than ``TAIL_SHARE`` of the last ``TAIL_ROWS`` rows).
-    A row that an earlier phase's tail has taken isn't taken again."""
-    met = _within(samples, phases, keys, TAIL_S)
+def _emptied(met: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each phase and cylinder up to where it has emptied."""
     one = Window.partitionBy(*keys, "phase", "sensor")
     order = one.orderBy("_ms")
     falling = F.avg((F.col("g") < 0).cast("double")).over(order.rowsBetween(-(TAIL_ROWS - 1), 0))
     full = F.count(F.lit(1)).over(order.rowsBetween(-(TAIL_ROWS - 1), 0)) == TAIL_ROWS
     tail = F.col("_ms") > (F.col("end") * MS).cast("long")
     met = met.withColumn("_stop", F.when(tail & full & (F.col("p") < ENGAGED) & (falling > TAIL_SHARE), F.col("_ms")))
-    met = met.withColumn("_last", F.min("_stop").over(one)).where(F.col("_last").isNull() | (F.col("_ms") <= F.col("_last")))
-    first = F.row_number().over(Window.partitionBy(*keys, "sensor", "_ms").orderBy("phase"))
-    return met.withColumn("_nth", first).where("_nth = 1").drop("_nth", "_stop", "_last")
+    return met.withColumn("_last", F.min("_stop").over(one)).where(F.col("_last").isNull() | (F.col("_ms") <= F.col("_last"))).drop("_stop", "_last")
+
+
+def cylinder_rows(samples: Samples, phases: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples (keys, sensor, t, p, p10, g) of each phase and cylinder: to the pipe's end, and then up to ten seconds until the
+    cylinder has emptied (below ``ENGAGED``, gradient negative in more than ``TAIL_SHARE`` of the last ``TAIL_ROWS`` rows).
+    A row that an earlier phase's tail has taken isn't taken again; phases are numbered by their start.
+
+    Only phases whose spans meet another one's can share rows: how far these reach is found first, so rows aren't compared.
+    """
+    names = [*keys, "phase", "sensor"]
+    time = Window.partitionBy(*keys).orderBy("start")
+    before, after = F.max("end").over(time.rowsBetween(Window.unboundedPreceding, -1)), F.min("start").over(time.rowsBetween(1, Window.unboundedFollowing))
+    slack = TAIL_S + 1 / MS
+    meet = phases.withColumn("_meet", F.coalesce(before + slack >= F.col("start"), F.lit(False)) | F.coalesce(after <= F.col("end") + slack, F.lit(False))).where("_meet").drop("_meet")
+    reach = _emptied(_within(samples, meet, keys, TAIL_S), keys).groupBy(*names).agg(F.max("_ms").alias("_reach"))
+    earlier = Window.partitionBy(*keys, "sensor").orderBy("phase").rowsBetween(Window.unboundedPreceding, -1)
+    taken = reach.select(*names, F.max("_reach").over(earlier).alias("_taken")).where("_taken IS NOT NULL")
+    met = _emptied(_within(samples, phases, keys, TAIL_S), keys).join(taken, names, "left")
+    return met.where(F.col("_taken").isNull() | (F.col("_ms") > F.col("_taken"))).drop("_taken")
 
 
 def cylinder_flags(rows: DataFrame, phases: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,23 +99,25 @@ def cylinder_flags(rows: DataFrame, phases: DataFrame, keys: list[str]) -> DataF
     return over.select(*names, "n", (F.col("over") | F.col("bad_start")).alias("sensor_error"), *[(~F.col("over") & F.col(c)).alias(c) for c in ("bad_start", "normal", "low_braking", *flags)], *[null(c) for c in ("start_time", "end_time", "max_pressure", "end_pressure")])
 
 
-def load_slices(samples: DataFrame, phases: DataFrame, keys: list[str]) -> DataFrame:
-    """By phase and load sensor: rows, mean rounded to even at one decimal, and an error below two rows or under over-pressure."""
-    sensors = samples.select(*keys, "sensor").distinct()
+def load_slices(samples: Samples, phases: DataFrame, keys: list[str], sensors: DataFrame | None = None) -> DataFrame:
+    """By phase and load sensor: rows, mean rounded to even at one decimal, and an error below two rows or under over-pressure.
+    ``sensors`` (keys, sensor) is found from the samples unless given."""
+    sensors = samples.select(*keys, "sensor").distinct() if sensors is None else sensors
     met = _within(samples, phases, keys, 0).groupBy(*keys, "phase", "sensor").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("m"))
     all_ = phases.select(*keys, "phase", "over").join(sensors, keys).join(met, [*keys, "phase", "sensor"], "left")
     good = ~F.col("over") & (F.coalesce("n", F.lit(0)) >= 2)
     return all_.select(*keys, "phase", "sensor", F.when(F.col("over"), 0).otherwise(F.coalesce("n", F.lit(0))).alias("n"), F.when(good, F.bround("m", 1)).alias("mean_pressure"), (~good).alias("sensor_error"))
 
 
-def gps_slices(fixes: DataFrame, phases: DataFrame, cylinders: DataFrame, keys: list[str]) -> DataFrame:
+def gps_slices(fixes: Samples, phases: DataFrame, cylinders: DataFrame, keys: list[str]) -> DataFrame:
     """By phase: GPS rows from its start to the latest end of its cylinders (else its own): last position, mean, first and last speed,
     error below two rows; rows of a low battery and of the current board's constant, where the fixes have vbatt and rpm."""
     last = cylinders.groupBy(*keys, "phase").agg(F.max("end_time").alias("_last"))
     spans = phases.join(last, [*keys, "phase"], "left").withColumn("end", F.coalesce("_last", "end"))
-    met = _within(fixes, spans, keys, 0).groupBy(*keys, "phase")
+    rows_ = _within(fixes, spans, keys, 0)
+    met = rows_.groupBy(*keys, "phase")
     stuck = lambda c: F.when(F.abs(F.col(c) - 53.4641) >= 1e-4, F.col(c))
-    rows = lambda c, wrong: F.sum(wrong(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(LOW_BATTERY))).cast("int")) if c in fixes.columns else F.lit(0)
+    rows = lambda c, wrong: F.sum(wrong(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(LOW_BATTERY))).cast("int")) if c in rows_.columns else F.lit(0)
     a = met.agg(rows("vbatt", lambda x: x < LOW_BATTERY).cast("long").alias("_vb"), rows("rpm", lambda x: x == STUCK_RPM).cast("long").alias("_cb"), F.count(F.lit(1)).alias("n"), F.max_by(stuck("lat"), F.when(stuck("lat").isNotNull(), F.col("t"))).alias("lat_last"), F.max_by(stuck("lon"), F.when(stuck("lon").isNotNull(), F.col("t"))).alias("lon_last"), F.avg(stuck("speed")).alias("speed_mean"), F.min_by("speed", "t").alias("_s0"), F.max_by("speed", "t").alias("_s1"), (F.max("t") - F.min("t")).alias("_dt"))
     out = phases.select(*keys, "phase").join(a, [*keys, "phase"], "left")
     good = F.coalesce("n", F.lit(0)) >= 2
@@ -315,40 +343,55 @@ PIPE = list(pipe_parts(np.zeros(3), np.zeros(3), np.zeros(3)))
 CYLINDER = [k for k in cylinder_parts(np.zeros(3), np.zeros(3), np.zeros(3), np.zeros(3), True, False, False) if k not in ("mode", "non_standard")]
 
 
+def _columns(rows: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
+    """Columns of a phase's rows in the order of time, unknown values as NaN."""
+    order = np.argsort(rows["t"].to_numpy().astype(float), kind="stable")
+    return [rows[c].to_numpy().astype(float)[order] for c in names]
+
+
+def _row(values: dict, schema: pa.Schema) -> pa.Table:
+    """A table of one row; NaN becomes null."""
+    return pa.Table.from_arrays([pa.array([values[f.name]], f.type, from_pandas=True) for f in schema], schema=schema)
+
+
+def _schema(rows: DataFrame, names: list[str], more: str) -> StructType:
+    return StructType.fromDDL(", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in names] + [more]))
+
+
 def pipe_subphases(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sub-phases by keys and phase of the pipe's rows (keys, phase, t, p, g). A phase that can't be cut gives its error instead."""
     ship(rows.sparkSession)
     names = [*keys, "phase"]
+    schema = _schema(rows, names, ", ".join([f"{c} double" for c in PIPE] + ["error string"]))
+    arrow = to_arrow_schema(schema)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         try:
-            found, error = pipe_parts(*(pdf[c].to_numpy(float) for c in ("t", "p", "g"))), None
+            found, error = pipe_parts(*_columns(rows, ("t", "p", "g"))), None
         except (ValueError, IndexError) as e:
             found, error = dict.fromkeys(PIPE, np.nan), str(e)
-        return pd.DataFrame([dict(zip(names, key, strict=True)) | found | {"error": error}])
+        return _row(dict(zip(names, (k.as_py() for k in key), strict=True)) | found | {"error": error}, arrow)
 
-    schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in names] + [f"{c} double" for c in PIPE] + ["error string"])
-    return rows.select(*names, "t", "p", "g").groupBy(*names).applyInPandas(run, schema)
+    return rows.select(*names, "t", "p", "g").groupBy(*names).applyInArrow(run, schema)
 
 
 def cylinder_subphases(rows: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
     """Sub-phases by keys, phase and sensor of the cylinders' rows; ``flags`` has normal, bad_start and emergency."""
     ship(rows.sparkSession)
     names = [*keys, "phase", "sensor"]
+    schema = _schema(rows, names, ", ".join([f"{c} double" for c in CYLINDER] + ["mode string", "non_standard boolean", "error string"]))
+    arrow = to_arrow_schema(schema)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        state = [bool(pdf[c].iloc[0]) for c in ("normal", "bad_start", "emergency")]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        state = [bool(rows[c][0].as_py()) for c in ("normal", "bad_start", "emergency")]
         try:
-            found, error = cylinder_parts(*(pdf[c].to_numpy(float) for c in ("t", "p", "p10", "g")), *state), None
+            found, error = cylinder_parts(*_columns(rows, ("t", "p", "p10", "g")), *state), None
         except (ValueError, IndexError) as e:
             found, error = dict.fromkeys(CYLINDER, np.nan) | {"mode": None, "non_standard": None}, str(e)
-        return pd.DataFrame([dict(zip(names, key, strict=True)) | found | {"error": error}])
+        return _row(dict(zip(names, (k.as_py() for k in key), strict=True)) | found | {"error": error}, arrow)
 
-    schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in names] + [f"{c} double" for c in CYLINDER] + ["mode string", "non_standard boolean", "error string"])
     met = rows.select(*names, "t", "p", "p10", "g").join(flags.select(*names, "normal", "bad_start", "emergency"), names)
-    return met.groupBy(*names).applyInPandas(run, schema)
+    return met.groupBy(*names).applyInArrow(run, schema)
 
 
 # --- derived columns -------------------------------------------------------------------------------------------
@@ -359,7 +402,7 @@ def null_nan(c: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def reference_phase(samples: DataFrame, phases: DataFrame, cylinders: DataFrame, loads: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
+def reference_phase(samples: Samples, phases: DataFrame, cylinders: DataFrame, loads: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
     """(keys, phase, eligible, score, reference): which phase a kit's pairs are read from, the first of the highest score.
 
     A phase is eligible if its pipe has ``least`` samples or more, and as many cylinders without an error that brake, and load sensors
