@@ -102,3 +102,33 @@ def test_cut():
     assert quality.cut([10, 12, 14], [1, 2, 3]) == 7
     assert quality.cut([10, 12, 14], [1, 2, 11]) == 7  # a bad document is kept before a good one goes
     assert quality.cut([1], [5]) == 1
+
+
+def test_all_labels_count(spark):
+    """More than 5,000 labels of a kind: the target and the threshold are read from all of them, also where they are shuffled."""
+    docs = spark.range(7000).selectExpr("id AS doc_id", "CASE WHEN id < 6000 THEN 'good words here' ELSE 'bad | text' END AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id < 6000 AS INT) AS quality")
+    known = quality.labelled(labels)
+    assert known.count() == 7000
+    fits = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(6000))
+    assert known.where("fits").count() == fits > 4500
+    model = quality.ratios(docs, known, 50, 1)
+    few = quality.meet(docs, known, "left")
+    many = quality.meet(docs, known, "left", sent=10)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    by = quality.with_score(quality.with_grams(docs, "text", 1, 50), model).selectExpr("doc_id", "CAST(floor(llr_micro / n_words) AS BIGINT) AS s").collect()
+    rest = [(r.doc_id, r.s) for r in by if r.doc_id >= 6000 or zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert quality.fit_threshold(docs, known, model, 1, 50) == quality.cut([s for d, s in rest if d < 6000], [s for d, s in rest if d >= 6000])
+
+
+@pytest.mark.parametrize("good, bad", [([10, 12, 14], [1, 2, 3]), ([10, 12, 14], [1, 2, 11]), ([1], [5]), ([], [1])])
+def test_threshold_over_a_table(spark, good, bad):
+    """The same threshold as from lists: documents of one word whose score is given by the model."""
+    rows = [(i, f"w{s}", g, s) for i, (g, s) in enumerate([(1, s) for s in good] + [(0, s) for s in bad])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(r[0], r[2], False) for r in rows], "label_id long, good int, fits boolean")
+    grams = {r.doc_id: r._grams[0] for r in quality.with_grams(docs, "text", 1, 1 << 16).collect()}
+    model = [0] * (1 << 16)
+    for i, _, _, s in rows:
+        model[grams[i]] = s
+    assert quality.fit_threshold(docs, known, model, 1, 1 << 16) == quality.cut(good, bad)
