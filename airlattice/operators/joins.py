@@ -109,3 +109,13 @@ def spread_join(rows: DataFrame, marks: DataFrame, keys: list[str], weight: str,
     hot = F.broadcast(marks.where(heavy))
     apart = rows.join(hot.select(*names), same, "left_anti").join(marks.where(~heavy), same)
     return rows.join(hot, same).unionByName(apart).drop(*names)
+
+
+def keyed_join(rows: DataFrame, marks: DataFrame, keys: list[str], weight: str, few: bool, total: int) -> DataFrame:
+    """``spread_join``, but with all marks broadcast where they are ``few``: then rows stay where they are, whatever share of them a key holds."""
+    if not few:
+        return spread_join(rows, marks, keys, weight, total)
+    names = [f"_m{j}" for j in range(len(keys))]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    marks = marks.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in marks.columns if c not in keys])
+    return rows.join(F.broadcast(marks), same).drop(*names)

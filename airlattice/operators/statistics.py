@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from airlattice.functions.columns import violations
 from airlattice.session import shared_dir
 
+from .joins import keyed_join
+
+#: Groups whose quantiles are sent to all tasks at most.
+FEW_GROUPS = 4096
+
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) of all pairs of columns, in one aggregate."""
@@ -39,19 +44,34 @@ def average_rank(df: DataFrame, x: str, name: str) -> DataFrame:
     return df.join(ranked, F.col(x) == F.col("_v")).drop("_v")
 
 
-def quantiles(df: DataFrame, key: str, x: str, at: dict[str, float], cuts: int = 64) -> DataFrame:
+def quantiles(df: DataFrame, key: str, x: str, at: dict[str, float], cuts: int = 64, few: int = FEW_GROUPS) -> DataFrame:
     """(key, one column a quantile): exact quantiles with linear interpolation of every group, for groups of any size.
 
     An approximate sketch cuts each group's values into ``cuts`` ranges; counts by range, combined before they are shuffled,
     tell which ranges hold the wanted ranks, and only values of those are ordered, as distinct values with their counts. Nulls
     and NaN don't count. Keys are compared null-safely; a group without values has nulls.
+
+    Up to ``few`` groups are sent to the rows; of more only those that hold a large share of the rows are, so no group is one task's.
     """
+    return _quantiles(df, key, x, at, cuts, few)[0].select(F.col("_k").alias(key), *at)
+
+
+def with_quantiles(df: DataFrame, key: str, x: str, at: dict[str, float], few: int = FEW_GROUPS) -> DataFrame:
+    """Adds the quantiles of its group to each row; null keys are a group."""
+    q, is_few, total = _quantiles(df, key, x, at, 64, few)
+    return keyed_join(df, q.withColumnRenamed("_k", key), [key], "_rows", is_few, total).drop("_rows")
+
+
+def _quantiles(df: DataFrame, key: str, x: str, at: dict[str, float], cuts: int, few: int) -> tuple[DataFrame, bool, int]:
+    """(_k, _rows, quantiles), whether these are few, and the number of rows."""
     v = F.col(x).cast("double")
     rows = df.select(F.col(key).alias("_k"), F.when(~F.isnan(v), v).alias("_v"))
-    groups = rows.groupBy("_k").agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 4 * cuts).alias("_cuts"))
+    groups = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_rows"), F.count("_v").alias("_n"), F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 4 * cuts).alias("_cuts"))
     shared_dir(df.sparkSession)
     groups = groups.checkpoint()
-    with_cuts = rows.join(groups.withColumnRenamed("_k", "_g"), F.col("_k").eqNullSafe(F.col("_g"))).where("_v IS NOT NULL")
+    n_groups, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    is_few = n_groups <= few
+    with_cuts = keyed_join(rows.where("_v IS NOT NULL"), groups, ["_k"], "_rows", is_few, total)
     placed = with_cuts.select("_k", "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_r"))
     counts = placed.groupBy("_k", "_r").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)  # over at most ``cuts`` rows a group
@@ -64,8 +84,8 @@ def quantiles(df: DataFrame, key: str, x: str, at: dict[str, float], cuts: int =
     for name, side in ranks:
         r = rank(name, side, F.col("_n"))
         wanted = wanted | ((r >= F.col("_from")) & (r < F.col("_upto")))
-    some = keyed.where(wanted).select(F.col("_k").alias("_g"), F.col("_r").alias("_s"), "_from", "_n")
-    near = placed.join(some, F.col("_k").eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("_s")))
+    some = keyed.where(wanted).select("_k", "_r", "_from", "_n", "_c")
+    near = keyed_join(placed, some, ["_k", "_r"], "_c", is_few, total)
     distinct = near.groupBy("_k", "_r", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_from").alias("_from"), F.first("_n").alias("_n"))
     inside = Window.partitionBy("_k", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     last = distinct.withColumn("_last", F.col("_from") + F.sum("_c").over(inside)).withColumn("_first", F.col("_last") - F.col("_c"))
@@ -73,23 +93,20 @@ def quantiles(df: DataFrame, key: str, x: str, at: dict[str, float], cuts: int =
     out = last.groupBy(F.col("_k").alias("_g"), "_n").agg(*found)
     part = {n: place(n, F.col("_n")) - F.floor(place(n, F.col("_n"))) for n in at}
     values = out.select("_g", *[(F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * part[n]).alias(n) for n in at])
-    return groups.select("_k").join(values, F.col("_k").eqNullSafe(F.col("_g")), "left").select(F.col("_k").alias(key), *at)
+    return groups.select("_k", "_rows").join(values, F.col("_k").eqNullSafe(F.col("_g")), "left").select("_k", "_rows", *at), is_few, total
 
 
 def within_iqr(df: DataFrame, key: str, x: str, k: float = 1.5) -> DataFrame:
     """Adds within: x is at most k interquartile ranges beyond its group's quartiles."""
-    q = quantiles(df, key, x, {"_a": 0.25, "_b": 0.75}).withColumnRenamed(key, "_k")
-    d = df.join(q, F.col(key).eqNullSafe(F.col("_k")))
+    d = with_quantiles(df, key, x, {"_a": 0.25, "_b": 0.75})
     span = (F.col("_b") - F.col("_a")) * k
-    return d.withColumn("within", F.col(x).between(F.col("_a") - span, F.col("_b") + span)).drop("_k", "_a", "_b")
+    return d.withColumn("within", F.col(x).between(F.col("_a") - span, F.col("_b") + span)).drop("_a", "_b")
 
 
 def mad_outliers(df: DataFrame, key: str, x: str, limit: float = 3.5) -> DataFrame:
     """Rows whose modified z-score by the median absolute deviation exceeds ``limit``."""
-    m = quantiles(df, key, x, {"_m": 0.5}).withColumnRenamed(key, "_k")
-    d = df.join(m, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_d", F.abs(F.col(x) - F.col("_m"))).drop("_k")
-    s = quantiles(d, key, "_d", {"_s": 0.5}).withColumnRenamed(key, "_k")
-    return d.join(s, F.col(key).eqNullSafe(F.col("_k"))).where(0.6745 * F.col("_d") > limit * F.col("_s")).drop("_k", "_m", "_d", "_s")
+    d = with_quantiles(df, key, x, {"_m": 0.5}).withColumn("_d", F.abs(F.col(x) - F.col("_m")))
+    return with_quantiles(d, key, "_d", {"_s": 0.5}).where(0.6745 * F.col("_d") > limit * F.col("_s")).drop("_m", "_d", "_s")
 
 
 def mahalanobis(df: DataFrame, x: str, y: str) -> DataFrame:
