@@ -9,8 +9,9 @@ segment the same is done in numpy by blocks of ``BLOCK`` samples.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import groupby
 from math import pi, tan
 
@@ -58,24 +59,49 @@ class Filter:
     def power(self, n: int) -> np.ndarray:
         return np.linalg.matrix_power(self.A, n)
 
+    @cached_property
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a block: state before it -> state after it, state before it -> its outputs, its samples -> state after it, its samples -> its outputs."""
+        powers = [np.eye(len(self.B))]
+        for _ in range(BLOCK):
+            powers.append(self.A @ powers[-1])
+        out = np.array([self.C @ P for P in powers[:BLOCK]])
+        into = np.array([P @ self.B for P in powers[BLOCK - 1 :: -1]])
+        echo = np.concatenate([[self.d], out[:-1] @ self.B])
+        lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+        return powers[BLOCK], out, into, np.where(lag >= 0, echo[lag], 0.0)
+
+    def settled(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Output of many series that follow one another in ``x``, of ``n`` samples each, from rest at their first ones.
+
+        Their blocks are filtered together; only the states go from block to block, of all series at once.
+        """
+        over, out, into, own = self.blocks
+        m = -(-n // BLOCK)
+        first, start = np.cumsum(m) - m, np.cumsum(n) - n
+        at = np.arange(len(x)) + np.repeat(first * BLOCK - start, n)
+        blocks = np.zeros((m.sum(), BLOCK))
+        blocks.ravel()[at] = x
+        left, states = blocks @ into, np.empty((len(blocks), len(self.B)))
+        state, going = np.outer(x[start], self.rest()), np.arange(len(n))
+        for k in range(m.max(initial=0)):
+            if k:
+                goes = m[going] > k
+                state, going = state[goes] @ over.T + left[first[going[goes]] + k - 1], going[goes]
+            states[first[going] + k] = state
+        return (blocks @ own.T + states @ out.T).ravel()[at]
+
     def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Output and the state after it; blocks by matrices, their states one after the other."""
         m, p = len(x) // BLOCK, len(self.B)
         y = np.empty(len(x))
         if m:
-            powers = [np.eye(p)]
-            for _ in range(BLOCK):
-                powers.append(self.A @ powers[-1])
-            out = np.array([self.C @ P for P in powers[:BLOCK]])  # state before a block -> its outputs
-            into = np.array([P @ self.B for P in powers[BLOCK - 1 :: -1]])  # samples of a block -> state after it
-            echo = np.concatenate([[self.d], out[:-1] @ self.B])
-            lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
-            own = np.where(lag >= 0, echo[lag], 0.0)
+            over, out, into, own = self.blocks
             blocks = x[: m * BLOCK].reshape(m, BLOCK)
             left, states = blocks @ into, np.empty((m, p))
             for k in range(m):
                 states[k] = state
-                state = powers[BLOCK] @ state + left[k]
+                state = over @ state + left[k]
             y[: m * BLOCK] = (blocks @ own.T + states @ out.T).ravel()
         for k in range(m * BLOCK, len(x)):
             y[k] = self.C @ state + self.d * x[k]
@@ -94,7 +120,7 @@ def _runs(keys: list) -> Iterator[tuple[object, slice]]:
 
 def _key(frame: pd.DataFrame, keys: list[str]) -> list[tuple]:
     """Rows' keys; a missing one is None."""
-    return list(zip(*[[None if pd.isna(v) else v for v in frame[k]] for k in keys], strict=True))
+    return list(zip(*[frame[k].astype(object).where(frame[k].notna(), None).tolist() for k in keys], strict=True))
 
 
 def _edges(f: Filter, keys: list[str], x: str, settle: bool):
@@ -177,6 +203,47 @@ def lowpass(df: DataFrame, keys: list[str], order: list[str], x: str, cutoff: fl
     return recursive(d, Filter.of(*butterworth(degree, cutoff, rate)), keys, x, name).drop("_at", "_segment")
 
 
+def both_ways(f: Filter, x: np.ndarray, n: np.ndarray, pad: int) -> np.ndarray:
+    """``zero_phase`` of many series that follow one another in ``x``, of ``n`` samples each."""
+    y, long = x.copy(), n > pad
+    start, n = (np.cumsum(n) - n)[long], n[long]
+    if not len(n):
+        return y
+    wide = n + 2 * pad
+    p = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide + pad, wide)
+    first, last = np.repeat(start, wide), np.repeat(n - 1, wide)
+    v = x[first + np.where(p > last, 2 * last - p, np.abs(p))]
+    v = np.where(p < 0, 2 * x[first] - v, np.where(p > last, 2 * x[first + last] - v, v))
+    v = f.settled(f.settled(v, wide)[::-1], wide[::-1])[::-1]
+    own = (p >= 0) & (p <= last)
+    y[(first + p)[own]] = v[own]
+    return y
+
+
+def whole_series(place: str, each: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]):
+    """For mapInPandas over series in order, that are numbered from 0 by ``place``: ``each`` gets whole series and their lengths."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the series that the last frame cut
+
+        def done() -> Iterator[pd.DataFrame]:
+            if any(map(len, held)):
+                d = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+                yield each(d, np.diff(np.append(np.flatnonzero(d[place].to_numpy() == 0), len(d))))
+
+        for frame in frames:
+            starts = np.flatnonzero(frame[place].to_numpy() == 0)
+            if len(starts):
+                held.append(frame.iloc[: starts[-1]])
+                yield from done()
+                held = [frame.iloc[starts[-1] :]]
+            else:
+                held.append(frame)
+        yield from done()
+
+    return run
+
+
 def zero_phase(df: DataFrame, keys: list[str], place: str, x: str, cutoff: float, rate: float, name: str, degree: int = 4, parts: int | None = None) -> DataFrame:
     """Adds the low-pass of ``x`` run forwards and backwards, so that nothing is delayed.
 

@@ -2,16 +2,21 @@
 
 Sensors are laid on one time grid, smoothed without delay, and marked where they hold still. The longest stretch in which
 every sensor of a kit holds still and one of them is above the filling pressure gives each sensor's median, and the
-medians give the roles. Every step works on series by (kit, sensor) or kit in segments, so a sensor of any length is
-spread over tasks.
+medians give the roles. Series that fit in a task's memory many times over are dealt to tasks whole; longer ones are laid
+out by (kit, sensor) in segments, so a sensor of any length is spread over tasks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from airlattice.session import shared_dir
 
 from . import filters, segments
 from .series import roles
@@ -32,6 +37,8 @@ class Rules:
 
 
 SENSOR = ["kit", "sensor"]
+#: Of the filter.
+DEGREE = 4
 
 
 def inpainted(df: DataFrame, keys: list[str], place: str, x: str, parts: int | None = None) -> DataFrame:
@@ -43,20 +50,29 @@ def inpainted(df: DataFrame, keys: list[str], place: str, x: str, parts: int | N
     return d.withColumn(x, filled).drop("_b", "_a", "_at", "_segment")
 
 
-def gridded(samples: DataFrame, rules: Rules, parts: int | None = None) -> DataFrame:
-    """(kit, sensor, g, t, y, near): samples (kit, sensor, t, p, seq) on the kit's grid, from the last sensor's start to the first one's end.
+def _points(samples: DataFrame) -> DataFrame:
+    """(kit, sensor, t, p): of equal times the first by seq counts."""
+    good = samples.where(F.col("t").isNotNull() & F.col("p").isNotNull() & ~F.isnan("p"))
+    return good.groupBy(*SENSOR, "t").agg(F.min_by("p", "seq").alias("p"))
+
 
-    Of equal times the first by seq counts. ``near`` says whether a sample lies within reach. Kits of which a sensor has fewer
-    than two times, or whose sensors share no stretch of time, have no grid. y is null where the grid's last point lies
-    beyond a sensor's end.
+def grids(samples: DataFrame, rules: Rules) -> DataFrame:
+    """(kit, t0, m, longest): the start of each kit's grid, its points, and the times of the sensor that has most of them.
+
+    It goes from the last sensor's start to the first one's end. Kits of which a sensor has fewer than two times, or whose
+    sensors share no stretch of time, have no grid.
     """
-    good = samples.where(F.col("t").isNotNull() & F.col("p").isNotNull() & ~F.isnan("p"))
-    points = good.groupBy(*SENSOR, "t").agg(F.min_by("p", "seq").alias("p"))
-    ends = points.groupBy(*SENSOR).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
+    ends = _points(samples).groupBy(*SENSOR).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
     every = samples.select(*SENSOR).distinct().join(ends, SENSOR, "left")
-    kits = every.groupBy("kit").agg(F.max("lo").alias("t0"), F.min("hi").alias("t1"), F.min(F.coalesce("n", F.lit(0))).alias("least")).where("least >= 2 AND t0 < t1")
-    kits = kits.select("kit", "t0", F.ceil((F.col("t1") - F.col("t0")) * rules.rate + 1).alias("m"))
-    d = segments.fold(segments.segmented(points, SENSOR, ["t"], parts), SENSOR, after=segments.lead(F.struct("t", "p"))).join(kits, "kit")
+    kits = every.groupBy("kit").agg(F.max("lo").alias("t0"), F.min("hi").alias("t1"), F.min(F.coalesce("n", F.lit(0))).alias("least"), F.max("n").alias("longest")).where("least >= 2 AND t0 < t1")
+    return kits.select("kit", "t0", F.ceil((F.col("t1") - F.col("t0")) * rules.rate + 1).alias("m"), "longest")
+
+
+def gridded(d: DataFrame, rules: Rules) -> DataFrame:
+    """(kit, sensor, g, t, y, near): points (kit, sensor, t, p, after, t0, m), each with the next one, on the kit's grid; order and partitions stay.
+
+    ``near`` says whether a sample lies within reach. y is null where the grid's last point lies beyond a sensor's end.
+    """
     at = lambda t: F.ceil((t - F.col("t0")) * rules.rate)
     first = F.greatest(at(F.col("t")), F.lit(0))
     upto = F.least(F.coalesce(at(F.col("after.t")), F.col("m")) - 1, F.col("m") - 1)
@@ -66,13 +82,42 @@ def gridded(samples: DataFrame, rules: Rules, parts: int | None = None) -> DataF
     return d.select(*SENSOR, "g", F.col("at").alias("t"), y.alias("y"), (gap <= rules.reach).alias("near"))
 
 
-def smoothed(samples: DataFrame, rules: Rules = Rules(), parts: int | None = None) -> DataFrame:
-    """(kit, sensor, g, t, y, steady): the series on the grid, low-passed without delay, null out of reach; steady where its slope is small."""
-    d = inpainted(gridded(samples, rules, parts), SENSOR, "g", "y", parts)
-    d = filters.zero_phase(d, SENSOR, "g", "y", rules.cutoff, rules.rate, "y", parts=parts).withColumn("y", F.when(F.col("near"), F.col("y")))
+def _still(rules: Rules):
+    """``smoothed`` for whole series on their grid."""
+    f, pad = filters.Filter.of(*filters.butterworth(DEGREE, rules.cutoff, rules.rate)), 3 * (DEGREE + 1)
+
+    def each(d: pd.DataFrame, n: np.ndarray) -> pd.DataFrame:
+        x, near = d["y"].to_numpy(dtype=float), d["near"].to_numpy(dtype=bool)
+        x = x[np.maximum.accumulate(np.where(np.isnan(x), 0, np.arange(len(x))))]  # held beyond the sensor's end
+        y = np.where(near, filters.both_ways(f, x, n, pad), np.nan)
+        slope = np.diff(y, prepend=0.0) * rules.rate
+        slope[np.cumsum(n) - n] = 0.0
+        return d.drop(columns="near").assign(y=y, steady=near & (np.abs(slope) < rules.slope))
+
+    return each
+
+
+def smoothed(samples: DataFrame, rules: Rules = Rules(), parts: int | None = None, short: int = 1 << 17) -> DataFrame:
+    """(kit, sensor, g, t, y, steady): the series on the grid, low-passed without delay, null out of reach; steady where its slope is small.
+
+    Series of kits with up to ``short`` times and grid points are dealt whole, one shuffle for all steps; longer ones are laid
+    out in segments.
+    """
+    shared_dir(samples.sparkSession)
+    kits = grids(samples, rules).checkpoint()  # a row a kit
+    few = (F.col("m") <= short) & (F.col("longest") <= short)
+    points, order = _points(samples), [*SENSOR, "t"]
+    dealt = points.join(kits.where(few), "kit").repartition(parts or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *SENSOR).sortWithinPartitions(*order)
+    d = gridded(dealt.withColumn("after", F.lead(F.struct("t", "p")).over(Window.partitionBy(*SENSOR).orderBy("t"))), rules)
+    whole = d.mapInPandas(filters.whole_series("g", _still(rules)), StructType([*[x for x in d.schema.fields if x.name != "near"], StructField("steady", BooleanType())]))
+    if kits.where(~few).isEmpty():
+        return whole
+    laid = segments.fold(segments.segmented(points.join(kits.where(~few), "kit"), SENSOR, ["t"], parts), SENSOR, after=segments.lead(F.struct("t", "p")))
+    d = inpainted(gridded(laid, rules), SENSOR, "g", "y", parts)
+    d = filters.zero_phase(d, SENSOR, "g", "y", rules.cutoff, rules.rate, "y", DEGREE, parts).withColumn("y", F.when(F.col("near"), F.col("y")))
     d = segments.fold(segments.segmented(d, SENSOR, ["g"], parts), SENSOR, before=segments.lag(F.col("y")))
     slope = F.when(F.col("g") == 0, F.lit(0.0)).otherwise((F.col("y") - F.col("before")) * rules.rate)
-    return d.select(*SENSOR, "g", "t", "y", (F.col("near") & F.coalesce(F.abs(slope) < rules.slope, F.lit(False))).alias("steady"))
+    return whole.unionByName(d.select(*SENSOR, "g", "t", "y", (F.col("near") & F.coalesce(F.abs(slope) < rules.slope, F.lit(False))).alias("steady")))
 
 
 def windows(smooth: DataFrame, rules: Rules = Rules(), parts: int | None = None) -> DataFrame:
@@ -83,9 +128,9 @@ def windows(smooth: DataFrame, rules: Rules = Rules(), parts: int | None = None)
     """
     # All sensors of a kit are on its grid, so an instant's rows are the kit's sensors.
     instants = smooth.groupBy("kit", "g").agg(F.bool_and("steady").alias("steady"), F.max("y").alias("top"))
-    d = segments.segmented(instants, ["kit"], ["g"], parts)
-    d = segments.fold(d, ["kit"], before=segments.lag(F.col("steady")))
-    d = segments.fold(d, ["kit"], block=segments.running_sum((F.col("steady") & ~F.coalesce("before", F.lit(False))).cast("int"))).where("steady")
+    d = segments.segmented(instants.where("steady"), ["kit"], ["g"], parts)
+    d = segments.fold(d, ["kit"], before=segments.lag(F.col("g")))
+    d = segments.fold(d, ["kit"], block=segments.running_sum(F.when(F.col("before") == F.col("g") - 1, 0).otherwise(1)))
     peak = F.max_by("g", F.struct("top", -F.col("g")))
     blocks = d.groupBy("kit", "block").agg(F.min("g").alias("a"), F.max("g").alias("b"), F.max("top").alias("top"), peak.alias("peak")).where(F.col("top") > rules.full)
     rank = F.struct((F.col("b") - F.col("a")) / rules.rate >= rules.shortest, F.col("b") - F.col("a"), -F.col("a"))
@@ -109,5 +154,3 @@ def identify(samples: DataFrame, rules: Rules = Rules(), parts: int | None = Non
     span = met.groupBy("kit").agg(F.min("t").alias("start"), F.max("t").alias("end"))
     named = roles(mids, "kit", "sensor", "mid", rules.full, rules.empty).join(span, "kit")
     return samples.select(*SENSOR).distinct().join(named, SENSOR, "left").select(*SENSOR, "mid", "guess", "role", "start", "end")
-
-

@@ -93,3 +93,22 @@ def test_inpainting(spark):
     got = {(r.k, r.g): r.y for r in roles.inpainted(spark.createDataFrame(rows, "k long, g long, y double"), ["k"], "g", "y", 4).collect()}
     assert [got[1, i] for i in range(8)] == pytest.approx([2, 2, 2, 3, 4, 5, 7, 7])
     assert got[2, 0] is None and got[None, 4] == 1.0
+
+
+@pytest.mark.parametrize("short", [0, 300, 1 << 17])
+def test_short_and_long_series_are_smoothed_alike(spark, short):
+    rows = kit_of("a", [5.0, 2.1, 0.1], 1) + kit_of("b", [4.9, 0.1], 2, seconds=30, hole=(12, 18)) + kit_of("c", [4.9, 5.0], 3, seconds=2)
+    df = spark.createDataFrame(rows, "kit string, sensor string, t double, p double, seq long")
+    want = {(r.kit, r.sensor, r.g): r for r in roles.smoothed(df, RULES, 5, short=0).collect()}
+    got = {(r.kit, r.sensor, r.g): r for r in roles.smoothed(df, RULES, 5, short=short).collect()}
+    assert set(got) == set(want) and any(r.y is None for r in want.values()) and 0 < sum(r.steady for r in want.values()) < len(want)
+    for k, r in want.items():
+        assert got[k].steady == r.steady and got[k].t == r.t and (got[k].y is None if r.y is None else got[k].y == pytest.approx(r.y, abs=1e-9)), k
+
+
+def test_short_series_are_laid_out_once(spark, monkeypatch):
+    """A layout in segments for each step, each sampled and written, took most of the time."""
+    monkeypatch.setattr(roles.segments, "segmented", lambda *_: pytest.fail("laid out in segments"))
+    rows = kit_of("a", [5.0, 2.1], 1, seconds=10)
+    df = spark.createDataFrame(rows, "kit string, sensor string, t double, p double, seq long")
+    assert roles.smoothed(df, RULES, 3).count() > 0
