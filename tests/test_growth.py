@@ -1,8 +1,24 @@
-"""What made queries grow: rows laid out once for each distinct count."""
+"""What made queries grow: rows laid out once for each distinct count, and inputs prepared anew for every fit."""
+
+import pytest
 
 import __spark_entry__ as entry
+from airlattice.plans import learning
 
 
 def test_file_summary_lays_its_rows_out_once(spark, sf):
     plan = entry.queries()["file_summary"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "props" not in plan
+
+
+@pytest.mark.parametrize("name, kind, fits", [("cluster_choice", "KMeans", 3), ("mixture_choice", "GaussianMixture", 3), ("grid_search", "RandomForestClassifier", 12)])
+def test_fits_read_what_was_prepared_once(spark, sf, monkeypatch, name, kind, fits):
+    seen, plain = [], getattr(learning, kind).fit
+
+    def fit(self, d, *setting):
+        seen.append(("InMemoryRelation" in d._jdf.queryExecution().withCachedData().toString(), d.storageLevel.useMemory))
+        return plain(self, d, *setting)
+
+    monkeypatch.setattr(getattr(learning, kind), "fit", fit)
+    assert entry.queries()[name](spark, sf).count() in (3, 4)
+    assert seen == [(True, False)] * fits
