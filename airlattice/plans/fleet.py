@@ -201,7 +201,8 @@ def rank_join(spark, sf_dir):
 def interval_merge(spark, sf_dir):
     from airlattice.operators import series
 
-    i = table(spark, sf_dir, "orders").select("o_custkey", F.floor(series.seconds("o_orderdate") / 86400).alias("a")).withColumn("b", F.col("a") + 20)
+    day = F.expr("unix_micros(CAST(o_orderdate AS TIMESTAMP)) div 86400000000")  # whole numbers cut towards zero, as in the SQL
+    i = table(spark, sf_dir, "orders").select("o_custkey", day.alias("a")).withColumn("b", F.col("a") + 20)
     return series.merge_intervals(i, "o_custkey", "a", "b")
 
 

@@ -13,6 +13,21 @@ def test_query_matches_sql(spark, sf, name):
     assert compare(spark, sf, name, catalog.QUERIES[name], catalog.ORACLES[name]) >= 0
 
 
+def test_interval_merge_counts_days_as_its_sql(spark, sf, tmp_path):
+    """Days before 1970, and instants that a double of seconds can't hold; a day that differs moves an interval or joins two."""
+    import os
+
+    import duckdb
+
+    for f in os.listdir(sf):
+        if f != "orders.parquet":
+            os.symlink(f"{sf}/{f}", tmp_path / f)
+    days = {1: ["1969-11-20 01:00:00", "1969-12-10 23:00:00", "1969-12-11 00:00:00", "1969-12-31 12:00:00", "1970-01-01 12:00:00"], 2: ["9998-12-31 23:59:59.999999", "2254-12-31 23:59:59.999999"], 3: ["2000-01-01", "2000-01-21", "2000-02-11"], "NULL": ["2000-01-01", "2000-01-15"]}
+    rows = [f"({k}, TIMESTAMP '{t}')" for k, v in days.items() for t in v] + ["(4, NULL)", "(4, TIMESTAMP '2000-01-01')"]
+    duckdb.execute(f"COPY (SELECT * FROM (VALUES {', '.join(rows)}) AS t(o_custkey, o_orderdate)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    assert compare(spark, str(tmp_path), "interval_merge", catalog.QUERIES["interval_merge"], catalog.ORACLES["interval_merge"]) == 9
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
