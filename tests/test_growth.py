@@ -1,7 +1,7 @@
 """What made queries grow: rows laid out once for each distinct count, inputs prepared anew for every fit, and equal rows fitted one by one."""
 
 import pytest
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -48,6 +48,17 @@ def recorded(monkeypatch, kind, method):
     return seen
 
 
+def test_clusters_of_equal_rows_are_those_of_their_number(spark, repeated, monkeypatch):
+    rows = learning.labelled(spark, repeated)
+    total, different = rows.count(), rows.select(*learning.FEATURES).distinct().count()
+    seen = recorded(monkeypatch, learning.KMeans, "fit")
+    got = [r.silhouette for r in entry.queries()["cluster_choice"](spark, repeated).collect()]
+    assert total > 4 * different
+    assert [tuple(d.agg(F.count("*"), F.sum("weight")).first()) for d, _ in seen] == [(different, total)] * 3
+    monkeypatch.undo()
+    assert got == pytest.approx([ClusteringEvaluator().evaluate(m.transform(rows)) for _, m in seen], abs=1e-9)
+
+
 @pytest.mark.parametrize("lots", [None, 2000])
 def test_forests_draw_rows_or_lots_of_equal_ones(spark, repeated, monkeypatch, lots):
     total = spark.read.parquet(f"{repeated}/lineitem.parquet").count()
